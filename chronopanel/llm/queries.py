@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronopanel.llm import rules, urls
+from chronopanel.llm import packing, rules, tokencount, urls
 from chronopanel.llm.common import bare
 
 
@@ -12,17 +12,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(docs, payload=False).drop("ids")
+
+
 def op6_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = bare(_table(spark, sf_dir, "pages"), "page_id", "url")
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokencount.count_tokens(docs).drop("text")
+
+
 def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     return rules.apply_rules(docs, with_text=False).select("doc_id", *rules.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op6_url_language_model_ratio, op10_host_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_concatenate_and_cut,
+        op6_url_language_model_ratio,
+        op9_rank_synchronous_counts,
+        op10_host_quality_rules,
+    )
+}
 
 
 def queries() -> dict:
