@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronopanel.llm import packing, rules, tokencount, urls
+from chronopanel.llm import langid, minhash, packing, rules, tokencount, urls
 from chronopanel.llm.common import bare
 
 
@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_byte_convolution_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(docs, payload=False).drop("ids")
@@ -35,6 +44,8 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_setsketch_near_dedup,
+        op2_byte_convolution_language,
         op5_concatenate_and_cut,
         op6_url_language_model_ratio,
         op9_rank_synchronous_counts,
