@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronopanel.llm import langid, minhash, packing, rules, tokencount, urls
+from chronopanel.llm import decontam, langid, minhash, packing, rules, tokencount, urls
 from chronopanel.llm.common import bare
 
 
@@ -31,6 +32,12 @@ def op6_url_language_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = decontam.find_items(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))
+
+
 def op9_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return tokencount.count_tokens(docs).drop("text")
@@ -48,6 +55,7 @@ QUERIES = {
         op2_byte_convolution_language,
         op5_concatenate_and_cut,
         op6_url_language_model_ratio,
+        op7_pigeonhole_decontamination,
         op9_rank_synchronous_counts,
         op10_host_quality_rules,
     )
