@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import decontam, langid, minhash, packing, rules, tokencount, urls
+from chronopanel.llm import decontam, html, langid, minhash, packing, quality, rules, tokencount, urls
 from chronopanel.llm.common import bare
 
 
@@ -22,6 +22,16 @@ def op2_byte_convolution_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = bare(_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return html.main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return quality.select(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(docs, payload=False).drop("ids")
@@ -53,6 +63,8 @@ QUERIES = {
     for f in (
         op1_setsketch_near_dedup,
         op2_byte_convolution_language,
+        op3_wrapper_induction,
+        op4_ordinal_quality,
         op5_concatenate_and_cut,
         op6_url_language_model_ratio,
         op7_pigeonhole_decontamination,
