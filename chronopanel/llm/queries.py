@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import decontam, html, langid, minhash, packing, quality, rules, tokencount, urls
+from chronopanel.llm import decontam, html, langid, minhash, packing, quality, rules, tokencount, tokenids, urls
 from chronopanel.llm.common import bare
 
 
@@ -48,6 +48,11 @@ def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", F.inline("matches"))
 
 
+def op8_feistel_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = tokenids.write_shards(_table(spark, sf_dir, "documents"))
+    return tokenids.digests(tokenids.read_shards(spark, shards), shards.width)
+
+
 def op9_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return tokencount.count_tokens(docs).drop("text")
@@ -68,6 +73,7 @@ QUERIES = {
         op5_concatenate_and_cut,
         op6_url_language_model_ratio,
         op7_pigeonhole_decontamination,
+        op8_feistel_token_shards,
         op9_rank_synchronous_counts,
         op10_host_quality_rules,
     )
