@@ -1,8 +1,65 @@
-"""The corpus pipeline: stages that each call one operator, written and read again in between."""
+"""The corpus pipeline: raw documents to packed sequences.
 
-STAGES = []
+Each stage calls one operator on all that the stage before kept; its result is written as Parquet and read again as the
+next stage's documents. Stages but the last return the columns of ``documents``. Documents without a doc_id pass the
+near-dedup stage, as nothing tells them apart.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronopanel.llm import decontam, langid, minhash, packing, rules
+from chronopanel.llm.common import sized, written
+
+#: Least probability of the predicted language, and words in a shingle of the near-dedup stage.
+LEAST_SCORE = 0.5
+SHINGLE = 5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows and tells with more than even odds."""
+    said = langid.identify(docs)
+    return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, from hosts that do."""
+    return rules.apply_rules(docs).where("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    found = minhash.near_duplicates(docs, size=SHINGLE)
+    out = written(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-copies")
+    return docs.join(sized(out), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of equal length, with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: The first stage's model isn't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
