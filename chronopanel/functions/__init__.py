@@ -1 +1 @@
-
+"""Column builders: projections, normalisations and banded scores."""

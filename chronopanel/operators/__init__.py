@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators, parameterised by column names."""

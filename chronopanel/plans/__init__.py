@@ -1 +1 @@
-
+"""Guards on inputs and results, and composed plans."""

@@ -1 +1 @@
-
+"""Scans, audits and sinks."""
