@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from chronopanel.llm.common import bare, sized, written
 
 #: Hashed weights, grades, and the bound on labelled documents that the model is fitted on (the first by hash of key).
-WEIGHTS, GRADES, FIT_DOCUMENTS = 1 << 20, 3, 16_000
+WEIGHTS, GRADES, FIT_DOCUMENTS = 1 << 20, 3, 24_000
 #: Words in fewer documents of the sample have no weight; passes, step and shrinkage of the fit.
 LEAST_DOCUMENTS, EPOCHS, RATE, SHRINK = 12, 12, 0.1, 2e-3
 #: Selection: least probability of the best grade.
-KEEP = 0.7
+KEEP = 0.6
 SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"\w+")
 
