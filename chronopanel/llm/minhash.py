@@ -197,8 +197,9 @@ def beyond_hubs(compared: DataFrame) -> DataFrame:
     """Links within stars where at least one end isn't linked with the hub.
 
     With D(x) the shingles in which x differs from the hub h, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and x and y
-    are linked if 9 |x ^ y| <= |x| + |y| (for 0.8). As one of them isn't linked with h, each x shares more than
-    (9 |D(x)| + |h| - |x|) / 18 of its differences with the other; so the two meet within the rarest of them.
+    are linked if 9 |x ^ y| <= |x| + |y| (for 0.8). If x isn't linked with h, any partner y shares more than
+    (9 |D(y)| + |h| - |y|) / 18 of its differences with x, and x at least |D(x)| - |x| / 4 of its own with y, whose size
+    is 5 / 4 of x's at most. So the two meet within the rarest of their differences: y's half or so, x's longer list.
     """
     num, den = LINK
     k = F.lit(den + num)  # |x ^ y| * (den + num) <= (den - num) * (|x| + |y|)
@@ -207,23 +208,26 @@ def beyond_hubs(compared: DataFrame) -> DataFrame:
     open_stars = written(open_stars.where("m > 1 AND apart > 0").select("b"), "open-stars")
     rows = compared.join(sized(open_stars), "b", "left_semi")
     nd = F.size("diff")
-    least = F.greatest(F.floor((k * nd + gap * (F.col("nb") - F.col("na"))) / (2 * k)) + 1, F.lit(1))
-    rows = rows.withColumns({"nd": nd, "prefix": nd - least + 1}).where("prefix > 0")
-    each = rows.select("b", "a", "prefix", F.explode("diff").alias("shingle"))
+    least_y = F.greatest(F.floor((k * nd + gap * (F.col("nb") - F.col("na"))) / (2 * k)) + 1, F.lit(1))
+    least_x = F.greatest(nd - F.floor(gap * F.col("na") / F.lit(num)), F.lit(1))
+    prefixes = {"nd": nd, "prefix_x": F.when(F.col("linked"), 0).otherwise(nd - least_x + 1), "prefix_y": nd - least_y + 1}
+    rows = rows.withColumns(prefixes).where("prefix_x > 0 OR prefix_y > 0")
+    each = rows.select("b", "a", F.explode("diff").alias("shingle"))
     rare = written(each.groupBy("b", "shingle").agg(F.count("*").alias("f")).where("f > 1"), "difference-counts")
     # Differences that no one else has can't be met in; they come first in the order, so they shorten the prefix.
     met = each.join(sized(rare), ["b", "shingle"])
-    ordered = met.groupBy("b", "a").agg(
-        F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("order"), F.max("prefix").alias("prefix"), F.count("*").alias("common")
-    )
-    ordered = ordered.join(rows.select("b", "a", "nd", "na", "linked"), ["b", "a"])
-    take = F.col("prefix") - (F.col("nd") - F.col("common"))
-    ordered = written(ordered.withColumn("take", take).where("take > 0"), "ordered")
-    index = ordered.select("b", "a", "na", "nd", "linked", F.explode(F.slice("order", F.lit(1), F.col("take").cast("int"))).alias("o"))
-    index = index.select("b", F.col("o.shingle").alias("shingle"), "a", "na", "nd", "linked")
-    x, y = index.where(~F.col("linked")).drop("linked").toDF("b", "shingle", "x", "nx", "dx"), index.toDF("b", "shingle", "y", "ny", "dy", "ly")
+    ordered = met.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("order"))
+    ordered = written(ordered.join(rows.select("b", "a", "nd", "na", "linked", "prefix_x", "prefix_y"), ["b", "a"]), "ordered")
+
+    def index(prefix: str) -> DataFrame:
+        take = (F.col(prefix) - (F.col("nd") - F.size("order"))).cast("int")
+        rarest = F.explode(F.slice("order", F.lit(1), F.greatest(take, F.lit(0)))).alias("o")
+        return ordered.select("b", "a", "na", "nd", "linked", rarest).select("b", F.col("o.shingle").alias("shingle"), "a", "na", "nd", "linked")
+
+    x = index("prefix_x").where(~F.col("linked")).drop("linked").toDF("b", "shingle", "x", "nx", "dx")
+    y = index("prefix_y").toDF("b", "shingle", "y", "ny", "dy", "ly")
     close = k * F.abs(F.col("dx") - F.col("dy")) <= gap * (F.col("nx") + F.col("ny"))
-    size_ok = (F.lit(den) * F.least("nx", "ny") >= F.lit(num) * F.greatest("nx", "ny")) & (F.col("ly") | (F.col("x") < F.col("y")))
+    size_ok = F.lit(den) * F.least("nx", "ny") >= F.lit(num) * F.greatest("nx", "ny")
     same = (x.b == y.b) & (x.shingle == y.shingle)
     found = x.join(y, same & (F.col("x") != F.col("y")) & close & size_ok).select(x.b, "x", "y", "nx", "ny", "dx", "dy").distinct()
     lists = ordered.select("b", "a", F.transform("order", lambda o: o["shingle"]).alias("d"))
