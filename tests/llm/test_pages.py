@@ -39,6 +39,11 @@ def test_wrapper_drops_what_is_constant():
     assert "Sign here" in html.extract(pages[4])  # one page alone doesn't tell
 
 
+def test_an_articles_own_header_stays():
+    inner = "<article><div class='post-header'><h1>T</h1></div><p>a</p><div class=notice>n</div><section class='reader-comments'><p>c</p></section><aside>s</aside></article>"
+    assert html.extract(f"<body><header><h1>Site</h1></header>{inner}<p>tail</p></body>") == "T\n\na"
+
+
 def test_copies_do_not_make_template():
     pages = [page("Same", "the very same text " * 20, ad=f"ad {i}") for i in range(4)]
     assert html.induce(pages)["template"] == []
