@@ -86,7 +86,7 @@ def groups(batches: Iterator[pa.RecordBatch], limit: int = GROUP_CHARS) -> Itera
 
 
 def token_table(docs: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULARY, ranks: str | None = RANKS,
-                end_id: int | None = END_ID) -> DataFrame:
+                end_id: int | None = END_ID, level: int = 3) -> DataFrame:
     """Written once: key, n_tokens, part, local (tokens before it in its partition) and ids as little-endian bytes.
 
     Ids take two bytes each where the vocabulary allows, else four (column ``width``).
@@ -116,7 +116,7 @@ def token_table(docs: DataFrame, key: str = "doc_id", vocabulary: str = VOCABULA
     from pyspark.sql.pandas.types import to_arrow_type
 
     batches_type = to_arrow_type(kind)
-    return written(docs.select(key, "text").mapInArrow(encode, schema), "tokens")
+    return written(docs.select(key, "text").mapInArrow(encode, schema), "tokens", level)
 
 
 def with_offsets(tokens: DataFrame) -> DataFrame:

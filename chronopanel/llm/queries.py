@@ -50,7 +50,7 @@ def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def op8_feistel_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = tokenids.write_shards(_table(spark, sf_dir, "documents"))
-    return tokenids.digests(tokenids.read_shards(spark, shards), shards.width)
+    return tokenids.read_shards(spark, shards, digest=True)
 
 
 def op9_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

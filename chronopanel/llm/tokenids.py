@@ -6,8 +6,9 @@ table, no sort of random numbers and no state beyond its key. Sequences are deal
 and each shard is one file of records of equal stride: slot s is in shard s // per_shard, at (s % per_shard) * stride.
 A reader that stopped at a slot goes on from there.
 
-Ids are counted in a first pass, one row a partition, and encoded again in the second, which holds less on disk than
-keeping them would. The second pass stops with an error if a partition's count isn't the first pass's.
+Ids are encoded once into the written token table of the packing operator, whose partition totals give every id its
+place in the stream. Pieces of sequences then go to their shards compressed, in one parcel for each task and shard, and
+a shard's task lays them down where they belong in one buffer of the shard's size.
 
 A record is ``length`` ids, little-endian, and one more id's bytes of line feeds, as Spark's text writer, by which
 shards are committed, ends records. The last sequence is filled with the end id. Defined results: a null or empty text
@@ -23,15 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import bare, shared_dir, written
-from chronopanel.llm.packing import END_ID, RANKS, VOCABULARY, encoder, groups
+from chronopanel.llm.common import bare, shared_dir
+from chronopanel.llm.packing import END_ID, RANKS, VOCABULARY, encoder, token_table, with_offsets
 
 LENGTH, KEY, ROUNDS = 2048, 0x5EED, 6
-SHARD_BYTES = 32 << 20
+#: Bytes of a shard, which one task holds, and of ids that a task gathers before it sends them.
+SHARD_BYTES, PARCEL_BYTES = 16 << 20, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -98,128 +100,109 @@ class Shards:
         return slot // self.per_shard, slot % self.per_shard * self.stride
 
 
-def _encoded(batches, vocabulary, ranks, end_id) -> Iterator[np.ndarray]:
-    encode_one = encoder(vocabulary, ranks)
-    tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
-    for rows in groups(batches):
-        yield np.concatenate([x for (text,) in rows for x in ((encode_one(text), tail) if text else (tail,))]).astype(np.uint32)
+def _parcels(tokens: DataFrame, shards: Shards) -> DataFrame:
+    """(shard, parcel): pieces of sequences with their byte in the shard, compressed together."""
+    order, length, width, per_shard = shards.order, shards.length, shards.width, shards.per_shard
 
-
-def _totals(docs: DataFrame, vocabulary: str, ranks: str | None, end_id: int | None) -> list[tuple[int, int]]:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(ids) for ids in _encoded(batches, vocabulary, ranks, end_id))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
-
-    rows = written(docs.mapInArrow(count, "part long, n long"), "totals").orderBy("part").collect()
-    return [(r["part"], r["n"]) for r in rows]
-
-
-def _pieces(docs, bases, totals, order, length, width, vocabulary, ranks, end_id) -> DataFrame:
-    """(slot, offset, ids): whole sequences, and at a partition's ends the records of those that it shares."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at, end = bases[part], bases[part] + totals[part]
-        held = np.zeros(0, dtype=np.uint32)
-
-        def cut(ids: np.ndarray, at: int):
-            borders = sorted({at, at + len(ids), *range(-(-at // length) * length, at + len(ids), length)})
-            raw = ids.astype(f"<u{width}").tobytes()
-            spans = list(zip(borders, borders[1:], strict=False))
-            slots = order.slots([a // length for a, _ in spans])
-            return pa.RecordBatch.from_pydict(
-                {"slot": slots, "offset": np.array([a % length for a, _ in spans], dtype=np.int64),
-                 "ids": pa.array([raw[(a - at) * width : (b - at) * width] for a, b in spans], type=pa.binary())}
-            )
-
-        for ids in _encoded(batches, vocabulary, ranks, end_id):
-            held = np.concatenate([held, ids])
-            whole = (at + len(held)) // length * length - at
-            if whole > 0:
-                yield cut(held[:whole], at)
-                held, at = held[whole:], at + whole
-        if at + len(held) != end:
-            raise RuntimeError(f"partition {part} has changed between the passes: {at + len(held)} ids, not {end}")
-        if len(held):
-            yield cut(held, at)
-
-    return docs.mapInArrow(encode, "slot long, offset long, ids binary")
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
+        n = 0
+        for batch in batches:
+            ats, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            spans = []
+            for i, (at, raw) in enumerate(zip(ats, bodies, strict=True)):
+                end = at + len(raw) // width
+                borders = [at, *range((at // length + 1) * length, end, length), end]
+                spans += [(i, a, b) for a, b in zip(borders, borders[1:], strict=False) if b > a]
+            slots = order.slots([a // length for _, a, _ in spans]).tolist()
+            for slot, (i, a, b) in zip(slots, spans, strict=True):
+                places, pieces = held.setdefault(slot // per_shard, ([], []))
+                places.append((slot % per_shard * length + a % length) * width)
+                pieces.append(bodies[i][(a - ats[i]) * width : (b - ats[i]) * width])
+                n += len(pieces[-1])
+            if n >= PARCEL_BYTES:
+                yield _parcel(held)
+                held, n = {}, 0
+        if held:
+            yield _parcel(held)
+
+    return tokens.select("at", "ids").mapInArrow(split, "shard int, parcel binary")
+
+
+def _parcel(held: dict[int, tuple[list[int], list[bytes]]]) -> pa.RecordBatch:
+    pack, parcels = zstandard.ZstdCompressor(level=5), []
+    for places, pieces in held.values():
+        head = np.array([len(places), *places, *map(len, pieces)], dtype="<i8").tobytes()
+        parcels.append(pack.compress(head + b"".join(pieces)))
+    return pa.RecordBatch.from_arrays([pa.array(list(held), type=pa.int32()), pa.array(parcels, type=pa.binary())], names=["shard", "parcel"])
 
 
 def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES,
                  vocabulary: str = VOCABULARY, ranks: str | None = RANKS, end_id: int = END_ID) -> Shards:
     """Write all documents' sequences by slot, ``path``/part-N being shard N."""
-    docs = bare(docs, "text")
     path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    counted = _totals(docs, vocabulary, ranks, end_id)
-    totals = dict(counted)
-    bases, n_tokens = {}, 0
-    for part, n in counted:
-        bases[part], n_tokens = n_tokens, n_tokens + n
+    keyed = bare(docs, "text").select(F.lit(0).cast("long").alias("key"), "text")
+    tokens = token_table(keyed, "key", vocabulary, ranks, end_id, level=5)
+    n_tokens = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     width = encoder(vocabulary, ranks).width
     n_sequences = -(-n_tokens // length)
     per_shard = max(1, shard_bytes // ((length + 1) * width))
     shards = Shards(path, n_sequences, n_tokens, length, width, per_shard, key)
     n_shards = max(1, -(-n_sequences // per_shard))
-    pieces = _pieces(docs, bases, totals, shards.order, length, width, vocabulary, ranks, end_id)
-    last = int(shards.order.slots([n_sequences - 1])[0]) if n_sequences else -1
-    fill = np.full(length, end_id, dtype=f"<u{width}").tobytes()
+    record = length * width
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, held, out = None, b"", []
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer, shard = None, None
         for batch in batches:
-            for s, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = held + piece if s == slot else piece
-                slot = s
-                if len(held) == length * width or (slot == last and len(held) == (n_tokens - 1) % length * width + width):
-                    out.append(held + fill[len(held) :])
-                if len(out) >= 1024:
-                    yield pa.RecordBatch.from_pydict({"record": pa.array(out, type=pa.binary())})
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_pydict({"record": pa.array(out, type=pa.binary())})
+            for number, parcel in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if buffer is None:
+                    shard, n = number, min(per_shard, n_sequences - number * per_shard)
+                    buffer = np.full(n * length, end_id, dtype=f"<u{width}").view(np.uint8)
+                if number != shard:
+                    raise RuntimeError(f"shards {shard} and {number} met in one task")
+                raw = zstandard.ZstdDecompressor().decompress(parcel)
+                n = int.from_bytes(raw[:8], "little")
+                places, sizes = np.frombuffer(raw, dtype="<i8", count=2 * n, offset=8).reshape(2, n).tolist()
+                at, body = 8 * (2 * n + 1), np.frombuffer(raw, dtype=np.uint8)
+                for place, size in zip(places, sizes, strict=True):
+                    buffer[place : place + size] = body[at : at + size]
+                    at += size
+        for a in range(0, 0 if buffer is None else len(buffer), 256 * record):
+            part = buffer[a : a + 256 * record].tobytes()
+            yield pa.RecordBatch.from_pydict({"record": pa.array([part[i : i + record] for i in range(0, len(part), record)], type=pa.binary())})
 
     # Slots are dense, so shards are equal ranges of them: no sampling pass is needed to find their borders.
-    dealt = pieces.repartitionById(n_shards, (F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot", "offset")
-    records = dealt.select("slot", "ids").mapInArrow(join, "record binary")
+    dealt = _parcels(with_offsets(tokens), shards).repartitionById(n_shards, F.col("shard"))
+    records = dealt.mapInArrow(lay, "record binary")
     records.select(F.col("record").cast("string")).write.option("lineSep", "\n" * width).text(path)
     return shards
 
 
-def read_shards(spark: SparkSession, shards: Shards, from_slot: int = 0) -> DataFrame:
-    """(slot, sequence_id, shard, byte_at, ids) from a slot on; shards before it aren't read."""
-    order, per_shard, stride = shards.order, shards.per_shard, shards.stride
+def read_shards(spark: SparkSession, shards: Shards, from_slot: int = 0, digest: bool = False) -> DataFrame:
+    """(slot, sequence_id, shard, byte_at, ids) from a slot on; shards before it aren't read. With ``digest``, instead of
+    ``ids`` their number and the checksum of them as unsigned 32-bit little-endian integers."""
+    order, per_shard, stride, width = shards.order, shards.per_shard, shards.stride, shards.width
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_buffer()
-                n = raw.size // stride
-                first = max(0, from_slot - shard * per_shard)
-                for a in range(first, n, 1024):
-                    at = np.arange(a, min(a + 1024, n))
+                raw = memoryview(content.as_buffer())
+                n = len(raw) // stride
+                for a in range(max(0, from_slot - shard * per_shard), n, 256):
+                    at = np.arange(a, min(a + 256, n))
                     slots = shard * per_shard + at
-                    yield pa.RecordBatch.from_pydict(
-                        {"slot": slots, "sequence_id": order.sequences(slots), "shard": np.full(len(at), shard, dtype=np.int64), "byte_at": at * stride,
-                         "ids": pa.array([raw[i * stride : (i + 1) * stride - shards.width].to_pybytes() for i in at.tolist()], type=pa.binary())}
-                    )
+                    ids = [raw[i * stride : (i + 1) * stride - width] for i in at.tolist()]
+                    columns = [pa.array(slots), pa.array(order.sequences(slots)), pa.array(np.full(len(at), shard, dtype=np.int64)), pa.array(at * stride)]
+                    if digest:
+                        sums = [zlib.crc32(np.frombuffer(x, dtype=f"<u{width}").astype("<u4").tobytes()) for x in ids]
+                        columns += [pa.array([len(x) // width for x in ids], type=pa.int64()), pa.array(sums, type=pa.int64())]
+                    else:
+                        columns.append(pa.array([bytes(x) for x in ids], type=pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(shards.path)
     shard = F.regexp_extract("path", "part-(\\d+)", 1).cast("long")
     rows = files.select(shard.alias("shard"), "content").where(F.col("shard") >= from_slot // per_shard)
-    return rows.mapInArrow(records, "slot long, sequence_id long, shard long, byte_at long, ids binary")
-
-
-def digests(rows: DataFrame, width: int) -> DataFrame:
-    """Replace ``ids`` by their number and the checksum of their unsigned 32-bit little-endian integers."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(4).to_pylist()
-            sums = [zlib.crc32(np.frombuffer(x, dtype=f"<u{width}").astype("<u4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([len(x) // width for x in ids], type=pa.int64()), pa.array(sums, type=pa.int64())],
-                names=["slot", "sequence_id", "shard", "byte_at", "n_ids", "ids_crc32"],
-            )
-
-    return rows.mapInArrow(digest, "slot long, sequence_id long, shard long, byte_at long, n_ids long, ids_crc32 long")
+    schema = "slot long, sequence_id long, shard long, byte_at long, " + ("n_ids long, ids_crc32 long" if digest else "ids binary")
+    names = [f.split()[0] for f in schema.split(", ")]
+    return rows.mapInArrow(records, schema)
