@@ -1,15 +1,15 @@
 """Prediction metrics from one shared relation: the curve of distinct scores with their positives and negatives.
 
-Rows are summed by score before anything is ordered, so the only unpartitioned windows run over distinct scores.
+Rows are summed by score before anything is ordered, and running sums go through buckets of scores.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronopanel.functions.exprs import hash_unit
+from chronopanel.operators.ordered import numbered, running
 
 
 def curve(rows: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -18,23 +18,22 @@ def curve(rows: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = No
     return rows.groupBy(*(by or []), F.col(p).alias("score")).agg(F.sum(w * F.col(y)).alias("pos"), F.sum(w * (1 - F.col(y))).alias("neg"))
 
 
-def _ordered(by: list[str], descending: bool):
-    order = F.col("score").desc() if descending else F.col("score")
-    return Window.partitionBy(*by).orderBy(order)
+def _bucket() -> Column:
+    return F.floor(F.col("score") * 1024)
 
 
 def cumulative(c: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Adds tp, fp (at or above the score) and the totals."""
     by = by or []
-    w, all_ = _ordered(by, True).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return c.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w), "n_pos": F.sum("pos").over(all_), "n_neg": F.sum("neg").over(all_)})
+    out = running(c, "score", _bucket(), {"tp": "pos", "fp": "neg"}, by, descending=True)
+    totals = c.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return out.join(totals, by) if by else out.join(totals)  # one row of totals
 
 
 def auroc(c: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counting half; null with one class only."""
     by = by or []
-    w = _ordered(by, False).rowsBetween(Window.unboundedPreceding, -1)
-    below = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    below = running(c, "score", _bucket(), {"below": "neg"}, by, exclusive=True)
     return below.groupBy(*by).agg((F.sum(F.col("pos") * (F.col("below") + F.col("neg") * 0.5)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
 
 
@@ -124,13 +123,12 @@ def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int)
     Draw i of replicate r is the cluster numbered hash(seed, r, i) mod N: the counts are multinomial, and the same in
     any engine. The table has replicates times clusters draws; rows are summed by cluster before they are weighted.
     """
-    w = Window.orderBy(key)
-    numbered = clusters.select(key).distinct().withColumn("__i", (F.row_number().over(w) - 1).cast("long"))
-    n = numbered.count()
-    draws = numbered.select("__i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    places = numbered(clusters, key, "__i")
+    n = places.count()
+    draws = places.select("__i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = draws.select("replicate", (hash_unit(F.lit(seed), F.col("replicate"), F.col("__i")) % n).alias("__i"))
     counts = drawn.groupBy("replicate", "__i").agg(F.count("*").alias("weight"))
-    return counts.join(numbered, "__i").select("replicate", key, "weight")
+    return counts.join(places, "__i").select("replicate", key, "weight")
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int, threshold: float = 0.5) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from chronopanel.operators.ordered import running
+
 
 def timeline(entity: str, time: str) -> WindowSpec:
     return Window.partitionBy(entity).orderBy(time)
@@ -88,11 +90,10 @@ def ols_slope(c: str, hour: str, n: int, w: WindowSpec) -> Column:
 
 
 def average_rank(rows: DataFrame, by: str, name: str = "rank") -> DataFrame:
-    """Rank with ties averaged. Counts by distinct value are ranked, not rows."""
+    """Rank of a numeric column with ties averaged. Counts by distinct value are accumulated, not rows."""
     counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return rows.join(ranks, by)
+    below = running(counts, by, F.floor(by), {"__below": "__n"}, exclusive=True)
+    return rows.join(below.select(by, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name)), by)
 
 
 def adjacent(w: WindowSpec, hour: str) -> Column:
