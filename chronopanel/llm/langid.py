@@ -156,16 +156,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Network | None:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCUMENTS) -> Network | None:
-    """Train on a bounded sample: the ``n_docs`` labelled texts with a letter that come first by hash."""
-    rows = (
-        labelled.where(F.col(lang).isNotNull() & has_letter(text))
-        .select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
-        .orderBy("h", "l")
-        .limit(n_docs)
-        .select(excerpt("t").alias("t"), "l")
-        .collect()
-    )
-    return train([r["t"] for r in rows], [r["l"] for r in rows])
+    """Train on a bounded sample: the ``n_docs`` distinct labelled texts with a letter that come first by hash.
+
+    Hashes alone are ordered to find where the sample ends; only texts before that place come to the driver.
+    """
+    rows = labelled.where(F.col(lang).isNotNull() & has_letter(text)).withColumn("__h", F.xxhash64(text))
+    end = rows.select("__h").distinct().orderBy("__h").limit(n_docs).agg(F.max("__h")).first()[0]
+    if end is None:
+        return None
+    sample = rows.where(F.col("__h") <= end).select("__h", excerpt(text).alias("t"), F.col(lang).alias("l"))
+    sample = sample.groupBy("__h").agg(F.min(F.struct("l", "t")).alias("s")).orderBy("__h").select("s.t", "s.l").collect()
+    return train([r["t"] for r in sample], [r["l"] for r in sample])
 
 
 def excerpt(text: str) -> Column:
