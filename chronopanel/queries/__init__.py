@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronopanel.queries import aggregates, evaluations, expressions, joins, metrics, panels, protocols, rules, sources
+from chronopanel.queries import aggregates, evaluations, explanations, expressions, joins, metrics, panels, protocols, rules, sources
 from chronopanel.queries.base import REGISTRY, SQL
 
-MODULES = (panels, expressions, joins, aggregates, protocols, metrics, evaluations, rules, sources)
+MODULES = (panels, expressions, joins, aggregates, protocols, metrics, evaluations, rules, explanations, sources)
 
 
 def queries() -> dict:
