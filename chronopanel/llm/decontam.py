@@ -133,7 +133,7 @@ def _matches(docs: DataFrame, block: list[tuple[int, str]], errors: float) -> Co
         for texts in batches:
             yield pd.Series([held[0](t) for t in texts], dtype=object)
 
-    return find("text")
+    return find.asNondeterministic()("text")  # else filters made from its result would run it once more
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", errors: float = ERRORS,
