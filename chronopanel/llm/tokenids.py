@@ -33,7 +33,7 @@ from chronopanel.llm.packing import END_ID, RANKS, VOCABULARY, encoder, token_ta
 
 LENGTH, KEY, ROUNDS = 2048, 0x5EED, 6
 #: Bytes of a shard, which one task holds, and of ids that a task gathers before it sends them.
-SHARD_BYTES, PARCEL_BYTES = 16 << 20, 24 << 20
+SHARD_BYTES, PARCEL_BYTES = 16 << 20, 16 << 20
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def _parcels(tokens: DataFrame, shards: Shards) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[bytes]]] = {}
         n = 0
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             ats, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             spans = []
             for i, (at, raw) in enumerate(zip(ats, bodies, strict=True)):
