@@ -87,3 +87,19 @@ def test_url_rules(spark):
     only = urls.judge_urls(spark.createDataFrame([(1, "http://x.net/a")], "page_id long, url string")).collect()
     assert only[0]["verdict"] == "allow"  # nothing to learn from
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def story(i, kind, fixed):
+    words = " ".join(f"{kind}{i}w{j}" for j in range(40))
+    return f"<body><div class={kind}><h1>{kind} {i}</h1><p>{words}</p><p>{fixed}</p></div></body>", f"{kind} {i}\n\n{words}"
+
+
+def test_all_pages_vote_whatever_their_layout(spark):
+    pages = [("x", *story(i, "story", "Sign here for our letters")) for i in range(12)] + [("x", *story(i, "report", "Ask for the paper edition")) for i in range(5)]
+    pages += [("y", *story(0, "story", "Sign here for our letters"))]  # alone on its host: nothing tells
+    df = spark.createDataFrame([(i, f"http://{h}.org/{i}", p) for i, (h, p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert [got[i] for i in range(17)] == [want for _, _, want in pages[:17]]
+    assert got[17] == pages[17][2] + "\n\nSign here for our letters"
+    learned = html.induce([p for h, p, _ in pages if h == "x"])
+    assert learned["paths"] == [["body", "div.story"], ["body", "div.report"]] and len(learned["template"]) == 2
