@@ -103,3 +103,21 @@ def test_all_pages_vote_whatever_their_layout(spark):
     assert got[17] == pages[17][2] + "\n\nSign here for our letters"
     learned = html.induce([p for h, p, _ in pages if h == "x"])
     assert learned["paths"] == [["body", "div.story"], ["body", "div.report"]] and len(learned["template"]) == 2
+
+
+def test_small_hosts_have_a_template_and_near_copies_are_left_out_pair_by_pair(spark):
+    rows, want = [], {}
+    for h in range(12):  # three different pages a host; hash classes would miss most of these hosts
+        for i in range(3):
+            page, want[len(rows)] = story(100 * h + i, "story", "Sign here for our letters")
+            rows.append((len(rows), f"http://h{h}.org/{i}", page))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_text(df).collect()} == want
+    pages = [story(i, "story", "Sign here for our letters")[0] for i in range(3)]
+    copy = pages[0].replace("Sign here", "Write")
+    assert html.varied([*pages, copy]) and not html.varied([*pages[:2], copy])
+    short = [f"<body><div><h1>{i}</h1><p>{'long boilerplate ' * 30}</p><p>news {i}</p></div></body>" for i in range(3)]
+    w = html.induce(short)
+    assert [html.extract(p, w) for p in short] == [f"{i}\n\nnews {i}" for i in range(3)]
+    group = [short[0].replace("news 0", f"edit {i}") for i in range(30)]
+    assert "boilerplate" in html.extract(group[0], html.induce(group + short[1:]))
