@@ -121,3 +121,13 @@ def test_small_hosts_have_a_template_and_near_copies_are_left_out_pair_by_pair(s
     assert [html.extract(p, w) for p in short] == [f"{i}\n\nnews {i}" for i in range(3)]
     group = [short[0].replace("news 0", f"edit {i}") for i in range(30)]
     assert "boilerplate" in html.extract(group[0], html.induce(group + short[1:]))
+
+
+def test_names_around_an_article_do_not_drop_it():
+    inside = "<h1>T</h1><p>the text</p><div class='ad'>a</div><div class='sidebar-left'>s</div><div class='reader-comments'>c</div>"
+    around = ("<body class='single no-sidebar'>%s</body>", "<body><article class='post comments-open'>%s</article></body>", "<body><div class='content with-sidebar'>%s</div></body>",
+              "<body><div class='page-builder-widget-container'>%s</div></body>", "<body><div class='widget'>%s</div></body>", "<body><form id=f><div data-hidden='false' title='hidden gems'>%s</div></form></body>",
+              "<body><main role=dialog class=search>%s</main></body>")
+    assert [html.extract(page % inside).split("\n\n")[:2] for page in around] == [["T", "the text"]] * len(around)
+    assert all(html.extract(page % inside) == "T\n\nthe text" for page in around if "'widget'" not in page)
+    assert html.extract("<body><p>a</p><div hidden>b</div><div aria-hidden=true>c</div><form><p>d</p></form></body>") == "a"
