@@ -1,14 +1,15 @@
 """The corpus pipeline: raw documents to packed sequences.
 
 Each stage calls one operator on all that the stage before kept; its result is written as Parquet and read again as the
-next stage's documents. Stages but the last return the columns of ``documents``. Documents without a doc_id pass the
-near-dedup stage, as nothing tells them apart.
+next stage's documents. Stages but the last return the columns of ``documents``. Near-dedup keeps one row of
+each group whether doc_ids are unique, repeated, clashing or null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronopanel.llm import decontam, langid, minhash, packing, rules
 from chronopanel.llm.common import sized, written
@@ -29,11 +30,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.apply_rules(docs).where("kept").select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """doc_id and text as one string that sorts by doc_id, null last; rows equal in both have equal keys."""
+    key = F.col("doc_id").cast("string")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        key = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.expr("shiftleft(1L, 63)"))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), key), F.lit("1")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    found = minhash.near_duplicates(docs, size=SHINGLE)
-    out = written(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-copies")
-    return docs.join(sized(out), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, that of the least doc_id; of rows equal in doc_id and text, one."""
+    rows = docs.withColumn("__row", row_key(docs))
+    found = minhash.near_duplicates(rows, key="__row", size=SHINGLE)
+    marks = found.groupBy("__row").agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n")).where("NOT __kept OR __n > 1")
+    marks = written(marks.select("__row", "__kept"), "near-copies")
+    once = rows.join(sized(marks), "__row", "left_anti").select(*docs.columns)
+    repeated = marks.where("__kept").select("__row")
+    if repeated.isEmpty():
+        return once
+    again = rows.join(sized(repeated), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__r"))
+    return once.unionByName(again.select("__r.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

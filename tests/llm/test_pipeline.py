@@ -36,3 +36,14 @@ def test_stages(spark, sf):
         assert set(after) == want, name
         docs = out
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark, sf):
+    long = [" ".join(f"w{k}x{j}" for j in range(80)) for k in range(5)]
+    rows = [(1, long[0]), (1, long[0]), (1, long[0]), (2, long[0] + " end")]  # repeats with a near copy
+    rows += [(-3, long[1]), (7, long[1]), (7, long[2]), (9, long[2])]  # one id with two texts, one of them a copy
+    rows += [(None, long[3]), (None, long[3]), (None, long[4]), (10, long[4]), (None, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()]
+    want = [(1, long[0]), (-3, long[1]), (7, long[2]), (None, long[3]), (10, long[4]), (None, None), (11, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
