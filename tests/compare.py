@@ -10,10 +10,10 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def connect(sf: str):
+def connect(sf: str, tables=TABLES):
     con = duckdb.connect()
     con.execute("SET timezone = 'UTC'")
-    for t in TABLES:
+    for t in tables:
         path = f"{sf}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     return con
