@@ -1,11 +1,11 @@
-"""Connected components of a written edge table by alternating star contractions, each round a written table."""
+"""Connected components of an edge table by alternating star contractions, each half round a written table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import sized, written
+from chronopanel.llm.common import dropped, sized, written
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -17,27 +17,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = written(
         edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct(), "edges"
     )
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if now._written[1] else 0):
         # Large star: the least of a node's neighbours and itself takes the larger neighbours over.
-        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(
-            now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        )
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        if least.isEmpty():
-            break
-        large = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).join(sized(least), "u").select("v", "m")
-        large = written(large.where("v <> m").distinct(), "large")
+        up, down = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")), now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+        least = up.union(down).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = written(up.join(least, "u").select("v", "m").where("v <> m").distinct(), "large")
         # Small star: of a node's smaller neighbours, the least takes the others and the node.
-        small_least = written(large.groupBy("v").agg(F.min("m").alias("r")), "small-least")
-        small = large.join(sized(small_least), "v").select(F.explode(F.array(F.col("v"), F.col("m"))).alias("hi"), F.col("r").alias("lo"))
+        least = large.groupBy("v").agg(F.min("m").alias("r"))
+        small = large.join(least, "v").select(F.explode(F.array(F.col("v"), F.col("m"))).alias("hi"), F.col("r").alias("lo"))
         after = written(small.where("hi <> lo").select("lo", "hi").distinct(), "edges")
-        # Done when every node hangs on one root and no root hangs on another node.
-        settled = after.count() == after.select("hi").distinct().count() and (
-            after.select(F.col("lo").alias("hi")).distinct().join(sized(after.select("hi")), "hi", "left_semi").isEmpty()
-        )
+        dropped(now, large)
         now = after
-        if settled:
+        # Done when every node hangs on one root and no root hangs on another node.
+        torn = now.groupBy("hi").agg(F.count("*").alias("c")).where("c > 1").select("hi")
+        hung = now.select(F.col("lo").alias("hi")).distinct().join(sized(now.select("hi"), now), "hi", "left_semi")
+        if torn.unionByName(hung).isEmpty():
             break
     else:
-        raise RuntimeError("components did not settle")
+        if now._written[1]:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronopanel.llm.common import bare, sized, written
+from chronopanel.llm.common import bare, dropped, sized, written
 from chronopanel.llm.components import components
 from chronopanel.llm.packing import groups
 
@@ -153,12 +153,13 @@ def stars(classes: DataFrame) -> DataFrame:
     shared = written(bands.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
     members = written(bands.join(sized(shared), "bucket"), "members")
     # A class's degree: how many classes it meets, over all its buckets.
-    degree = members.groupBy("cls").agg(F.sum("c").alias("degree"))
-    ranked = members.select("bucket", "cls").join(sized(written(degree, "degrees")), "cls")
-    hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "cls")).alias("hub")), "hubs")
-    hubs = hubs.select("bucket", F.col("hub.cls").alias("b"))
+    degree = written(members.groupBy("cls").agg(F.sum("c").alias("degree")), "degrees")
+    ranked = members.select("bucket", "cls").join(sized(degree), "cls").groupBy("bucket")
+    hubs = written(ranked.agg(F.max(F.struct("degree", "cls"))["cls"].alias("b")), "hubs")
     pairs = members.select("bucket", F.col("cls").alias("a")).join(sized(hubs), "bucket").where("a <> b")
-    return written(pairs.select("a", "b").distinct(), "stars")
+    out = written(pairs.select("a", "b").distinct(), "stars")
+    dropped(shared, members, degree, hubs)
+    return out
 
 
 def _linked(inter: Column, na: Column, nb: Column) -> Column:
@@ -173,13 +174,13 @@ def links(docs: DataFrame, classes: DataFrame, key: str, size: int) -> DataFrame
     both = pairs.join(info.toDF("a", "na", "sketch_a"), "a").join(info.toDF("b", "nb", "sketch_b"), "b")
     both = written(both.withColumn("estimate", _estimated(both)).drop("sketch_a", "sketch_b"), "estimates")
     # A far pair matters only if its star has more members, among which the far class may have a partner.
-    star = both.groupBy("b").agg(F.count("*").alias("in_star"), F.max("estimate").alias("nearest"))
-    near = both.join(sized(written(star, "star-sizes")), "b").where(f"estimate >= {FAR} OR in_star > 1")
-    near = written(near.select("a", "b", "na", "nb", "estimate"), "near")
+    star = written(both.groupBy("b").agg(F.count("*").alias("in_star")), "star-sizes")
+    near = both.join(sized(star), "b").where(f"estimate >= {FAR} OR in_star > 1")
+    near = written(near.select("a", "b", "na", "nb"), "near")
     # Full sets, of one document for each class that has a pair.
     wanted = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
     reps = written(classes.join(wanted, "cls", "left_semi").select("rep"), "representatives")
-    some = docs.where(F.col(key).isNull()).unionByName(docs.join(sized(reps.withColumnRenamed("rep", key)), key, "left_semi"))
+    some = docs.where(F.col(key).isNull()).unionByName(docs.join(sized(reps.withColumnRenamed("rep", key), reps), key, "left_semi"))
     sets = written(
         _sets(some, key, size, False).where("n > 0").select("cls", "shingles").dropDuplicates(["cls"]), "sets"
     )
@@ -189,12 +190,15 @@ def links(docs: DataFrame, classes: DataFrame, key: str, size: int) -> DataFrame
     compared = written(
         compared.select("a", "b", "na", "nb", "diff", _linked(F.col("inter"), F.col("na"), F.col("nb")).alias("linked")), "compared"
     )
-    direct = compared.where("linked").select("a", "b")
-    return direct.union(beyond_hubs(compared))
+    dropped(pairs, both, star, near, reps, sets)
+    beyond, used = beyond_hubs(compared)
+    out = written(compared.where("linked").select("a", "b").union(beyond), "links")
+    dropped(compared, *used)
+    return out
 
 
-def beyond_hubs(compared: DataFrame) -> DataFrame:
-    """Links within stars where at least one end isn't linked with the hub.
+def beyond_hubs(compared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links within stars where at least one end isn't linked with the hub, and the written tables that they read.
 
     With D(x) the shingles in which x differs from the hub h, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and x and y
     are linked if 9 |x ^ y| <= |x| + |y| (for 0.8). If x isn't linked with h, any partner y shares more than
@@ -206,6 +210,8 @@ def beyond_hubs(compared: DataFrame) -> DataFrame:
     gap = F.lit(den - num)
     open_stars = compared.groupBy("b").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("apart"))
     open_stars = written(open_stars.where("m > 1 AND apart > 0").select("b"), "open-stars")
+    if not open_stars._written[1]:
+        return compared.where("false").select("a", "b"), [open_stars]
     rows = compared.join(sized(open_stars), "b", "left_semi")
     nd = F.size("diff")
     least_y = F.greatest(F.floor((k * nd + gap * (F.col("nb") - F.col("na"))) / (2 * k)) + 1, F.lit(1))
@@ -233,7 +239,8 @@ def beyond_hubs(compared: DataFrame) -> DataFrame:
     lists = ordered.select("b", "a", F.transform("order", lambda o: o["shingle"]).alias("d"))
     found = found.join(lists.toDF("b", "x", "ex"), ["b", "x"]).join(lists.toDF("b", "y", "ey"), ["b", "y"])
     apart = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
-    return found.where(k * apart <= gap * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    found = found.where(k * apart <= gap * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return found, [open_stars, rare, ordered]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 2) -> DataFrame:
@@ -243,13 +250,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 2) -> Data
     classes = written(
         rows.where("n > 0").groupBy("cls").agg(F.min(key).alias("rep"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "classes"
     )
-    edges = written(links(docs, classes, key, size), "links")
+    edges = links(docs, classes, key, size)
     parts = written(components(edges), "components")
     # The component's id is the least key of all its classes.
-    placed = classes.select(F.col("cls"), "rep").join(sized(parts.withColumnRenamed("node", "cls")), "cls")
+    placed = written(classes.select("cls", "rep").join(sized(parts.withColumnRenamed("node", "cls"), parts), "cls"), "placed")
     roots = written(placed.groupBy("root").agg(F.min("rep").alias("id")), "roots")
     ids = written(placed.select("cls", "root").join(sized(roots), "root").select("cls", "id"), "class-ids")
-    alone = classes.select("cls", "rep").join(sized(ids), "cls", "left").select("cls", F.coalesce("id", "rep").alias("__id"))
+    alone = written(classes.select("cls", "rep").join(sized(ids), "cls", "left").select("cls", F.coalesce("id", "rep").alias("__id")), "ids")
+    dropped(edges, parts, placed, roots, ids, classes)
     out = rows.select(key, "cls", F.col("n").alias("n_shingles")).join(alone, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("__id"))
     out = out.withColumn("component_id", component)
