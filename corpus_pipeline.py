@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.llm import decontam, langid, minhash, packing, rules
-from chronopanel.llm.common import sized, written
+from chronopanel.llm.common import dropped, sized, written
 
 #: Least probability of the predicted language, and words in a shingle of the near-dedup stage.
 LEAST_SCORE = 0.5
@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = marks.where("__kept").select("__row")
     if repeated.isEmpty():
         return once
-    again = rows.join(sized(repeated), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__r"))
+    again = rows.join(sized(repeated, marks), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__r"))
     return once.unionByName(again.select("__r.*"))
 
 
@@ -75,7 +75,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
