@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronopanel.llm.common import sized, written
+from chronopanel.llm.common import written
 
 WINDOW = 2048
 END_ID = 1
@@ -60,7 +60,10 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # long runs of white space exhaust its pattern's stack
+                pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -126,7 +129,7 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     bases = tokens.sparkSession.createDataFrame(
         [(r["part"], int(b)) for r, b in zip(totals, sums, strict=False)], "part long, base long"
     )
-    return tokens.join(sized(bases), "part").withColumn("at", F.col("base") + F.col("local"))
+    return tokens.join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("local"))
 
 
 def cut(tokens: DataFrame, key: str = "doc_id", window: int = WINDOW, payload: bool = True) -> DataFrame:
