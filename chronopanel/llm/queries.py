@@ -60,7 +60,7 @@ def op9_rank_synchronous_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
-    return rules.apply_rules(docs, with_text=False).select("doc_id", *rules.MEASURES, "base_failed", "kept")
+    return rules.apply_rules(docs, with_text=False).select("doc_id", *rules.MEASURES, "base_failed", "soft_failed", "kept")
 
 
 QUERIES = {

@@ -87,12 +87,43 @@ def test_rules_equal_sql(spark, sf):
     same(llm.queries()["op10_host_quality_rules"](spark, sf), connect(sf), llm.oracle_sql()["op10_host_quality_rules"])
 
 
-def test_host_verdicts_shrink(spark):
-    rows = [("bad", True)] * 95 + [("bad", False)] * 5 + [("good", False)] * 200 + [("one", True)] + [("fair", True)] * 10 + [("fair", False)] * 90
-    judged = spark.createDataFrame(rows, "source string, base_failed boolean")
-    got = {r["source"]: r["host_failed"] for r in rules.host_verdicts(judged).collect()}
-    assert got["bad"] is True
-    assert got["good"] is False and got["fair"] is False
+def hosts(spark):
+    """Eight hosts alike, one with many soft failures, one that fails for the most part, one with a single bad document."""
+    good, short = " ".join(f"w{i}" for i in range(80)), "too short"
+    noisy = " ".join(f"w{i}###" for i in range(80))
+    rows = [(f"h{h}", noisy if i % 20 == 0 else good) for h in range(8) for i in range(200)]
+    rows += [("noisy", noisy if i % 2 else good) for i in range(100)] + [("bad", short if i < 95 else good) for i in range(100)]
+    rows += [("one", noisy), (None, noisy), (None, good)]
+    return [(i, s, t) for i, (s, t) in enumerate(rows)], good, noisy
+
+
+def test_hosts_decide_documents_with_soft_failures(spark):
+    rows, good, noisy = hosts(spark)
+    out = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    kept = lambda s, t: {r["kept"] for r in out if r["source"] == s and r["text"] == t}
+    assert all(kept(f"h{h}", t) == {True} for h in range(8) for t in (good, noisy))
+    assert kept("noisy", good) == {True} and kept("noisy", noisy) == {False}  # decided by their host
+    assert kept("bad", good) == {False}  # fails as a whole
+    assert kept(None, noisy) == kept(None, good) == {True}
+    rate = {r["source"]: r["host_rate"] for r in out}
+    assert 0.2 < rate["one"] < 0.8 and rate["h0"] < 0.06  # one document shrinks a long way, two hundred don't
+    alike = rules.apply_rules(spark.createDataFrame([r for r in rows if (r[1] or "").startswith("h")], "doc_id long, source string, text string"))
+    assert alike.where("kept").count() == 1600 and alike.where("host_strict").isEmpty()
+
+
+def test_host_rules_equal_sql(spark, tmp_path):
+    rows, *_ = hosts(spark)
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect(str(tmp_path), ["documents"])
+    name = "op10_host_quality_rules"
+    same(llm.queries()[name](spark, str(tmp_path)), con, llm.oracle_sql()[name])
+
+
+def test_rules_keep_clashing_columns_apart(spark):
+    rows = [(1, "a", "x " * 60, "mine", "old", 3)]
+    out = rules.apply_rules(spark.createDataFrame(rows, "doc_id long, kept string, text string, base_failed string, note string, n_lines int"), host="kept")
+    r = out.first()
+    assert (r["note"], r["n_lines"], r["base_failed"], r["kept"]) == ("old", 1, True, False) and "__host" not in out.columns
 
 
 def test_rules_of_odd_rows(spark):
