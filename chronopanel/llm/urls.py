@@ -1,8 +1,9 @@
 """URL filter: rules by host and path, and for the rest a character language-model ratio. DataFrame functions only.
 
 Two variable-order Markov models of characters (contexts of up to three, each order smoothed by the one below) are
-counted from the URLs that rules accept and reject. A URL's score is the mean over its characters of the log-likelihood
-difference; the cut between the classes is calibrated on labelled URLs held out from the counts.
+counted from the different whole URLs, query and fragment included, that rules accept and reject. A URL's score is the
+mean over its characters of the log-likelihood difference; the cut between the classes is calibrated on labelled URLs
+held out from the counts.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; if either class has no
 labelled URL the models say nothing, every score is 0 and the verdict is allow; repeated rows get equal verdicts;
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import sized, written
+from chronopanel.llm.common import dropped, sized, written
 
 #: (verdict, host, path) in the order of the contract.
 RULES = (
@@ -49,9 +50,10 @@ def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def _grams(texts: DataFrame, *keep: str) -> DataFrame:
-    padded = F.concat(F.lit(PAD), F.col("lm_text"), F.lit(END))
-    at = F.explode(F.sequence(F.lit(1), F.length("lm_text") + 1)).alias("at")
-    return texts.select(*keep, padded.alias("padded"), at).select(*keep, F.expr("substring(padded, at, 4)").alias("gram"))
+    """One row a character and its three before it. Rows carry no whole URL, as one may be long."""
+    chars = texts.select(*keep, F.split(F.concat(F.lit(PAD), F.col("lm_text"), F.lit(END)), "").alias("c"))
+    four = F.transform(F.sequence(F.lit(0), F.size("c") - 4), lambda i: F.concat(*[F.get("c", i + k) for k in range(4)]))
+    return chars.select(*keep, F.explode(four).alias("gram"))
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
@@ -82,13 +84,13 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     host, path = host_and_path(url)
     rows = pages.withColumns({"host": host, "path": path})
     rule, says = match_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "__says": says, "lm_text": F.concat("host", "path")})
-    # Equal texts are scored once; a text has one label, as host and path decide the rule.
+    rows = rows.withColumns({"rule": rule, "__says": says, "__id": F.md5(F.coalesce(F.col(url), F.lit("")))})
+    # Equal URLs are counted and scored once.
     texts = written(
-        rows.groupBy("lm_text").agg(
+        rows.groupBy(F.col("__id").alias("id")).agg(
             F.min("__says").alias("says"),
-            F.count("*").alias("n"),
-            F.substring(F.md5("lm_text"), 1, 1).isin(*HELD_OUT).alias("held_out"),
+            F.min(F.coalesce(F.col(url), F.lit(""))).alias("lm_text"),
+            F.substring("__id", 1, 1).isin(*HELD_OUT).alias("held_out"),
         ),
         "url-texts",
     )
@@ -97,20 +99,22 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
         F.sum(F.when(F.col("says") == "allow", learn).otherwise(0)).alias("acc"),
         F.sum(F.when(F.col("says") == "block", learn).otherwise(0)).alias("rej"),
     )
-    ratios = written(gram_scores(written(counts, "url-grams")), "url-ratios")
+    counts = written(counts, "url-grams")
+    ratios = written(gram_scores(counts), "url-ratios")
     wanted = texts.where(F.col("says").isNull() | F.col("held_out"))
     scored = (
-        _grams(wanted, "lm_text", "says")
+        _grams(wanted, "id", "says")
         .join(sized(ratios), "gram")
-        .groupBy("lm_text", "says")
+        .groupBy("id", "says")
         .agg(F.avg("ratio").alias("score"))
     )
     scored = written(scored, "url-scores")
     cut = threshold(scored)
-    scores = scored.where(F.col("says").isNull()).select("lm_text", "score")
-    out = rows.drop("score", "verdict").join(sized(scores), "lm_text", "left")
+    dropped(texts, counts, ratios)
+    scores = scored.where(F.col("says").isNull()).select(F.col("id").alias("__id"), "score")
+    out = rows.drop("score", "verdict").join(sized(scores, scored), "__id", "left")
     verdict = F.coalesce("__says", F.when(F.col("score") >= F.lit(cut), F.lit("allow")).otherwise(F.lit("block")))
-    return out.withColumn("verdict", verdict).drop("lm_text", "__says")
+    return out.withColumn("verdict", verdict).drop("__id", "__says")
 
 
 def threshold(scored: DataFrame) -> float:
@@ -148,10 +152,10 @@ def oracle() -> str:
     held = ", ".join(f"'{x}'" for x in HELD_OUT)
     gram = "substr(concat(chr(2), chr(2), chr(2), lm_text, chr(3)), pos, 4)"
     return f"""
-WITH rest AS (SELECT page_id, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', ['h', 'p']), {{'h': '', 'p': ''}}) r
+WITH rest AS (SELECT page_id, coalesce(url, '') AS lm_text, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', ['h', 'p']), {{'h': '', 'p': ''}}) r
               FROM pages),
-parts AS (SELECT page_id, translate(r.h, '{_UPPER}', '{_LOWER}') AS host, r.p AS path FROM rest),
-judged AS (SELECT *, concat(host, path) AS lm_text, CASE {rule}END AS rule, CASE {says}END AS says FROM parts),
+parts AS (SELECT page_id, lm_text, translate(r.h, '{_UPPER}', '{_LOWER}') AS host, r.p AS path FROM rest),
+judged AS (SELECT *, CASE {rule}END AS rule, CASE {says}END AS says FROM parts),
 texts AS (SELECT lm_text, min(says) AS says, substr(md5(lm_text), 1, 1) IN ({held}) AS held_out
           FROM judged GROUP BY lm_text),
 grams AS (SELECT lm_text, says, held_out, {gram} AS gram
