@@ -3,29 +3,30 @@
 A test item of n words may occur with up to ``n * ERRORS`` words inserted, deleted or replaced. Split into one piece
 more than that budget, some piece of it then occurs unchanged. Pieces are found by one automaton over the whole text,
 and around each hit the item's least edit distance is computed by Myers' bit-parallel algorithm (1999), words as
-symbols. Items are a stated query set: they are taken in blocks of a bounded size, each block a pass of its own over
-the documents.
-
-Words are parted by white space and compared without regard to case. Defined results: a null or empty text or item
-matches nothing; items with equal words all match; repeated rows match each by themselves; an empty benchmark gives
-empty match lists; other columns are carried along.
+symbols. Items are a stated query set: they are taken in blocks of a bounded size. Each block is a pass of its own over
+the documents, written, so the driver and each worker hold one block at a time, whatever the benchmark's size.
+
+Words are parted by white space and compared without regard to case. Items of fewer than LEAST_WORDS words are no
+evidence, as they occur in texts by chance: they are not searched for, and ``too_short`` lists them. Defined results: a
+null or empty text or item matches nothing; items with equal words all match; repeated rows match each by themselves;
+an empty benchmark gives empty match lists; ids of items are of any type; other columns are carried along, ``matches``
+replaces one of that name in ``find_items`` but not in ``clean``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import bare
+from chronopanel.llm.common import WHITE, bare, dropped, sized, written
 
-#: Share of an item's words that may differ, and the characters of items in a block.
-ERRORS = 0.2
+#: Share of an item's words that may differ, least words of an item, and the characters of items in a block.
+ERRORS, LEAST_WORDS = 0.2, 5
 BLOCK_CHARS = 8 << 20
-MATCHES = "array<struct<item_id:bigint,distance:bigint,start_word:bigint,end_word:bigint>>"
 
 
 def normal(text: str | None) -> list[str]:
@@ -60,12 +61,13 @@ def pieces(words: list[str], budget: int) -> list[tuple[int, list[str]]]:
 
 
 class Finder:
-    def __init__(self, items: list[tuple[int, str]], errors: float):
+    def __init__(self, items: list[tuple], errors: float, least: int = LEAST_WORDS):
         import ahocorasick
 
-        same: dict[tuple[str, ...], list[int]] = {}
+        same: dict[tuple[str, ...], list] = {}
         for item_id, text in items:
-            if w := normal(text):
+            w = normal(text)
+            if len(w) >= max(least, 1):
                 same.setdefault(tuple(w), []).append(item_id)
         self.items = [(list(w), ids, int(len(w) * errors)) for w, ids in same.items()]
         places: dict[str, list[tuple[int, int]]] = {}
@@ -110,7 +112,7 @@ class Finder:
         return sorted(out, key=lambda m: (m["item_id"] is None, m["item_id"]))
 
 
-def blocks(benchmark: DataFrame, item: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, item: str, limit: int) -> Iterator[list[tuple]]:
     block, n = [], 0
     for row in bare(benchmark, item, "text").where(F.col("text").isNotNull()).toLocalIterator():
         block.append((row[0], row[1]))
@@ -122,28 +124,55 @@ def blocks(benchmark: DataFrame, item: str, limit: int) -> Iterator[list[tuple[i
         yield block
 
 
-def _matches(docs: DataFrame, block: list[tuple[int, str]], errors: float) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def too_short(benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """The items that are not searched for."""
+    n_words = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), WHITE), ""))
+    return benchmark.where(n_words < least)
+
+
+def _matches(docs: DataFrame, block: list[tuple], errors: float, least: int, kind: str) -> Column:
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # of bounded size
     held: list[Finder] = []
 
-    @F.pandas_udf(MATCHES)
+    @F.pandas_udf(kind)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if not held:
-            held.append(Finder(shared.value, errors))
+            held.append(Finder(shared.value, errors, least))
         for texts in batches:
             yield pd.Series([held[0](t) for t in texts], dtype=object)
 
     return find.asNondeterministic()("text")  # else filters made from its result would run it once more
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, name: str, item: str, errors: float, least: int, block_chars: int) -> DataFrame:
+    """Every row with its matches as column ``name``."""
+    kind = f"array<struct<item_id:{benchmark.schema[item].dataType.simpleString()},distance:bigint,start_word:bigint,end_word:bigint>>"
+    rest = blocks(benchmark, item, block_chars)
+    ahead = [b for b in (next(rest, None), next(rest, None)) if b]
+    if len(ahead) < 2:
+        return docs.withColumn(name, _matches(docs, ahead[0], errors, least, kind) if ahead else F.array().cast(kind))
+    # Rows get a number that stays, and each block's pass writes the rows in which it found something.
+    rows, parts = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), []
+    for block in chain(ahead, rest):
+        part = rows.select("__row", "text").withColumn("m", _matches(rows, block, errors, least, kind))
+        parts.append(written(part.where(F.size("m") > 0).select("__row", "m"), "block-matches"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    every = written(every.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias(name)), "matches")
+    dropped(*parts)
+    out = rows.drop(name).join(sized(every), "__row", "left").drop("__row")
+    return out.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", errors: float = ERRORS,
-               block_chars: int = BLOCK_CHARS) -> DataFrame:
+               least: int = LEAST_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every row with ``matches``: items that occur, the least distance in words, and where."""
-    lists = [_matches(docs, b, errors) for b in blocks(benchmark, item, block_chars)]
-    empty = F.array().cast(MATCHES)
-    return docs.withColumn("matches", reduce(lambda a, b: F.concat(a, b), lists, empty) if lists else empty)
+    return _found(docs, benchmark, "matches", item, errors, least, block_chars)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", errors: float = ERRORS, least: int = LEAST_WORDS,
+          block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows in which no item occurs."""
-    return find_items(docs, benchmark, **options).where(F.size("matches") == 0).drop("matches")
+    out = _found(docs, benchmark, "__matches", item, errors, least, block_chars)
+    return out.where(F.size("__matches") == 0).select(*docs.columns)
