@@ -64,12 +64,26 @@ def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return out
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    files, at = _folder(spark, path)
+    files.delete(at, True)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The files in a folder of any store that Spark reads."""
+    files, at = _folder(spark, path)
+    return sorted(f.getPath().toString() for f in files.listStatus(at)) if files.exists(at) else []
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for table in tables:
-        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(table._written[0])
-        path.getFileSystem(conf).delete(path, True)
+        deleted(table.sparkSession, table._written[0])
 
 
 def sized(side: DataFrame, of: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:

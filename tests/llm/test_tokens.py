@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
 import zlib
 
@@ -60,19 +61,29 @@ def test_permutation(n):
     assert n < 64 or (slots != tokenids.Permutation(n, 9).slots(range(n))).any()
 
 
-def test_shards_round_trip_and_resume(spark, docs):
-    shards = tokenids.write_shards(docs, length=256, shard_bytes=100_000)
+@pytest.mark.parametrize("fan", [tokenids.FAN, 3])
+def test_shards_round_trip_and_resume(spark, docs, fan):
+    shards = tokenids.write_shards(docs, length=256, shard_bytes=50_000, fan=fan)
     rows = tokenids.read_shards(spark, shards).orderBy("sequence_id").collect()
     assert [r["sequence_id"] for r in rows] == list(range(shards.n_sequences))
     got = np.concatenate([np.frombuffer(r["ids"], dtype="<u2") for r in rows])
     tokens = packing.with_offsets(packing.token_table(docs)).orderBy("at").collect()
     want = np.concatenate([np.frombuffer(r["ids"], dtype="<u2") for r in tokens])
     assert (got[: len(want)] == want).all() and (got[len(want) :] == tokenids.END_ID).all() and len(got) - len(want) < 256
-    rest = tokenids.read_shards(spark, shards, from_slot=shards.per_shard + 3).collect()
-    assert min(r["slot"] for r in rest) == shards.per_shard + 3 and len(rest) == len(rows) - shards.per_shard - 3
     by_slot = {r["slot"]: r for r in rows}
     for slot in (0, shards.per_shard, shards.n_sequences - 1):
         assert shards.place(slot) == (by_slot[slot]["shard"], by_slot[slot]["byte_at"])
+    assert max(r["shard"] for r in rows) > 7
+    folder = pathlib.Path(shards.path.removeprefix("file://"))
+    for shard in range(5):  # no shard before the slot is opened: they may be gone
+        (file,) = (folder / f"region-{shard // fan:05d}").glob(f"part-{shard % fan:05d}-*")
+        content = file.read_bytes()
+        at = shards.place(shard * shards.per_shard + 2)[1]
+        assert content[at : at + 512] == by_slot[shard * shards.per_shard + 2]["ids"]
+        file.unlink()
+        rest = tokenids.read_shards(spark, shards, from_slot=(shard + 1) * shards.per_shard + 3).collect()
+        assert {r["slot"]: r["ids"] for r in rest} == {k: r["ids"] for k, r in by_slot.items() if k >= (shard + 1) * shards.per_shard + 3}
+    assert tokenids.read_shards(spark, shards, from_slot=shards.n_sequences + 10**6).count() == 0
 
 
 def test_counts_equal_the_librarys(docs):
@@ -130,9 +141,43 @@ def test_items_equal_brute_force(spark, sf, block):
     for d, t in rows:
         for k, x in items:
             p, w = decontam.normal(x), decontam.normal(t)
-            if p and w and (best := distance(p, w)[0]) <= int(len(p) * decontam.ERRORS):
+            if len(p) >= decontam.LEAST_WORDS and w and (best := distance(p, w)[0]) <= int(len(p) * decontam.ERRORS):
                 want[(d, k)] = best
     assert got == want and len(want) > 10
     kept = {r["doc_id"] for r in decontam.clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
     assert decontam.clean(docs, spark.createDataFrame([], "item_id long, text string")).count() == len(rows)
+    short = {r["item_id"] for r in decontam.too_short(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert short == {k for k, x in items if len(decontam.normal(x)) < decontam.LEAST_WORDS} == {900, 901, 902, 903}
+
+
+def test_one_block_at_a_time_and_callers_columns(spark):
+    items = [(f"item {i}", " ".join(f"i{i}w{j}" for j in range(9))) for i in range(50)]
+    rows = [(i, f"x {items[i][1]} y {items[(i * 7) % 50][1]}" if i < 50 else "nothing to find in this text at all", f"m{i}", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, matches string, item_id long").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    assert [len(b) for b in decontam.blocks(benchmark, "item_id", 10)] == [1] * 50
+    # Each block's pass is written before the next starts, so no plan, and no worker, has an automaton of two.
+    found = decontam.find_items(docs, benchmark, block_chars=10)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString()
+    got = {r["doc_id"]: sorted(m["item_id"] for m in r["matches"]) for r in found.collect()}
+    assert got == {i: sorted({f"item {i}", f"item {i * 7 % 50}"}) if i < 50 else [] for i in range(60)}
+    one = decontam.find_items(docs, benchmark)
+    assert got == {r["doc_id"]: sorted(m["item_id"] for m in r["matches"]) for r in one.collect()}
+    for chars in (400, 1 << 20):
+        kept = decontam.clean(docs, benchmark, block_chars=chars)
+        assert kept.columns == docs.columns and sorted((r["doc_id"], r["matches"]) for r in kept.collect()) == [(i, f"m{i}") for i in range(50, 60)]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000], ids=["spaces", "lines", "letters"])
+def test_long_runs(spark, library, text):
+    import sentencepiece
+
+    docs = spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs).where("doc_id = 1").orderBy("start").collect()
+    want = library(text)
+    assert np.array_equal(np.concatenate([np.frombuffer(r["ids"], dtype="<u2") for r in rows]), want)
+    got = np.concatenate([np.frombuffer(r["ids"], dtype="<u2") for r in tokenids.read_shards(spark, tokenids.write_shards(docs)).orderBy("sequence_id").collect()])
+    assert np.array_equal(got[: len(want)], want)
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert tokencount.merger(tokencount.VOCABULARY).count([text]) == [len(model.encode(text))]
