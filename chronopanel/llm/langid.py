@@ -4,6 +4,9 @@ Input is a window of bytes as one-hot rows, so a filter of width w is w tables o
 widths are max-pooled over the window, rectified and fed to a softmax. A text is cut into windows that cover it whole;
 its probabilities are the mean of its windows' log-probabilities, normalised.
 
+The network is fitted on a bounded sample, stratified by language: of each language the first texts by hash, of each text
+windows drawn from all of it. A rare language is learned from what there is of it.
+
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from every text
 is ``und`` with score 0; repeated rows get equal predictions; columns besides text and language are carried along and
 result columns replace those of the same names.
@@ -16,15 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.llm.common import written
+
 UNKNOWN = "und"
 #: Bytes in a window, widths of filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-#: The network is fitted on at most so many labelled documents, the first by a hash of their text, and at most so many
-#: windows of each; both bounds hold at any size of the corpus.
-FIT_DOCUMENTS, FIT_WINDOWS = 6000, 6
+#: The network is fitted on at most so many labelled documents of each language, the first by a hash of their text, on so
+#: many windows of each, drawn from the whole text, and on so many languages, the most frequent ones; the bounds hold at
+#: any size of the corpus.
+FIT_DOCUMENTS, FIT_WINDOWS, FIT_LANGUAGES = 1500, 6, 200
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 
 
@@ -102,52 +108,63 @@ def windows_of(raw: bytes) -> np.ndarray:
     return full if len(a) % WINDOW == 0 else np.concatenate([full, a[None, -WINDOW:]])
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Network | None:
-    """Fit by Adam on the cross entropy; the gradient reaches the tables through each filter's best place only."""
-    names = sorted(set(langs))
-    if not names:
-        return None
-    rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        w = windows_of(text.encode("utf-8", "replace"))
-        if len(w) > FIT_WINDOWS:
-            w = w[rng.choice(len(w), FIT_WINDOWS, replace=False)]
-        xs.append(w)
-        ys += [names.index(lang)] * len(w)
-    x, y = np.concatenate(xs), np.array(ys)
-    n_out, n_all = len(names), FILTERS * len(WIDTHS)
-    net = Network(
+def drawn(raw: bytes, n: int = FIT_WINDOWS) -> bytes:
+    """``n`` windows of a text, or all if it has fewer, drawn at random from all of it but alike for equal texts."""
+    w = windows_of(raw)
+    if len(w) > n:
+        w = w[np.sort(np.random.default_rng([len(raw), *raw[:64]]).choice(len(w), n, replace=False))]
+    return w.tobytes()
+
+
+def start(names: list[str], rng: np.random.Generator) -> Network:
+    n_all = FILTERS * len(WIDTHS)
+    return Network(
         names,
         {w: rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS},
         np.zeros(n_all, dtype=np.float32),
-        rng.normal(0, 0.3, (n_all, n_out)).astype(np.float32),
-        np.zeros(n_out, dtype=np.float32),
+        rng.normal(0, 0.3, (n_all, len(names))).astype(np.float32),
+        np.zeros(len(names), dtype=np.float32),
     )
-    weight = (len(y) / (n_out * np.bincount(y, minlength=n_out)))[y].astype(np.float32)
+
+
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the mean weighted cross entropy, by bias, softmax layer, its bias, and each width's tables. It reaches the tables
+    through each filter's best place only."""
+    pooled, where = net.pool(x)
+    rows = np.arange(len(y))
+    d = np.exp(net.log_probabilities(pooled))
+    d[rows, y] -= 1
+    d *= weight[:, None] / len(y)
+    back = (d @ net.out.T) * (pooled > 0)
+    out = [back.sum(0), np.maximum(pooled, 0).T @ d, d.sum(0)]
+    for j, w in enumerate(WIDTHS):
+        g = np.zeros_like(net.tables[w])
+        at, part = where[:, j * FILTERS : (j + 1) * FILTERS], back[:, j * FILTERS : (j + 1) * FILTERS]
+        for k in range(w):
+            np.add.at(g[k], (x[rows[:, None], at + k], np.arange(FILTERS)[None, :]), part)
+        out.append(g)
+    return out
+
+
+def train(samples: list[tuple[bytes, str]], seed: int = 7) -> Network | None:
+    """Fit by Adam on the cross entropy of windows, each language's of equal weight. ``samples``: windows and language."""
+    names = sorted({lang for _, lang in samples})
+    if not names:
+        return None
+    rng = np.random.default_rng(seed)
+    number = {n: i for i, n in enumerate(names)}
+    x = np.frombuffer(b"".join(w for w, _ in samples), dtype=np.uint8).reshape(-1, WINDOW)
+    y = np.repeat([number[lang] for _, lang in samples], [len(w) // WINDOW for w, _ in samples])
+    net = start(names, rng)
+    weight = (len(y) / (len(names) * np.bincount(y, minlength=len(names))))[y].astype(np.float32)
     params = [net.bias, net.out, net.out_bias, *net.tables.values()]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(y))
         for a in range(0, len(y), BATCH):
             pick = order[a : a + BATCH]
-            xb, yb, wb = x[pick], y[pick], weight[pick][:, None]
-            pooled, where = net.pool(xb)
-            hidden = np.maximum(pooled, 0)
-            d = np.exp(net.log_probabilities(pooled))
-            d[np.arange(len(pick)), yb] -= 1
-            d *= wb / len(pick)
-            back = (d @ net.out.T) * (pooled > 0)
-            grads = [back.sum(0), hidden.T @ d, d.sum(0)]
-            rows = np.arange(len(pick))[:, None]
-            for j, w in enumerate(WIDTHS):
-                g = np.zeros_like(net.tables[w])
-                at, part = where[:, j * FILTERS : (j + 1) * FILTERS], back[:, j * FILTERS : (j + 1) * FILTERS]
-                for k in range(w):
-                    np.add.at(g[k], (xb[rows, at + k], np.arange(FILTERS)[None, :]), part)
-                grads.append(g)
             step += 1
-            for p, g, mm, vv in zip(params, grads, m, v, strict=True):
+            for p, g, mm, vv in zip(params, gradients(net, x[pick], y[pick], weight[pick]), m, v, strict=True):
                 mm += 0.1 * (g - mm)
                 vv += 0.001 * (g * g - vv)
                 rate = RATE * (0.3 if epoch >= EPOCHS - 2 else 1)
@@ -155,25 +172,32 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Network | None:
     return net
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCUMENTS) -> Network | None:
-    """Train on a bounded sample: the ``n_docs`` distinct labelled texts with a letter that come first by hash.
+def sample(labelled: DataFrame, text: str, lang: str, n_docs: int, n_langs: int) -> DataFrame:
+    """(h, l, t): of each of the most frequent languages the first different texts by hash; a text with several labels may
+    be in the sample of each.
 
-    Hashes alone are ordered to find where the sample ends; only texts before that place come to the driver.
+    Hashes are uniform, so a language's share of its hashes that is expected to hold twice the bound is looked at; only
+    those are ordered, and no language's rows meet in one task before.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & has_letter(text)).withColumn("__h", F.xxhash64(text))
-    end = rows.select("__h").distinct().orderBy("__h").limit(n_docs).agg(F.max("__h")).first()[0]
-    if end is None:
-        return None
-    sample = rows.where(F.col("__h") <= end).select("__h", excerpt(text).alias("t"), F.col(lang).alias("l"))
-    sample = sample.groupBy("__h").agg(F.min(F.struct("l", "t")).alias("s")).orderBy("__h").select("s.t", "s.l").collect()
-    return train([r["t"] for r in sample], [r["l"] for r in sample])
+    hashes = labelled.where(F.col(lang).isNotNull() & has_letter(text)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    langs = hashes.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "l").limit(n_langs)
+    langs = written(langs.select("l", (F.lit(2.0 * n_docs) / F.col("n")).alias("share")), "languages")
+    first = hashes.join(F.broadcast(langs), "l").where(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    chosen = written(first.select("h", "l").distinct().withColumn("rank", rank).where(F.col("rank") <= n_docs).select("h", "l"), "language-sample")
+    return hashes.join(F.broadcast(chosen), ["h", "l"]).groupBy("h", "l").agg(F.min("t").alias("t"))
 
 
-def excerpt(text: str) -> Column:
-    """What training draws windows from: 4,096 characters from the middle of a longer text."""
-    return F.when(F.length(text) <= 4096, F.col(text)).otherwise(
-        F.substring(F.col(text), ((F.length(text) - 4096) / 2).cast("int") + 1, F.lit(4096))
-    )
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCUMENTS, n_langs: int = FIT_LANGUAGES) -> Network | None:
+    """Train on a bounded sample; only its texts' windows come to the driver."""
+
+    @F.pandas_udf("binary")
+    def windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([drawn(t.encode("utf-8", "replace")) for t in texts], dtype=object)
+
+    rows = sample(labelled, text, lang, n_docs, n_langs).select("h", "l", windows("t").alias("w")).orderBy("h", "l").collect()
+    return train([(bytes(r["w"]), r["l"]) for r in rows])
 
 
 def has_letter(text: str = "text") -> Column:
