@@ -6,7 +6,8 @@ the best grade, by which documents are selected.
 
 Grades: 0 toxic, 1 poor, 2 good. Features: distinct words, their beginnings, and a few bucketed rates of the whole text. Defined results:
 a null or empty text has the features of no words; with nothing to learn from, every document has null scores and is
-kept; repeated rows get equal scores; a document with several labels counts with its lowest grade.
+kept; repeated rows get equal scores; a document with several labels counts with its lowest grade; columns of the
+documents are carried along, but result columns (score, expected_grade, p_best, kept) replace those of the same names.
 """
 
 from __future__ import annotations
@@ -64,6 +65,23 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
+def slopes(score: np.ndarray, theta: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of each document's log P(grade) by its score and by the thresholds.
+
+    P(grade) is the difference of two neighbouring tails, of which the first is 1 and the last 0.
+    """
+    row, n = np.arange(len(y)), len(theta)
+    tail = 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -40, 40)))
+    full = np.concatenate([np.ones((len(y), 1)), tail, np.zeros((len(y), 1))], 1)
+    slope = full * (1 - full)
+    p = np.maximum(full[row, y] - full[row, y + 1], 1e-9)
+    above, below = slope[row, y] / p, slope[row, y + 1] / p
+    by_theta = np.zeros((len(y), n + 2))
+    by_theta[row, y] -= above
+    by_theta[row, y + 1] += below
+    return above - below, by_theta[:, 1:-1]
+
+
 def train(rows: list[np.ndarray], grades: np.ndarray, seed: int = 3) -> Ordinal | None:
     """Likelihood of the grades, by Adagrad over documents in random order; thresholds stay ordered by their gaps."""
     if not len(rows) or len(set(grades.tolist())) < 2:
@@ -85,19 +103,10 @@ def train(rows: list[np.ndarray], grades: np.ndarray, seed: int = 3) -> Ordinal
             idx = np.concatenate([flat[starts[i] : starts[i + 1]] for i in pick])
             own = np.repeat(np.arange(len(pick)), starts[pick + 1] - starts[pick])
             theta = np.r_[first, first + np.cumsum(np.exp(gaps))]
-            tail = 1 / (1 + np.exp(-np.clip(np.bincount(own, w[idx], len(pick))[:, None] - theta, -40, 40)))
-            # d log P(grade) / d score, with P(grade) a difference of neighbouring tails.
-            full = np.concatenate([np.ones((len(pick), 1)), tail, np.zeros((len(pick), 1))], 1)
-            y, row = grades[pick], np.arange(len(pick))
-            slope = full * (1 - full)
-            p = np.maximum(full[row, y] - full[row, y + 1], 1e-9)
-            up, down = slope[row, y] / p, slope[row, y + 1] / p
-            d_theta = np.zeros((len(pick), GRADES + 1))
-            np.add.at(d_theta, (row, y), -up)
-            np.add.at(d_theta, (row, y + 1), down)
-            d_theta = d_theta[:, 1:-1].mean(0)
+            up, d_theta = slopes(np.bincount(own, w[idx], len(pick)), theta, grades[pick])
+            d_theta = d_theta.mean(0)
             used, at = np.unique(idx, return_inverse=True)
-            g = np.bincount(at, (up - down)[own], len(used)) / np.sqrt(len(pick)) - SHRINK * w[used] * np.sqrt(len(pick))
+            g = np.bincount(at, up[own], len(used)) / np.sqrt(len(pick)) - SHRINK * w[used] * np.sqrt(len(pick))
             g2[used] += g * g
             w[used] += RATE * g / np.sqrt(g2[used])
             first += 0.1 * d_theta.sum()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chronopanel.llm import langid, quality, rules
@@ -44,6 +45,106 @@ def test_windows_cover_the_text():
     assert b"".join(bytes(x) for x in w[:-1]) == raw[: len(raw) // langid.WINDOW * langid.WINDOW]
 
 
+def test_sample_is_stratified_and_whole(spark):
+    rows = [(f"text {i} of many", "en") for i in range(3000)] + [(f"selten {i}", "de") for i in range(3)] + [("copied text", "en")] * 500 + [("copied text", "de")] * 2
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), "text", "lang", 50, 9).collect()
+    assert len(got) == 54 and {r["t"] for r in got if r["l"] == "de"} == {"copied text", *(f"selten {i}" for i in range(3))}
+    again = langid.sample(spark.createDataFrame(rows[::-1], "text string, lang string").repartition(3), "text", "lang", 50, 9).collect()
+    assert sorted(got) == sorted(again)
+    raw = b"".join(b"%05d" % i for i in range(40_000))
+    parts = np.frombuffer(langid.drawn(raw), dtype=np.uint8).reshape(-1, langid.WINDOW)
+    assert len(parts) == langid.FIT_WINDOWS and max(raw.index(bytes(p)) for p in parts) > len(raw) // 2
+
+
+def small_network(seed):
+    rng = np.random.default_rng(seed)
+    net = langid.start(["a", "b", "c"], rng)
+    net.bias += rng.normal(0, 0.3, len(net.bias)).astype(np.float32)
+    return net, rng.integers(0, 256, (9, langid.WINDOW), dtype=np.uint8), rng.integers(0, 3, 9), rng.random(9).astype(np.float32) + 0.5
+
+
+def test_pooling_equals_a_plain_loop():
+    net, x, _, _ = small_network(1)
+    pooled, where = net.pool(x)
+    for r, window in enumerate(x):
+        j = 0
+        for width, table in net.tables.items():
+            for f in range(langid.FILTERS):
+                responses = [sum(float(table[k][window[i + k]][f]) for k in range(width)) for i in range(langid.WINDOW - width + 1)]
+                assert abs(max(responses) + net.bias[j] - pooled[r, j]) < 1e-4
+                assert abs(responses[where[r, j]] - max(responses)) < 1e-4
+                j += 1
+    assert np.allclose(net.fast().pool(x), pooled, atol=1e-4)
+
+
+def test_gradient_of_the_network():
+    net, x, y, weight = small_network(2)
+    for name in ("bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    net.tables = {w: t.astype(np.float64) for w, t in net.tables.items()}
+
+    def loss():
+        p = net.log_probabilities(net.pool(x)[0])
+        return float(-(p[np.arange(len(y)), y] * weight).mean())
+
+    params = [net.bias, net.out, net.out_bias, *net.tables.values()]
+    rng = np.random.default_rng(3)
+    for p, g in zip(params, langid.gradients(net, x, y, weight), strict=True):
+        flat, slope = p.reshape(-1), g.reshape(-1)
+        for i in {*rng.integers(0, len(flat), 15).tolist(), *np.argsort(-np.abs(slope))[:10].tolist()}:
+            was, step = flat[i], 1e-4
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            numeric = (up - loss()) / (2 * step)
+            flat[i] = was
+            assert abs(numeric - slope[i]) < 2e-3 * max(1, abs(slope[i]))
+
+
+def test_language_keeps_clashing_columns(spark):
+    rows = [(i, "der die das und " * 5 if i % 2 else "the and of to " * 5, "de" if i % 2 else "en", "mine", "x", i) for i in range(60)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, l string, h int"))
+    assert out.where("l = 'x' AND h = doc_id").count() == 60 and dict(out.dtypes)["held_out"] == "boolean"
+    assert out.where("lang = lang_pred").count() == 60
+
+
+def test_slopes_of_the_ordinal_model():
+    rng = np.random.default_rng(5)
+    theta, score, y = np.array([-0.7, 1.1]), rng.normal(0, 2, 40), rng.integers(0, 3, 40)
+
+    def log_p(score, theta):  # by the definition: P(grade > k) is logistic(score - threshold k)
+        above = [1.0 / (1 + np.exp(t - score)) for t in theta]
+        p = np.stack([1 - above[0], above[0] - above[1], above[1]])
+        return np.log(p[y, np.arange(len(y))])
+
+    by_score, by_theta = quality.slopes(score, theta, y)
+    step = 1e-5
+    assert np.allclose(by_score, (log_p(score + step, theta) - log_p(score - step, theta)) / (2 * step), atol=1e-5)
+    for k in range(2):
+        d = np.eye(2)[k] * step
+        assert np.allclose(by_theta[:, k], (log_p(score, theta + d) - log_p(score, theta - d)) / (2 * step), atol=1e-5)
+    model = quality.Ordinal(np.zeros(4), theta)
+    assert np.allclose(model.tails(score), np.stack([1 / (1 + np.exp(t - score)) for t in theta], 1))
+
+
+def test_quality_scores_are_sums_of_weights(spark):
+    rng = np.random.default_rng(6)
+    model = quality.Ordinal(rng.normal(0, 1, quality.WEIGHTS).astype(np.float32), np.array([-1.0, 0.5]))
+    rows = [(1, "a b c"), (2, None), (3, "### x"), (4, "word " * 50_000)]
+    for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        s = sum(float(model.weights[f]) for f in set(quality.features(dict(rows)[r["doc_id"]]).tolist()))
+        tails = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
+        assert np.allclose([r["score"], r["expected_grade"], r["p_best"]], [s, sum(tails), tails[-1]], atol=1e-4)
+        assert r["kept"] == (r["p_best"] >= quality.KEEP)
+
+
+def test_quality_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"w{i} good text", "mine", "s", i) for i in range(9)], "doc_id long, text string, grade string, score string, kept int")
+    labels = spark.createDataFrame([(i, i % 2, 0, "l") for i in range(9)], "doc_id long, quality int, toxic int, text string")
+    out = quality.select(docs, labels)
+    assert out.where("grade = 'mine'").count() == 9 and dict(out.dtypes)["kept"] == "boolean" and dict(out.dtypes)["score"] == "double"
+
+
 def test_quality_tells_grades(spark, sf):
     path = sf.rsplit("/", 1)[0] + "/sf0.1"
     docs, labels = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{path}/labels.parquet")
