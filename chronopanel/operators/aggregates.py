@@ -35,6 +35,19 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
 
 
+def ensemble(rows: DataFrame, keys: list[str], member: str, value: str, name: str) -> DataFrame:
+    """Mean over members by key; a key that a member lacks, or has twice, raises when the result is read."""
+    n = rows.select(member).distinct().count()
+    out = rows.groupBy(*keys).agg(F.avg(value).alias(name), F.count("*").alias("__n"), F.countDistinct(member).alias("__d"))
+    guard = F.assert_true((F.col("__n") == n) & (F.col("__d") == n), F.lit("members don't cover the same keys"))
+    return out.where(guard.isNull()).drop("__n", "__d")
+
+
+def replaced(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Old rows, those with a new one of the same key replaced by it, and new ones."""
+    return new.unionByName(old.join(new.select(*key), key, "left_anti"), allowMissingColumns=True)
+
+
 def profile(rows: DataFrame, cols: list[str]) -> DataFrame:
     """One row a column: rows, observed share, least and most; a single pass."""
     aggs = [F.count("*").alias("n")]

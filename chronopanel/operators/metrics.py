@@ -131,15 +131,54 @@ def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int)
     return counts.join(places, "__i").select("replicate", key, "weight")
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int, threshold: float = 0.5) -> DataFrame:
-    """(replicate, auroc, brier, sensitivity): rows are summed by cluster and score first."""
-    cells = rows.groupBy(cluster, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+def bootstrap_curves(rows: DataFrame, cluster: str, replicates: int, seed: int, p: str = "p") -> DataFrame:
+    """(replicate, score, pos, neg) of clusters drawn with replacement: rows are summed by cluster and score first."""
+    cells = rows.groupBy(cluster, p).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     drawn = cells.join(bootstrap_weights(rows, cluster, replicates, seed), cluster)
-    c = drawn.groupBy("replicate", F.col("p").alias("score")).agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
+    return drawn.groupBy("replicate", F.col(p).alias("score")).agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
+
+
+def cluster_bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """(replicate, auroc, auprc, brier, ece) and at each named threshold sensitivity, specificity, ppv, npv and f1."""
+    c = bootstrap_curves(rows, cluster, replicates, seed)
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
-    other = c.groupBy("replicate").agg(
-        (F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / F.sum(pos + neg)).alias("brier"), (F.sum(F.when(s >= threshold, pos).otherwise(0)) / F.sum(pos)).alias("sensitivity"))
-    return auroc(c, ["replicate"]).join(other, "replicate")
+    aggs = [(F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / F.sum(pos + neg)).alias("brier")]
+    for name, t in (thresholds or {}).items():
+        for cell, value in (("tp", F.when(s >= t, pos)), ("fp", F.when(s >= t, neg)), ("fn", F.when(s < t, pos)), ("tn", F.when(s < t, neg))):
+            aggs.append(F.coalesce(F.sum(value), F.lit(0)).alias(f"{cell}_{name}"))
+    other = c.groupBy("replicate").agg(*aggs)
+    for name in thresholds or {}:
+        cells = other.select("replicate", *[F.col(f"{k}_{name}").alias(k) for k in ("tp", "fp", "fn", "tn")])
+        named = cells.select("replicate", *[v.alias(f"{k}_{name}") for k, v in rates(None).items()])
+        other = other.drop(*[f"{k}_{name}" for k in ("tp", "fp", "fn", "tn")]).join(named, "replicate")
+    bins = c.groupBy("replicate", bin_of(s, equal_edges(10)).alias("bin")).agg(F.sum(pos + neg).alias("n"), F.abs(F.sum(s * (pos + neg)) - F.sum(pos)).alias("gap"))
+    ece = bins.groupBy("replicate").agg((F.sum("gap") / F.sum("n")).alias("ece"))
+    auprc = average_precision(c, ["replicate"]).withColumnRenamed("average_precision", "auprc")
+    return auroc(c, ["replicate"]).join(auprc, "replicate").join(other, "replicate").join(ece, "replicate")
+
+
+def alarms(rows: DataFrame, events: DataFrame, alerts: DataFrame, entity: str, hour: str, ahead: int) -> DataFrame:
+    """One row: what alerts, already suppressed, tell of first events, and at what price. ``rows`` are the hours watched,
+    none of them after its entity's event; an alert is true within ``ahead`` hours before it."""
+    near = (F.col(hour) >= F.col("event_hour") - ahead) & (F.col(hour) < F.col("event_hour"))
+    judged = alerts.join(events, entity, "left").withColumn("hit", F.coalesce(near, F.lit(False)))
+    first = judged.where("hit").groupBy(entity).agg(F.min(hour).alias("first"))
+    lead = events.join(first, entity, "left").select((F.col("event_hour") - F.col("first")).alias("lead"))
+    q = lambda p: F.percentile("lead", F.lit(p))
+    told = lead.agg(F.count("*").alias("events"), F.count("lead").alias("detected"), q(0.25).alias("lead_q1"), q(0.5).alias("lead_median"), q(0.75).alias("lead_q3"))
+    price = judged.agg(F.count("*").alias("alerts"), F.count(F.when(F.col("hit"), 1)).alias("true_alerts"), F.countDistinct(F.when(~F.col("hit"), F.col(entity))).alias("with_false"))
+    watched = rows.agg((F.count("*") / 24).alias("days"), F.countDistinct(entity).alias("entities"))
+    out = told.join(price).join(watched)  # one row each
+    false = F.col("alerts") - F.col("true_alerts")
+    return out.select("events", "detected", (F.col("detected") / F.nullif("events", F.lit(0))).alias("event_sensitivity"), "alerts", "true_alerts", (F.col("true_alerts") / F.nullif("alerts", F.lit(0))).alias("ppv"),
+                      (100 * F.col("alerts") / F.col("days")).alias("per_100_days"), (100 * false / F.col("days")).alias("false_per_100_days"), "with_false", (F.col("with_false") / F.col("entities")).alias("with_false_share"),
+                      "lead_q1", "lead_median", "lead_q3")
+
+
+def paired_reference(metrics: DataFrame, seed: str, variant: str, value: str, reference: str) -> DataFrame:
+    """(seed, variant, diff): each variant's metric less the reference's of the same seed."""
+    base = metrics.where(F.col(variant) == reference).select(seed, F.col(value).alias("__base"))
+    return metrics.where(F.col(variant) != reference).join(base, seed).select(seed, variant, (F.col(value) - F.col("__base")).alias("diff"))
 
 
 def percentile_ci(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -160,16 +199,25 @@ def platt(rows: DataFrame, steps: int = 25) -> tuple[float, float]:
 
     c = curve(rows).select(logit(F.col("score")).alias("x"), "pos", (F.col("pos") + F.col("neg")).alias("n")).cache()
     a, b = 0.0, 1.0
-    for _ in range(steps):
-        q = sigmoid(F.lit(a) + F.lit(b) * F.col("x"))
-        r, v = F.col("pos") - F.col("n") * q, F.col("n") * q * (1 - q)
-        g0, g1, h00, h01, h11 = c.agg(F.sum(r), F.sum(r * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") ** 2)).first()
-        det = h00 * h11 - h01 * h01
-        if not det:
-            break
-        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-        a, b = a + da, b + db
-        if abs(da) + abs(db) < 1e-10:
-            break
-    c.unpersist()
+    try:
+        for _ in range(steps):
+            q = sigmoid(F.lit(a) + F.lit(b) * F.col("x"))
+            r, v = F.col("pos") - F.col("n") * q, F.col("n") * q * (1 - q)
+            g0, g1, h00, h01, h11 = c.agg(F.sum(r), F.sum(r * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") ** 2)).first()
+            det = h00 * h11 - h01 * h01
+            if not det:
+                break
+            da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+            a, b = a + da, b + db
+            if abs(da) + abs(db) < 1e-10:
+                break
+    finally:
+        c.unpersist()
     return a, b
+
+
+def scaled(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """A score between its least and greatest as a number from 0 to 1, where nothing can be fitted; 0 if it never varies."""
+    ends = rows.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))  # one row
+    value = F.coalesce((F.col(column) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)), F.lit(0.0))
+    return rows.join(F.broadcast(ends)).withColumn(name, value).drop("__lo", "__hi")

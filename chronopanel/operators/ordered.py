@@ -10,6 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Buckets that quantiles make: the driver holds their borders, and nothing else.
+BUCKETS = 128
+
+
+def even_buckets(rows: DataFrame, order: str, n: int = BUCKETS) -> Column:
+    """Buckets of about equally many rows, whatever the column's range: borders are approximate quantiles."""
+    borders = rows.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]), 10_000)).first()[0]
+    borders = sorted(set(borders or []))
+    if not borders:
+        return F.lit(0)
+    array = F.array(*[F.lit(b) for b in borders])
+    return F.size(F.filter(array, lambda b: b <= F.col(order)))
+
 
 def running(rows: DataFrame, order: str, bucket: Column, sums: dict[str, str], by: list[str] | None = None, descending: bool = False,
             exclusive: bool = False) -> DataFrame:
@@ -26,7 +39,7 @@ def running(rows: DataFrame, order: str, bucket: Column, sums: dict[str, str], b
     return out.drop("__k", *[f"__b_{new}" for new in sums])
 
 
-def numbered(keys: DataFrame, key: str, name: str, width: int = 4096) -> DataFrame:
+def numbered(keys: DataFrame, key: str, name: str) -> DataFrame:
     """Number distinct numeric keys from 0 in their order."""
     ones = keys.select(key).distinct().withColumn("__one", F.lit(1).cast("long"))
-    return running(ones, key, F.floor(F.col(key) / width), {name: "__one"}, exclusive=True).drop("__one")
+    return running(ones, key, even_buckets(ones, key), {name: "__one"}, exclusive=True).drop("__one")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from chronopanel.operators.ordered import running
+from chronopanel.functions.exprs import clip, sigmoid
+from chronopanel.operators.ordered import even_buckets, running
 
 
 def timeline(entity: str, time: str) -> WindowSpec:
@@ -89,10 +90,51 @@ def ols_slope(c: str, hour: str, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(c).over(t) == n, F.regr_slope(F.col(c), F.col(hour)).over(t))
 
 
+def summary_vector(features: list[str], hour: str, n: int, w: WindowSpec) -> dict[str, Column]:
+    """The vector that stands for the last n rows: of each feature its last value, missingness and recency, then mean,
+    least, most, deviation, slope, last step and change of the window, then the share of missing rows.
+
+    Beside a feature ``x`` there are ``x_missing`` (0 or 1) and ``x_since``. Rows with fewer than n values have nulls
+    in ``complete``.
+    """
+    t = trailing(w, n)
+    out = {f"last_{c}": F.col(c) for f in features for c in (f, f"{f}_missing", f"{f}_since")}
+    for f in features:
+        out |= {
+            f"mean_{f}": F.avg(f).over(t), f"min_{f}": F.min(f).over(t), f"max_{f}": F.max(f).over(t), f"std_{f}": F.stddev_pop(f).over(t),
+            f"slope_{f}": F.regr_slope(F.col(f), F.col(hour)).over(t), f"step_{f}": F.col(f) - F.lag(f, 1).over(w),
+            f"span_{f}": F.col(f) - F.first(f).over(t), f"missing_mean_{f}": F.avg(f"{f}_missing").over(t),
+        }
+    full = [F.count(f).over(t) == n for f in features]
+    complete = full[0]
+    for c in full[1:]:
+        complete = complete & c
+    return out | {"complete": complete}
+
+
+#: Names of the explicit temporal signals of a risk trajectory.
+SIGNALS = ("mean_risk", "min_risk", "max_risk", "risk_std", "risk_slope", "short_term_change", "window_change", "abnormal_duration",
+           "abnormal_frequency", "missing_fraction", "current_missing", "time_since")
+
+
+def signals(risk: str, missing: str, since: str, hour: str, n: int, w: WindowSpec) -> dict[str, Column]:
+    """Twelve signals of the last n rows of a risk between 0 and 4, as window sums: no window is gathered."""
+    t = trailing(w, n)
+    r, m = F.col(risk), F.col(missing)
+    abnormal = sigmoid((r - 0.5) / 0.2)
+    seen = F.sum(1 - m).over(t)
+    often = F.when(seen > 0, F.sum(abnormal * (1 - m)).over(t) / F.greatest(seen, F.lit(1.0))).otherwise(0.0)
+    stale = F.log1p(clip(F.col(since).cast("double"), 0.0, 168.0)) / F.log(F.lit(169.0))
+    values = (F.avg(r).over(t) / 4, F.min(r).over(t) / 4, F.max(r).over(t) / 4, F.stddev_pop(r).over(t) / 2,
+              F.tanh(F.regr_slope(r, F.col(hour)).over(t)), F.tanh(r - F.lag(r, 1).over(w)), F.tanh(r - F.first(r).over(t)),
+              F.avg(abnormal).over(t), often, F.avg(m).over(t), m, stale)
+    return dict(zip(SIGNALS, values, strict=True))
+
+
 def average_rank(rows: DataFrame, by: str, name: str = "rank") -> DataFrame:
     """Rank of a numeric column with ties averaged. Counts by distinct value are accumulated, not rows."""
     counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
-    below = running(counts, by, F.floor(by), {"__below": "__n"}, exclusive=True)
+    below = running(counts, by, even_buckets(counts, by), {"__below": "__n"}, exclusive=True)
     return rows.join(below.select(by, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name)), by)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,47 @@ def require_fractions(parts: list[float]) -> list[float]:
     if min(parts) <= 0 or abs(sum(parts) - 1) > 1e-9:
         raise GuardError(f"fractions must be positive and sum to 1: {parts}")
     return parts
+
+
+def require_manifest(manifest: DataFrame, key: str, split: str, names: list[str]) -> DataFrame:
+    """A split manifest: keys unique and not null, splits known; one pass tells."""
+    require_columns(manifest, [key, split])
+    bad = manifest.agg(
+        F.sum(F.col(key).isNull().cast("long")).alias("null keys"), F.sum((~F.coalesce(F.col(split).isin(*names), F.lit(False))).cast("long")).alias("unknown splits"),
+        (F.count(key) - F.countDistinct(key)).alias("repeated keys")).first().asDict()
+    if wrong := {k: v for k, v in bad.items() if v}:
+        raise GuardError(f"manifest has {wrong}")
+    return manifest
+
+
+def require_whole(part: str) -> str:
+    """The test part is never sampled."""
+    if part == "test":
+        raise GuardError("the test part may not be sampled")
+    return part
+
+
+#: Settings that say that a run saw only some of the data.
+TRUNCATING = ("max_rows", "max_stays", "max_batches", "max_chunks", "limit", "sample", "smoke", "head")
+
+
+def truncated(config: Any, names: Iterable[str] = TRUNCATING, at: str = "") -> list[str]:
+    """Paths of settings in a nested configuration that cut the data short; null, 0 and false ones don't."""
+    if isinstance(config, dict):
+        found = [f"{at}/{k}" for k, v in config.items() if k in names and v]
+        return found + [p for k, v in config.items() for p in truncated(v, names, f"{at}/{k}")]
+    if isinstance(config, (list, tuple)):
+        return [p for i, v in enumerate(config) for p in truncated(v, names, f"{at}/{i}")]
+    return []
+
+
+def audit(checks: DataFrame) -> DataFrame:
+    """(name, expected, found) with whether they agree; null agrees with null."""
+    return checks.withColumn("ok", F.col("expected").eqNullSafe(F.col("found")))
+
+
+def require_audit(checks: DataFrame) -> DataFrame:
+    bad = audit(checks).where("NOT ok").take(1)
+    if bad:
+        raise GuardError(f"{bad[0]['name']}: expected {bad[0]['expected']}, found {bad[0]['found']}")
+    return checks

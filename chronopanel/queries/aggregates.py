@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from chronopanel.functions import exprs as X
 from chronopanel.operators import aggregates as A
 from chronopanel.operators.temporal import average_rank
-from chronopanel.queries.base import PANEL, events_panel, query, table
+from chronopanel.queries.base import PANEL, PREDICTIONS, events_panel, predictions, query, table
+from chronopanel.sources import ingest
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 6) AS qty, round(avg(l_extendedprice), 6) AS price, min(l_discount) AS least, max(l_tax) AS most, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
@@ -117,10 +118,54 @@ def agg_weighted(spark, sf):
     return X.rounded(table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(A.weighted_mean(F.col("o_totalprice"), F.col("o_custkey") % 10).alias("weighted")), 4)
 
 
-@query("SELECT user_id, event_type, round(avg(value), 6) AS ensemble, count(*) AS members FROM events GROUP BY 1, 2 HAVING count(*) >= 3")
+@query(PREDICTIONS + "SELECT id, y, round((p + round(p, 1) + floor(p * 20) / 20) / 3, 6) AS ensemble FROM pred")
 def agg_ensemble(spark, sf):
-    g = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("ensemble"), F.count("*").alias("members"))
-    return X.rounded(g.where("members >= 3"))
+    """The mean of three members' predictions of the same windows; members that don't cover the same ones raise."""
+    rows = predictions(spark, sf)
+    members = {"a": F.col("p"), "b": F.round("p", 1), "c": F.floor(F.col("p") * 20) / 20}
+    u = rows.select("id", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("member"), p.alias("p")) for k, p in members.items()])).alias("m")).select("id", "y", "m.*")
+    return X.rounded(A.ensemble(u, ["id", "y"], "member", "p", "ensemble"))
+
+
+@query("""
+SELECT name, kind, observed, round(share, 6) AS share, entities, positives FROM (
+  SELECT 'view' AS name, 'feature' AS kind, count("view") AS observed, count("view") / count(*) AS share, count(DISTINCT CASE WHEN "view" IS NOT NULL THEN user_id END) AS entities, NULL::BIGINT AS positives FROM panel
+  UNION ALL SELECT 'err', 'feature', count(err), count(err) / count(*), count(DISTINCT CASE WHEN err IS NOT NULL THEN user_id END), NULL FROM panel
+  UNION ALL SELECT 'high', 'label', count("view"), count("view") / count(*), count(DISTINCT CASE WHEN "view" IS NOT NULL THEN user_id END), sum(("view" > 60)::INT)::BIGINT FROM panel)""".replace("\nSELECT name", PANEL + "\nSELECT name", 1))
+def feature_manifest(spark, sf):
+    p = events_panel(spark, sf)
+    p = p.select("user_id", F.col("view").isNull().cast("int").alias("view_is_missing"), F.col("err").isNull().cast("int").alias("err_is_missing"), (F.col("view") > 60).cast("int").alias("high"))
+    return X.rounded(ingest.feature_manifest(p, "user_id", {"view": "view_is_missing", "err": "err_is_missing"}, ["high"]))
+
+
+@query("""
+WITH a AS (SELECT o_orderpriority AS model, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS test_auroc, avg(o_custkey) FILTER (o_orderstatus = 'F') AS test_brier, avg(o_totalprice) AS val_auroc, avg(o_custkey) AS val_brier FROM orders GROUP BY 1),
+b AS (SELECT c_mktsegment AS model, avg(c_acctbal) AS val_auroc FROM customer GROUP BY 1)
+SELECT 'orders' AS family, model, CASE WHEN model < '3' OR test_auroc IS NULL THEN 'val' ELSE 'test' END AS part, round(CASE WHEN model < '3' OR test_auroc IS NULL THEN val_auroc ELSE test_auroc END, 4) AS auroc,
+       round(CASE WHEN model < '3' OR test_auroc IS NULL THEN val_brier ELSE test_brier END, 4) AS brier FROM a
+UNION ALL SELECT 'customers', model, 'val', round(val_auroc, 4), NULL FROM b""")
+def metric_harvest(spark, sf):
+    """Metric tables of two shapes as one: test figures where there are any, else validation figures."""
+    o, done = table(spark, sf, "orders"), F.col("o_orderstatus") == "F"
+    some = F.col("o_orderpriority") >= "3"
+    a = o.groupBy(F.col("o_orderpriority").alias("model")).agg(
+        F.avg(F.when(done & some, F.col("o_totalprice"))).alias("test_auroc"), F.avg(F.when(done & some, F.col("o_custkey"))).alias("test_brier"),
+        F.avg("o_totalprice").alias("val_auroc"), F.avg("o_custkey").alias("val_brier"))
+    b = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("model")).agg(F.avg("c_acctbal").alias("val_auroc"))
+    return X.rounded(ingest.harvested({"orders": a, "customers": b}, ["model"], ["auroc", "brier"]), 4)
+
+
+@query("""
+WITH old AS (SELECT o_orderpriority AS model, 1.0::DOUBLE AS value FROM orders GROUP BY 1), fresh AS (SELECT o_orderpriority AS model, round(avg(o_totalprice), 4) AS value FROM orders WHERE o_orderpriority < '4' GROUP BY 1),
+u AS (SELECT * FROM fresh UNION ALL SELECT * FROM old WHERE model NOT IN (SELECT model FROM fresh))
+SELECT row_number() OVER (ORDER BY CASE substr(model, 1, 1) WHEN '5' THEN 0 WHEN '2' THEN 1 ELSE 2 END, model) AS place, model, value FROM u""")
+def publication_table(spark, sf):
+    """Rows replaced by newer ones of the same key, in a given order, the rest by name."""
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "model")
+    old = o.select("model").distinct().withColumn("value", F.lit(1.0))
+    fresh = o.where("model < '4'").groupBy("model").agg(F.round(F.avg("o_totalprice"), 4).alias("value"))
+    rank = F.when(F.col("model").startswith("5"), 0).when(F.col("model").startswith("2"), 1).otherwise(2)
+    return A.replaced(old, fresh, ["model"]).select(F.row_number().over(Window.orderBy(rank, "model")).cast("long").alias("place"), "model", "value")  # a table to print is small
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")

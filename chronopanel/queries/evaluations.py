@@ -99,23 +99,6 @@ def preferred_rows(spark, sf):
     return fine.union(legacy.join(fine, "model", "left_anti"))
 
 
-@query(FILLED + """,
-m AS (SELECT user_id, hr, v, e, (v IS NOT NULL)::INT + (e IS NOT NULL)::INT AS present FROM filled),
-p AS (SELECT a.user_id, a.hr, max(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN b.v - a.v END) AS rise, count(*) AS ahead, sum((b.present = a.present)::INT) AS same
-      FROM m a JOIN m b ON a.user_id = b.user_id AND b.hr > a.hr AND b.hr <= a.hr + 6 GROUP BY 1, 2)
-SELECT user_id, hr, (rise >= 20)::BIGINT AS common_label, CASE WHEN same = 6 THEN (rise >= 20)::BIGINT END AS stable_label FROM p WHERE ahead = 6""")
-def documentation_bias(spark, sf):
-    """Labels from what both hours document, and only where the set of documented features stays the same."""
-    w = T.timeline("user_id", "hr").rowsBetween(1, 6)
-    present = F.col("v").isNotNull().cast("int") + F.col("e").isNotNull().cast("int")
-    m = filled_panel(spark, sf).select("user_id", "hr", "v", present.alias("present"))
-    # The spine is dense, so the next six rows are the next six hours: a frame does what a band join would.
-    ahead = m.select("user_id", "hr", "v", "present", F.max("v").over(w).alias("top"), F.count(F.lit(1)).over(w).alias("ahead"), F.min("present").over(w).alias("lo"), F.max("present").over(w).alias("hi")).where("ahead = 6")
-    label = (F.col("top") - F.col("v") >= 20).cast("long")
-    stable = (F.col("lo") == F.col("present")) & (F.col("hi") == F.col("present"))
-    return ahead.select("user_id", "hr", label.alias("common_label"), F.when(stable, label).alias("stable_label"))
-
-
 @query("SELECT l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(sum(l_quantity) OVER w, 6) AS running, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_suppkey), 6) AS share FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)")
 def running_share(spark, sf):
     w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)

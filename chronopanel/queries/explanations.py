@@ -9,20 +9,24 @@ from chronopanel.functions import exprs as X
 from chronopanel.operators import metrics as E
 from chronopanel.operators import protocol as D
 from chronopanel.operators import rules as R
+from chronopanel.operators.temporal import average_rank
 from chronopanel.queries.base import FILLED, PREDICTIONS, filled_panel, predictions, query, table
 from chronopanel.queries.protocols import _HASH
-from chronopanel.queries.rules import CROSS, E_TERMS, RISK, V_TERMS, _norm, _risk_panel
+from chronopanel.queries.rules import CROSS, E_TERMS, NAMED_CROSS, RISK, TRAINED, V_TERMS, _norm, _risk_panel
+from chronopanel.sources import ingest
 
 
 @query("""
-SELECT l_returnflag || '+' || l_linestatus AS pair, array_to_string(list_sort([l_returnflag, l_linestatus]), ' & ') AS signature, round(abs(avg(l_discount) - 0.05), 6) AS importance,
-       rank() OVER (ORDER BY round(abs(avg(l_discount) - 0.05), 6) DESC, l_returnflag || '+' || l_linestatus)::BIGINT AS place FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+SELECT kind, signature, round(importance, 6) AS importance, rank() OVER (ORDER BY importance DESC, signature)::BIGINT AS place FROM (VALUES
+ ('feature', 'v=low', 0.2::DOUBLE), ('feature', 'v=mid', 0.5), ('feature', 'v=high', 1.5), ('feature', 'e=calm', 0.1), ('feature', 'e=alarm', 1.2),
+ ('cross', 'e=alarm & v=high', 1.4), ('cross', 'e=calm & v=low', 0.1), ('cross', 'e=alarm & v=mid', 0.7)) t(kind, signature, importance)""")
 def rule_inventory(spark, sf):
-    """Rules with a signature that doesn't depend on the order of their antecedents, ranked by importance."""
-    g = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.abs(F.avg("l_discount") - 0.05), 6).alias("importance"))
-    pair = F.concat_ws("+", "l_returnflag", "l_linestatus").alias("pair")
-    rows = g.select(pair, F.array_join(F.sort_array(F.array("l_returnflag", "l_linestatus")), " & ").alias("signature"), "importance")
-    return rows.withColumn("place", F.rank().over(Window.orderBy(F.col("importance").desc(), "pair")).cast("long"))  # a rule base is small
+    """All rules of the base with a signature that doesn't depend on the order of their antecedents, by importance."""
+    rows = [("feature", [f"{f}={t.name}"], t.weight) for f, terms in TRAINED.items() for t in terms]
+    rows += [("cross", [f"{f}={t}" for f, t in terms], w) for _, terms, w in NAMED_CROSS]
+    base = spark.createDataFrame(rows, "kind string, parts array<string>, weight double")
+    out = base.select("kind", F.array_join(F.sort_array("parts"), " & ").alias("signature"), F.abs("weight").alias("importance"))
+    return X.rounded(out.withColumn("place", F.rank().over(Window.orderBy(F.col("importance").desc(), "signature")).cast("long")))  # a rule base is small
 
 
 _FIRING = [f"({_norm('v', V_TERMS, i)} * {_norm('e', E_TERMS, j)})" for i, j, _ in CROSS]
@@ -93,15 +97,15 @@ def equal_sample_manifest(spark, sf):
 
 @query(PREDICTIONS + """,
 k AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS i FROM (SELECT DISTINCT site FROM pred)),
-d AS (SELECT r AS replicate, ('0x' || substr(md5('23|' || r || '|' || i), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS i FROM k, range(10) t(r)),
+d AS (SELECT r AS replicate, ('0x' || substr(md5('23|' || r || '|' || i), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS i FROM k, range(500) t(r)),
 w AS (SELECT replicate, site, count(*) AS weight FROM d JOIN k USING (i) GROUP BY 1, 2)
-SELECT replicate, round(sum(weight * y) / sum(weight), 6) AS prevalence, round(sum(weight * (p - y) * (p - y)) / sum(weight), 6) AS brier FROM pred JOIN w USING (site) GROUP BY 1""")
+SELECT replicate, round(sum(weight * y) / sum(weight), 9) AS prevalence, round(sum(weight * (p - y) * (p - y)) / sum(weight), 9) AS brier FROM pred JOIN w USING (site) GROUP BY 1""")
 def site_bootstrap(spark, sf):
     rows = predictions(spark, sf)
     cells = rows.groupBy("site").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum((F.col("p") - F.col("y")) ** 2).alias("err"))
-    drawn = cells.join(E.bootstrap_weights(rows, "site", 10, 23), "site")
+    drawn = cells.join(E.bootstrap_weights(rows, "site", 500, 23), "site")
     w = F.col("weight")
-    return X.rounded(drawn.groupBy("replicate").agg((F.sum(w * F.col("pos")) / F.sum(w * F.col("n"))).alias("prevalence"), (F.sum(w * F.col("err")) / F.sum(w * F.col("n"))).alias("brier")))
+    return X.rounded(drawn.groupBy("replicate").agg((F.sum(w * F.col("pos")) / F.sum(w * F.col("n"))).alias("prevalence"), (F.sum(w * F.col("err")) / F.sum(w * F.col("n"))).alias("brier")), 9)
 
 
 @query("""
@@ -113,12 +117,23 @@ def score_strategies(spark, sf):
     return X.rounded(table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("strategy")).agg(F.count("*").alias("n"), F.avg(one(high)).alias("alerts"), F.avg(F.when(high, one(y))).alias("ppv"), F.avg(F.when(y, one(high))).alias("sensitivity")))
 
 
-@query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
 def discover_files(spark, sf):
-    """Rows by file found below a directory, the name taken from the path."""
-    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "{nation,region}*.parquet")
-    rows = [found.parquet(f"{sf}/{n}.parquet").select(F.regexp_extract("_metadata.file_path", "(nation|region)[^/]*\\.parquet", 1).alias("name")) for n in ("nation", "region")]
-    return rows[0].union(rows[1]).groupBy("name").agg(F.count("*").alias("n"))
+    """The tables found below a directory, whatever is there: names come from the paths, contents aren't read."""
+    found = ingest.files(spark, sf, "*.parquet").select(F.regexp_extract("path", r"/([a-z]+)\.parquet", 1).alias("name"))
+    return found.where("name <> ''").distinct()
+
+
+@query("""
+WITH m AS (SELECT label, i, avg(abs(x)) AS a FROM (SELECT label % 2 AS label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2),
+w AS (SELECT i, round(max(a) FILTER (label = 0), 9) AS x, round(max(a) FILTER (label = 1), 9) AS y FROM m GROUP BY 1),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM w)
+SELECT round(corr(rx, ry), 6) AS rho FROM r""")
+def attribution_agreement(spark, sf):
+    """How far two datasets rank the same variables as important: rank correlation of mean absolute attributions."""
+    e = table(spark, sf, "embeddings").select((F.col("label") % 2).alias("label"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    w = e.groupBy("i").pivot("label", [0, 1]).agg(F.round(F.avg(F.abs("x")), 9)).withColumnsRenamed({"0": "x", "1": "y"})
+    return X.rounded(average_rank(average_rank(w, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry").alias("rho")))
 
 
 @query()

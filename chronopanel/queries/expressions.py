@@ -9,49 +9,111 @@ from chronopanel.functions import scores as S
 from chronopanel.queries.base import FILLED, filled_panel, query, table
 
 
-@query("""
-SELECT event_id, CASE event_type WHEN 'view' THEN 'heart_rate' WHEN 'click' THEN 'respiratory_rate' WHEN 'error' THEN 'spo2' WHEN 'purchase' THEN 'map' ELSE 'other' END AS feature,
-       CASE WHEN event_type = 'view' AND value NOT BETWEEN 20 AND 300 THEN NULL WHEN event_type = 'click' AND value NOT BETWEEN 0 AND 80 THEN NULL
-            WHEN event_type = 'error' AND value NOT BETWEEN 30 AND 100 THEN NULL WHEN event_type = 'purchase' AND value NOT BETWEEN 20 AND 250 THEN NULL ELSE value END AS value
-FROM events""")
+def _pick(texts, key):
+    """One of the given texts by a key's remainder, so that each text and its expected result stand side by side."""
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col(key) % len(texts) + 1).cast("int"))
+
+
+def _list_sql(values, key):
+    said = ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"([{said}])[({key} % {len(values)} + 1)::INT]"
+
+
+# Ranges as the definition has them, apart from the library's.
+_RANGES = """VALUES (0, 'heart_rate', 20, 300), (1, 'respiratory_rate', 1, 80), (2, 'spo2', 50, 100), (3, 'sbp_arterial', 40, 300), (4, 'sbp_noninvasive', 40, 300),
+(5, 'dbp_arterial', 20, 200), (6, 'dbp_noninvasive', 20, 200), (7, 'map_arterial', 20, 250), (8, 'map_noninvasive', 20, 250), (9, 'map', 20, 250), (10, 'temperature_c', 25, 45),
+(11, 'fio2', 0.21, 1), (12, 'gcs_eye', 1, 4), (13, 'gcs_verbal', 1, 5), (14, 'gcs_motor', 1, 6), (15, 'gcs_total', 3, 15), (16, 'mechanical_vent', 0, 1), (17, 'lactate', 0, 30),
+(18, 'pao2', 20, 800), (19, 'bilirubin', 0, 80), (20, 'creatinine', 0.1, 30), (21, 'platelets', 1, 2000), (22, 'dopamine', 0, 100), (23, 'dobutamine', 0, 100),
+(24, 'epinephrine', 0, 10), (25, 'norepinephrine', 0, 10), (26, 'other', -1e18, 1e18)"""
+_FEATURES = "heart_rate respiratory_rate spo2 sbp_arterial sbp_noninvasive dbp_arterial dbp_noninvasive map_arterial map_noninvasive map temperature_c fio2 gcs_eye gcs_verbal gcs_motor gcs_total mechanical_vent lactate pao2 bilirubin creatinine platelets dopamine dobutamine epinephrine norepinephrine other".split()
+
+
+@query(f"""
+SELECT event_id, f AS feature, CASE WHEN value BETWEEN lo::DOUBLE AND hi::DOUBLE THEN value END AS value FROM events JOIN ({_RANGES}) r(i, f, lo, hi) ON i = event_id % 27""")
 def plausibility(spark, sf):
-    names = {"view": "heart_rate", "click": "respiratory_rate", "error": "spo2", "purchase": "map"}
-    mapping = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    e = table(spark, sf, "events").withColumn("feature", F.coalesce(mapping[F.col("event_type")], F.lit("other")))
+    e = table(spark, sf, "events").withColumn("feature", _pick(_FEATURES, "event_id"))
     return e.select("event_id", "feature", X.plausible(F.col("value"), F.col("feature")).alias("value"))
 
 
-@query("""
-WITH x AS (SELECT event_id, value / 4 AS v, CASE event_id % 7 WHEN 0 THEN 'mcg/kg/min' WHEN 1 THEN 'mg/kg/hour' WHEN 2 THEN 'mcg/min' WHEN 3 THEN 'mg/min'
-                  WHEN 4 THEN 'mcg/kg/hour' WHEN 5 THEN 'units/hour' ELSE 'mg/kg/min' END AS unit,
-                  CASE WHEN event_id % 5 = 0 THEN NULL ELSE 50 + event_id % 60 END::DOUBLE AS weight FROM events)
-SELECT event_id, round((v - 32) * (5.0::DOUBLE / 9.0::DOUBLE), 6) AS celsius,
-       round(CASE WHEN v BETWEEN 0.21 AND 1 THEN v WHEN v > 1 AND v <= 100 THEN v / 100 END, 6) AS fraction,
-       round(CASE WHEN v > 0 AND v <= 1 THEN v * 100 ELSE v END, 6) AS percent,
-       round(CASE unit WHEN 'mcg/kg/min' THEN v WHEN 'mg/kg/min' THEN v * 1000 WHEN 'mcg/kg/hour' THEN v / 60 WHEN 'mg/kg/hour' THEN v * 1000 / 60
-            WHEN 'mcg/min' THEN v * (1 / weight) WHEN 'mg/min' THEN v * 1000 * (1 / weight) END, 6) AS dose FROM x""")
+_UNITS = ["mcg/kg/min", "mg/kg/min", "mcg/kg/hour", "mcg/kg/hr", "mg/kg/hour", "MG/KG/HR", "mcg/min", "mg/min", "mcg/hour", "mcg/hr", "mg/hour", "mg/hr", "units/hour", None, "direct mcg/min"]
+_WEIGHT = "CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 0 ELSE 15 + event_id % 60 END::DOUBLE AS weight"
+
+
+def _weight():
+    i = F.col("event_id")
+    return F.when(i % 5 == 0, F.lit(None)).when(i % 7 == 0, F.lit(0)).otherwise(15 + i % 60).cast("double")
+
+
+@query(f"""
+WITH x AS (SELECT event_id, value / 4 AS v, lower({_list_sql(_UNITS, 'event_id')}) AS unit, {_WEIGHT} FROM events)
+SELECT event_id, round((v - 32) * (5.0::DOUBLE / 9.0::DOUBLE), 9) AS celsius,
+       round(CASE WHEN v BETWEEN 0.21 AND 1 THEN v WHEN v > 1 AND v <= 100 THEN v / 100 END, 9) AS fraction,
+       round(CASE WHEN v > 0 AND v <= 1 THEN v * 100 ELSE v END, 9) AS percent,
+       round(CASE unit WHEN 'mcg/kg/min' THEN v WHEN 'mg/kg/min' THEN v * 1000 WHEN 'mcg/kg/hour' THEN v / 60 WHEN 'mcg/kg/hr' THEN v / 60 WHEN 'mg/kg/hour' THEN v * 1000 / 60 WHEN 'mg/kg/hr' THEN v * 1000 / 60
+            WHEN 'mcg/min' THEN CASE WHEN weight > 0 THEN v / weight END WHEN 'direct mcg/min' THEN CASE WHEN weight > 0 THEN v / weight END WHEN 'mg/min' THEN CASE WHEN weight > 0 THEN v * 1000 / weight END
+            WHEN 'mcg/hour' THEN CASE WHEN weight > 0 THEN v / weight / 60 END WHEN 'mcg/hr' THEN CASE WHEN weight > 0 THEN v / weight / 60 END
+            WHEN 'mg/hour' THEN CASE WHEN weight > 0 THEN v * 1000 / weight / 60 END WHEN 'mg/hr' THEN CASE WHEN weight > 0 THEN v * 1000 / weight / 60 END END, 9) AS dose FROM x""")
 def unit_normalise(spark, sf):
-    units = ["mcg/kg/min", "mg/kg/hour", "mcg/min", "mg/min", "mcg/kg/hour", "units/hour", "mg/kg/min"]
-    unit = F.element_at(F.array(*[F.lit(u) for u in units]), (F.col("event_id") % 7 + 1).cast("int"))
-    weight = F.when(F.col("event_id") % 5 != 0, (50 + F.col("event_id") % 60).cast("double"))
     v = F.col("v")
-    x = table(spark, sf, "events").select("event_id", (F.col("value") / 4).alias("v"), unit.alias("unit"), weight.alias("weight"))
+    x = table(spark, sf, "events").select("event_id", (F.col("value") / 4).alias("v"), _pick(_UNITS, "event_id").alias("unit"), _weight().alias("weight"))
     return X.rounded(x.select("event_id", X.fahrenheit_to_celsius(v).alias("celsius"), X.fio2_fraction(v).alias("fraction"), X.fio2_percent(v).alias("percent"),
-                              X.dose_per_kg_minute(v, F.col("unit"), F.col("weight")).alias("dose")))
+                              X.dose_per_kg_minute(v, F.col("unit"), F.col("weight")).alias("dose")), 9)
 
 
-@query("""
-SELECT p_partkey, CASE WHEN upper(p_type) LIKE '%BRASS%' THEN 'Neuro' WHEN upper(p_type) LIKE '%STEEL%' OR upper(p_type) LIKE '%COPPER%' THEN 'Cardiac' ELSE 'Other' END AS unit,
-       CASE WHEN starts_with(lower(trim(p_name)), 'a') THEN 'first' WHEN starts_with(lower(trim(p_name)), 'p') THEN 'second' END AS prefix,
-       (coalesce(trim(lower(p_type)), '') NOT IN ('', 'none', 'off', 'standby'))::INT AS on_support,
-       NOT regexp_matches(lower(coalesce(p_type, '')), 'tin|nickel') AS status_kept,
-       regexp_matches(p_name, '\\bpart\\b') AS whole_word FROM part""")
+_DRUGS = ["Dopamine (mcg/kg/min)", "norepinephrine (mg/kg/min)", " Epinephrine (mcg/kg/hr)", "dobutamine drip (mcg/min)", "Norepinephrine (mg/min)", "DOPAMINE (MCG/HR)", "epinephrine (mg/hr)", "Vasopressin (units/min)", "dopamine mcg/min", None]
+
+
+@query(f"""
+WITH x AS (SELECT event_id, value / 4 AS v, event_id % 10 AS i, {_WEIGHT} FROM events)
+SELECT event_id, {_list_sql(["dopamine", "norepinephrine", "epinephrine", "dobutamine", "norepinephrine", "dopamine", "epinephrine", None, "dopamine", None], "event_id")} AS drug,
+       round(CASE i WHEN 0 THEN v WHEN 1 THEN v * 1000 WHEN 2 THEN v / 60 WHEN 3 THEN CASE WHEN weight BETWEEN 20 AND 400 THEN v / weight END WHEN 4 THEN CASE WHEN weight BETWEEN 20 AND 400 THEN v * 1000 / weight END
+            WHEN 5 THEN CASE WHEN weight BETWEEN 20 AND 400 THEN v / 60 / weight END WHEN 6 THEN CASE WHEN weight BETWEEN 20 AND 400 THEN v * 1000 / 60 / weight END END, 9) AS dose FROM x""")
+def named_dose(spark, sf):
+    x = table(spark, sf, "events").select("event_id", (F.col("value") / 4).alias("v"), _pick(_DRUGS, "event_id").alias("name"), _weight().alias("weight"))
+    return X.rounded(x.select("event_id", X.pressor(F.col("name")).alias("drug"), X.named_dose(F.col("name"), F.col("v"), F.col("weight")).alias("dose")), 9)
+
+
+# Texts and, in the SQL, what each is classified as.
+_WARDS = ["Neuro Surgical Intensive Care", "Cardiac Vascular (CVICU)", "Trauma SICU (TSICU)", "Medical (MICU)", "Coronary Care Unit (CCU)", "general ward", None, "pacu"]
+_STATUS = ["FinishedRunning", "Rewritten", "Stopped", None, "paused", "ChangeDose/Rate", "Cancelled", "canceled"]
+_LABELS = ["Urine", " Foley cath #2", "Urine output total", "left nephrostomy output", "urethral catheter flow", "Output Amt-Urinary Catheter #1", "urine color", "stool", None, "Voided amount", "urethral catheter output", "urinary catheter output 24 hr"]
+_PEOPLE = ["WHITE - RUSSIAN", "Black/African American", "ASIAN - CHINESE", "HISPANIC/LATINO - CUBAN", "white/asian", "WHITEHALL", None, "BLACK/CARIBBEAN, HISPANIC"]
+_VENTILATORS = ["OFF ", " standby", "CMV", None, "", "None", "Other/Remarks", "PSV/SBT"]
+_MODELS = ["logreg_v2", "xgb-tuned", "anfis_full", "gru", "my_logreg_xgb"]
+
+
+@query(f"""
+SELECT p_partkey, {_list_sql(["Neuro", "Cardiac", "Surgical/Trauma", "Medical/Mixed", "Cardiac", "Other", "Other", "Surgical/Trauma"], "p_partkey")} AS unit,
+       {_list_sql(["TRUE", "FALSE", "FALSE", "TRUE", "FALSE", "TRUE", "FALSE", "FALSE"], "p_partkey")}::BOOLEAN AS status_kept,
+       {_list_sql(["TRUE", "TRUE", "FALSE", "TRUE", "FALSE", "TRUE", "FALSE", "FALSE", "FALSE", "TRUE", "TRUE", "FALSE"], "p_partkey")}::BOOLEAN AS urine,
+       {_list_sql(["White", "Black", "Asian", "Hispanic/Latino", "White", "Other/Unknown", "Other/Unknown", "Black"], "p_partkey")} AS race,
+       {_list_sql([0, 0, 1, 0, 0, 0, 0, 1], "p_partkey")}::INT AS on_support,
+       {_list_sql(["Logistic regression", "Boosted trees", "Fuzzy network", "gru", "Logistic regression"], "p_partkey")} AS model,
+       CASE WHEN p_partkey % 45 * 40 - 100 BETWEEN 0 AND 1440 THEN floor((p_partkey % 45 * 40 - 100) / 60)::BIGINT END AS hr FROM part""")
 def text_classify(spark, sf):
-    kind, name = F.upper("p_type"), F.lower(F.trim("p_name"))
-    unit = X.first_match([(kind.contains("BRASS"), "Neuro"), (X.contains_any(kind, ("STEEL", "COPPER")), "Cardiac")], "Other")
-    prefix = X.first_match([(name.startswith("a"), "first"), (name.startswith("p"), "second")], None)
-    return table(spark, sf, "part").select("p_partkey", unit.alias("unit"), prefix.alias("prefix"), X.ventilated(F.col("p_type")).alias("on_support"),
-        (~F.lower(F.coalesce("p_type", F.lit(""))).rlike("tin|nickel")).alias("status_kept"), F.col("p_name").rlike("\\bpart\\b").alias("whole_word"))
+    aliases = [("logreg", "Logistic regression"), ("xgb", "Boosted trees"), ("anfis", "Fuzzy network")]
+    k, minutes = "p_partkey", F.col("p_partkey") % 45 * 40 - 100
+    return table(spark, sf, "part").select(
+        k, X.care_unit(_pick(_WARDS, k)).alias("unit"), X.status_kept(_pick(_STATUS, k)).alias("status_kept"), X.urine_label(_pick(_LABELS, k)).alias("urine"),
+        X.race_group(_pick(_PEOPLE, k)).alias("race"), X.ventilated(_pick(_VENTILATORS, k)).alias("on_support"), X.alias_name(_pick(_MODELS, k), aliases).alias("model"),
+        X.offset_hour(minutes, F.lit(1440)).alias("hr"))
+
+
+@query(FILLED + """
+SELECT user_id, hr, round(e, 6) AS e, round(coalesce(avg(v) OVER (PARTITION BY user_id ORDER BY hr ROWS 5 PRECEDING), 75), 6) AS v_w6h_mean,
+       round(coalesce(v - lag(v, 5) OVER (PARTITION BY user_id ORDER BY hr), 0), 6) AS v_w6h_change, since::DOUBLE AS v_time_since_last FROM filled""")
+def column_selection(spark, sf):
+    """The columns of one window out of several, what is never observed filled by name."""
+    from chronopanel.operators import temporal as T
+
+    w, made = T.timeline("user_id", "hr"), {}
+    for n in X.window_list([24, 6]):
+        t = T.trailing(w, n)
+        made |= {f"v_w{n}h_mean": F.avg("v").over(t), f"v_w{n}h_change": F.col("v") - F.lag("v", n - 1).over(w)}
+    wide = filled_panel(spark, sf).withColumns(made | {"v_time_since_last": F.col("since").cast("double")})
+    names = X.columns_for_window([*made, "v_time_since_last", "e"], ["e", "v"], 6)
+    out = wide.select("user_id", "hr", *[c if c == "e" else F.coalesce(F.col(c), F.lit(X.default_by_name(c, {"v": 75.0}))).alias(c) for c in names])
+    return X.rounded(out)
 
 
 _ABC = """WITH x AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value END AS a, CASE WHEN event_id % 4 > 0 THEN value / 2 END AS b,

@@ -115,13 +115,20 @@ def window_membership(spark, sf):
     return o.select("o_orderkey", wid).join(o.where("o_totalprice < 100000").select(wid), "window_id", "left_semi")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def reindex_align(spark, sf):
+    """Prices of the orders that the items name; an order that isn't there raises."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    keys = o.where("o_orderkey % 3 = 0").select("o_orderkey")
+    keys = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
     return J.aligned(keys, guards.require_unique(o, ["o_orderkey"]), ["o_orderkey"])
 
 
+@query("SELECT c_custkey, c_acctbal, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def join_one_to_one(spark, sf):
+    counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return J.one_to_one(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), counts, ["c_custkey"])
+
+
 @query("""
 SELECT (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1)) AS used,
        (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)) AS unused, TRUE AS mapped""")

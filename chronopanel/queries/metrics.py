@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronopanel.functions import exprs as X
+from chronopanel.operators import aggregates as A
 from chronopanel.operators import metrics as E
 from chronopanel.operators import temporal as T
-from chronopanel.queries.base import PREDICTIONS, events_panel, filled_panel, predictions, query, table, FILLED, PANEL
+from chronopanel.queries.base import FILLED, PREDICTIONS, events_panel, filled_panel, predictions, query, table
 
 _CURVE = PREDICTIONS + """,
 curve AS (SELECT p AS score, sum(y) AS pos, sum(1 - y) AS neg FROM pred GROUP BY 1),
@@ -84,39 +86,117 @@ def weighted_metrics(spark, sf):
 
 _BOOT = PREDICTIONS + """,
 k AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS i FROM (SELECT DISTINCT cluster FROM pred)),
-d AS (SELECT r AS replicate, ('0x' || substr(md5('17|' || r || '|' || i), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS i FROM k, range(20) t(r)),
+d AS (SELECT r AS replicate, ('0x' || substr(md5('17|' || r || '|' || i), 1, 8))::BIGINT % (SELECT count(*) FROM k) AS i FROM k, range(200) t(r)),
 w AS (SELECT replicate, cluster, count(*) AS weight FROM d JOIN k USING (i) GROUP BY 1, 2),
 c AS (SELECT replicate, p AS score, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM pred JOIN w USING (cluster) GROUP BY 1, 2),
-b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
-boot AS (SELECT replicate, (sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)))::DOUBLE AS auroc, sum(pos * (1 - score) * (1 - score) + neg * score * score) / sum(pos + neg) AS brier,
-                sum(CASE WHEN score >= 0.5 THEN pos ELSE 0 END) / sum(pos) AS sensitivity FROM b GROUP BY 1)"""
-
-
-def _boot(spark, sf):
-    return E.cluster_bootstrap(predictions(spark, sf), "cluster", 20, 17)
-
-
-@query(_BOOT + "SELECT replicate, round(auroc, 6) AS auroc, round(brier, 6) AS brier, round(sensitivity, 6) AS sensitivity FROM boot")
+b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER h AS above, sum(pos + neg) OVER h AS called, sum(pos) OVER (PARTITION BY replicate) AS np
+      FROM c WINDOW h AS (PARTITION BY replicate ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+boot AS (SELECT replicate, (sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)))::DOUBLE AS auroc, sum(pos / np * (above / called))::DOUBLE AS auprc, sum(pos * (1 - score) * (1 - score) + neg * score * score) / sum(pos + neg) AS brier FROM b GROUP BY 1)"""
+_FIXED = """,
+whole AS (SELECT p AS score, sum(y) AS pos, sum(1 - y) AS neg FROM pred GROUP BY 1),
+cums AS (SELECT score, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(neg) OVER () AS nn FROM whole WINDOW d AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+th AS (SELECT (SELECT score FROM cums WHERE 1 - fp / nn >= 0.9 ORDER BY tp DESC, score LIMIT 1) AS t90, (SELECT score FROM cums WHERE 1 - fp / nn >= 0.8 ORDER BY tp DESC, score LIMIT 1) AS t80),
+cells AS (SELECT replicate, """ + ", ".join(f"sum(CASE WHEN score >= t{k} THEN pos ELSE 0 END) AS tp{k}, sum(CASE WHEN score >= t{k} THEN neg ELSE 0 END) AS fp{k}, sum(CASE WHEN score < t{k} THEN pos ELSE 0 END) AS fn{k}, sum(CASE WHEN score < t{k} THEN neg ELSE 0 END) AS tn{k}" for k in (90, 80)) + " FROM c, th GROUP BY 1)"
+_AT = ", ".join(
+    f"round(tp{k} / nullif(tp{k} + fn{k}, 0), 9) AS sensitivity_at{k}, round(tn{k} / nullif(tn{k} + fp{k}, 0), 9) AS specificity_at{k}, round(tp{k} / nullif(tp{k} + fp{k}, 0), 9) AS ppv_at{k},"
+    f" round(tn{k} / nullif(tn{k} + fn{k}, 0), 9) AS npv_at{k}, round(2 * tp{k} / nullif(2 * tp{k} + fp{k} + fn{k}, 0), 9) AS f1_at{k}" for k in (90, 80))
+_BIN_SCORE = "CASE " + " ".join(f"WHEN score >= {e!r} THEN {i}" for i, e in reversed(list(enumerate(E.equal_edges(10)[:-1])))) + " END"
+REPLICATES = 200
+
+
+@query(_BOOT + _FIXED + f""",
+bins AS (SELECT replicate, {_BIN_SCORE} AS bin, sum(pos + neg) AS n, abs(sum(score * (pos + neg)) - sum(pos)) AS gap FROM c GROUP BY 1, 2), e AS (SELECT replicate, sum(gap) / sum(n) AS ece FROM bins GROUP BY 1)
+SELECT replicate, round(auroc, 9) AS auroc, round(auprc, 9) AS auprc, round(brier, 9) AS brier, round(ece, 9) AS ece, {_AT} FROM boot JOIN e USING (replicate) JOIN cells USING (replicate)""")
 def cluster_bootstrap(spark, sf):
-    return X.rounded(_boot(spark, sf))
+    """Thresholds are fixed on all rows at two specificities; each replicate tells what they give."""
+    rows = predictions(spark, sf)
+    c = E.curve(rows)
+    fixed = {f"at{round(100 * s)}": E.threshold_at_specificity(c, s).first()["threshold"] for s in (0.9, 0.8)}  # two numbers
+    return X.rounded(E.cluster_bootstrap(rows, "cluster", REPLICATES, 17, fixed), 9)
 
 
 @query(_BOOT + "SELECT round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM boot")
 def bootstrap_interval(spark, sf):
-    return X.rounded(E.percentile_ci(_boot(spark, sf), "auroc"))
+    a = E.auroc(E.bootstrap_curves(predictions(spark, sf), "cluster", REPLICATES, 17), ["replicate"])
+    return X.rounded(E.percentile_ci(a, "auroc"))
 
 
-@query(_BOOT + """, x AS (SELECT round(auroc - 0.5, 9) AS diff FROM boot)
-SELECT round(least(1, 2 * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT))), 6) AS p_plain, round(least(1, 2 * least((sum((diff <= 0)::INT) + 1) / (count(*) + 1), (sum((diff >= 0)::INT) + 1) / (count(*) + 1))), 6) AS p_smoothed FROM x""")
+@query(_BOOT + """,
+c2 AS (SELECT replicate, round(p, 1) AS score, sum(weight * y) AS pos, sum(weight * (1 - y)) AS neg FROM pred JOIN w USING (cluster) GROUP BY 1, 2),
+b2 AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c2),
+other AS (SELECT replicate, (sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)))::DOUBLE AS auroc FROM b2 GROUP BY 1),
+x AS (SELECT round(boot.auroc - other.auroc, 9) AS diff FROM boot JOIN other USING (replicate))
+SELECT count(*) AS n, round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high,
+       round(least(1, 2 * least(avg((diff <= 0)::INT), avg((diff >= 0)::INT))), 6) AS p_plain, round(least(1, 2 * least((sum((diff <= 0)::INT) + 1) / (count(*) + 1), (sum((diff >= 0)::INT) + 1) / (count(*) + 1))), 6) AS p_smoothed FROM x""")
 def paired_bootstrap(spark, sf):
-    x = _boot(spark, sf).select(F.round(F.col("auroc") - 0.5, 9).alias("diff"))
-    return X.rounded(x.agg(E.paired_p("diff", False).alias("p_plain"), E.paired_p("diff", True).alias("p_smoothed")))
+    """Two models, the fine score and the coarse one, on the same draws: the difference of their areas and both p values."""
+    rows = predictions(spark, sf).withColumn("coarse", F.round("p", 1))
+    a, b = (E.auroc(E.bootstrap_curves(rows, "cluster", REPLICATES, 17, p), ["replicate"]).withColumnRenamed("auroc", p) for p in ("p", "coarse"))
+    x = a.join(b, "replicate").select(F.round(F.col("p") - F.col("coarse"), 9).alias("diff"))
+    q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
+    return X.rounded(x.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q[0].alias("low"), q[1].alias("high"), E.paired_p("diff", False).alias("p_plain"), E.paired_p("diff", True).alias("p_smoothed")))
 
 
-@query(PREDICTIONS + """, t AS (SELECT k / 20.0::DOUBLE AS t FROM range(1, 11) r(k))
+@query(PREDICTIONS + """, t AS (SELECT k / 100.0::DOUBLE AS t FROM range(1, 51) r(k))
 SELECT t AS threshold, round(avg(CASE WHEN p >= t THEN y ELSE 0 END) - avg(CASE WHEN p >= t THEN 1 - y ELSE 0 END) * (t / (1 - t)), 6) AS net_benefit, round(avg(y) - (1 - avg(y)) * (t / (1 - t)), 6) AS treat_all FROM pred, t GROUP BY t""")
 def decision_curve(spark, sf):
-    return X.rounded(E.decision_curve(predictions(spark, sf), [k / 20.0 for k in range(1, 11)]))
+    return X.rounded(E.decision_curve(predictions(spark, sf), [k / 100.0 for k in range(1, 51)]))
+
+
+@query(PREDICTIONS + f""",
+c AS (SELECT grp, {_CELLS.format(t=0.5)} FROM pred GROUP BY 1), b AS (SELECT grp, {_BIN} AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM pred GROUP BY 1, 2),
+e AS (SELECT grp, sum(n * gap) / sum(n) AS ece, max(gap) AS mce FROM b GROUP BY 1)
+SELECT grp, tp, fp, fn, tn, {_RATES.format(u='', v='')}, round(ece, 6) AS ece, round(mce, 6) AS mce FROM c JOIN e USING (grp)""")
+def classification_report(spark, sf):
+    """Rates that are null where undefined, beside the calibration errors."""
+    rows = predictions(spark, sf)
+    cells = rows.groupBy("grp").agg(*[c.alias(k) for k, c in E.confusion(F.col("y"), F.col("p") >= 0.5).items()]).withColumns(E.rates(None))
+    return X.rounded(cells.join(E.calibration_error(E.calibration(rows, 10, ["grp"]), ["grp"]), "grp"))
+
+
+@query(PREDICTIONS + """,
+x AS (SELECT y, CASE WHEN id % 11 = 0 THEN 'nan'::DOUBLE WHEN id % 13 = 0 THEN NULL WHEN id % 17 = 0 THEN 'inf'::DOUBLE ELSE p END AS p FROM pred)
+SELECT count(*) AS rows_in, count(*) FILTER (p IS NULL OR NOT isfinite(p)) AS dropped, round(avg((p - y) * (p - y)) FILTER (isfinite(p)), 6) AS brier FROM x""")
+def evaluated_predictions(spark, sf):
+    """Predictions that aren't finite numbers are left out and counted."""
+    i = F.col("id")
+    p = F.when(i % 11 == 0, F.lit(float("nan"))).when(i % 13 == 0, F.lit(None)).when(i % 17 == 0, F.lit(float("inf"))).otherwise(F.col("p"))
+    x = predictions(spark, sf).select("y", X.finite(p).alias("p"))
+    return X.rounded(x.agg(F.count("*").alias("rows_in"), F.count(F.when(F.col("p").isNull(), 1)).alias("dropped"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier")))
+
+
+@query(PREDICTIONS + "SELECT id, round((p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER ()), 6) AS scaled FROM pred")
+def minmax_calibrator(spark, sf):
+    """What stands in for a calibrator where none can be fitted."""
+    return X.rounded(E.scaled(predictions(spark, sf), "p", "scaled").select("id", "scaled"))
+
+
+@query(PREDICTIONS + """,
+u AS (SELECT cluster % 5 AS seed, 'reference' AS variant, y, p FROM pred UNION ALL SELECT cluster % 5, 'tenths', y, round(p, 1) FROM pred UNION ALL SELECT cluster % 5, 'twentieths', y, floor(p * 20) / 20 FROM pred),
+c AS (SELECT seed, variant, p AS score, sum(y) AS pos, sum(1 - y) AS neg FROM u GROUP BY 1, 2, 3),
+b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY seed, variant ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+a AS (SELECT seed, variant, (sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)))::DOUBLE AS auroc FROM b GROUP BY 1, 2),
+d AS (SELECT x.variant, x.auroc - y.auroc AS diff FROM a x JOIN a y ON x.seed = y.seed AND x.variant <> 'reference' AND y.variant = 'reference')
+SELECT variant, count(*) AS n, round(avg(diff), 6) AS mean, round(coalesce(stddev_samp(diff), 0), 6) AS sd, round(CASE count(*) WHEN 5 THEN 2.776::DOUBLE ELSE 1.96 END * stddev_samp(diff) / sqrt(count(*)), 6) AS half_width FROM d GROUP BY 1""")
+def paired_variants(spark, sf):
+    """Every variant against the reference, paired by seed."""
+    rows = predictions(spark, sf).withColumn("seed", F.col("cluster") % 5)
+    scores = {"reference": F.col("p"), "tenths": F.round("p", 1), "twentieths": F.floor(F.col("p") * 20) / 20}
+    u = rows.select("seed", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), s.alias("p")) for k, s in scores.items()])).alias("v")).select("seed", "y", "v.*")
+    d = E.paired_reference(E.auroc(E.curve(u, by=["seed", "variant"]), ["seed", "variant"]), "seed", "variant", "auroc", "reference")
+    return X.rounded(d.groupBy("variant").agg(*[c.alias(k) for k, c in A.mean_ci("diff").items()]))
+
+
+@query(PREDICTIONS + """,
+k AS (SELECT id, p, CASE WHEN y = 1 AND p >= 0.5 THEN 'TP' WHEN y = 0 AND p >= 0.5 THEN 'FP' WHEN y = 1 THEN 'FN' END AS kind FROM pred), m AS (SELECT kind, quantile_cont(p, 0.5) AS med FROM k WHERE kind IS NOT NULL GROUP BY 1)
+SELECT kind, id, p FROM k JOIN m USING (kind) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY round(abs(p - med), 9), id) = 1""")
+def case_pick(spark, sf):
+    """Of true positives, false positives and false negatives, the row closest to its class's median."""
+    y, hit = F.col("y") == 1, F.col("p") >= 0.5
+    k = predictions(spark, sf).select("id", "p", F.when(y & hit, "TP").when(~y & hit, "FP").when(y, "FN").alias("kind")).where("kind IS NOT NULL")
+    m = k.groupBy("kind").agg(F.percentile("p", F.lit(0.5)).alias("med"))
+    near = F.struct(F.round(F.abs(F.col("p") - F.col("med")), 9).alias("d"), F.col("id"), F.col("p"))
+    return k.join(m, "kind").groupBy("kind").agg(F.min(near).alias("b")).select("kind", "b.id", "b.p")
 
 
 @query(PREDICTIONS + """,
@@ -170,10 +250,14 @@ event AS (SELECT b.user_id, t, score, min(hr) AS event_hour FROM base b JOIN fil
 
 
 def _first_events(spark, sf):
+    """The first hour above 40 of each entity, and the first within twelve hours after it that is 2 above that: both by
+    windows over the entity's timeline, no join."""
+    w = T.timeline("user_id", "hr")
+    whole = Window.partitionBy("user_id")
     f = filled_panel(spark, sf).select("user_id", "hr", "v")
-    base = f.where("v > 40").groupBy("user_id").agg(F.min("hr").alias("t"), F.min_by("v", "hr").alias("score"))
-    j = base.join(f, "user_id").where("hr > t AND hr <= t + 12 AND v >= score + 2")
-    return j.groupBy("user_id", "t", "score").agg(F.min("hr").alias("event_hour"))
+    f = f.withColumn("t", F.min(F.when(F.col("v") > 40, F.col("hr"))).over(whole)).where("hr >= t")
+    f = f.withColumn("score", F.first("v").over(w)).where("hr > t AND hr <= t + 12 AND v >= score + 2")
+    return f.groupBy("user_id", "t", "score").agg(F.min("hr").alias("event_hour"))
 
 
 @query(_FIRST + "SELECT user_id, t, round(score, 6) AS score, event_hour FROM event")
@@ -193,20 +277,24 @@ def lead_time(spark, sf):
     return X.rounded(lead.agg(F.count("*").alias("events"), F.count("lead_time").alias("detected"), q(0.5).alias("median"), q(0.75).alias("q3")))
 
 
-@query(FILLED.replace("WITH bounds", "WITH RECURSIVE bounds") + """,
-alerts AS (SELECT DISTINCT user_id, hr FROM panel WHERE err > 30),
+@query(_FIRST.replace("WITH bounds", "WITH RECURSIVE bounds") + """,
+watched AS (SELECT p.user_id, p.hr, p.err FROM panel p LEFT JOIN event e USING (user_id) WHERE event_hour IS NULL OR p.hr < event_hour),
+alerts AS (SELECT DISTINCT user_id, hr FROM watched WHERE err > 30),
 kept AS (SELECT user_id, min(hr) AS hr FROM alerts GROUP BY 1 UNION ALL
          SELECT k.user_id, (SELECT min(a.hr) FROM alerts a WHERE a.user_id = k.user_id AND a.hr >= k.hr + 6) FROM kept k WHERE EXISTS (SELECT 1 FROM alerts a WHERE a.user_id = k.user_id AND a.hr >= k.hr + 6)),
-judged AS (SELECT k.user_id, k.hr, (SELECT max(v) FROM filled f WHERE f.user_id = k.user_id AND f.hr > k.hr AND f.hr <= k.hr + 6) > 60 AS hit FROM kept k),
-days AS (SELECT count(*) / 24 AS d FROM filled)
-SELECT count(*) AS alerts, count(*) FILTER (hit) AS hits, round(avg(coalesce(hit, FALSE)::INT), 6) AS ppv, round(100 * count(*) / max(d), 6) AS per_100_days, count(DISTINCT user_id) FILTER (NOT coalesce(hit, FALSE)) AS with_false FROM judged, days""")
+judged AS (SELECT k.user_id, k.hr, event_hour, coalesce(k.hr >= event_hour - 6 AND k.hr < event_hour, FALSE) AS hit FROM kept k LEFT JOIN event USING (user_id)),
+lead AS (SELECT e.user_id, e.event_hour - min(j.hr) AS lead FROM event e LEFT JOIN judged j ON j.user_id = e.user_id AND j.hit GROUP BY e.user_id, e.event_hour),
+price AS (SELECT count(*) AS alerts, count(*) FILTER (hit) AS hits, count(DISTINCT user_id) FILTER (NOT hit) AS with_false FROM judged),
+told AS (SELECT count(*) AS events, count(lead) AS detected, quantile_cont(lead, 0.25) AS q1, quantile_cont(lead, 0.5) AS med, quantile_cont(lead, 0.75) AS q3 FROM lead),
+days AS (SELECT count(*) / 24 AS d, count(DISTINCT user_id) AS n FROM watched)
+SELECT events, detected, round(detected / nullif(events, 0), 6) AS event_sensitivity, alerts, hits AS true_alerts, round(hits / nullif(alerts, 0), 6) AS ppv, round(100 * alerts / d, 6) AS per_100_days,
+       round(100 * (alerts - hits) / d, 6) AS false_per_100_days, with_false, round(with_false / n, 6) AS with_false_share, round(q1, 6) AS lead_q1, round(med, 6) AS lead_median, round(q3, 6) AS lead_q3 FROM price, told, days""")
 def alarm_burden(spark, sf):
-    kept = T.refractory_alerts(events_panel(spark, sf).where("err > 30"), "user_id", "hr", 6)
-    f = filled_panel(spark, sf).select("user_id", "hr", T.future_max("v", 6, T.timeline("user_id", "hr")).alias("ahead"))
-    judged = kept.join(f, ["user_id", "hr"], "left").withColumn("hit", F.coalesce(F.col("ahead") > 60, F.lit(False)))
-    days = f.agg((F.count("*") / 24).alias("d"))
-    out = judged.agg(F.count("*").alias("alerts"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.avg(F.col("hit").cast("int")).alias("ppv"), F.countDistinct(F.when(~F.col("hit"), F.col("user_id"))).alias("with_false"))
-    return X.rounded(out.join(days).withColumn("per_100_days", 100 * F.col("alerts") / F.col("d")).drop("d"))  # one row on either side
+    """Alerts before first events only: hours from an entity's event on are neither watched nor alarmed."""
+    events = _first_events(spark, sf).select("user_id", "event_hour")
+    watched = events_panel(spark, sf).select("user_id", "hr", "err").join(events, "user_id", "left").where("event_hour IS NULL OR hr < event_hour")
+    kept = T.refractory_alerts(watched.where("err > 30"), "user_id", "hr", 6)
+    return X.rounded(E.alarms(watched, events, kept, "user_id", "hr", 6))
 
 
 @query()

@@ -210,19 +210,27 @@ def ols_slope_24(spark, sf):
     return X.rounded(filled_panel(spark, sf).select("user_id", "hr", T.ols_slope("v", "hr", 24, by_user()).alias("slope"))).withColumn("slope", F.col("slope") + 0)
 
 
-@query(FILLED + f"""
-SELECT user_id, hr, round(v, 6) AS last_v, round(avg(v) OVER t, 6) AS mean_v, min(v) OVER t AS min_v, max(v) OVER t AS max_v,
-       round(stddev_pop(v) OVER t, 6) AS std_v, round(v - lag(v) OVER {_W}), 6) AS last_step,
-       round(v - first_value(v) OVER t, 6) AS from_first, round(avg((NOT seen)::INT) OVER t, 6) AS missing_mean
-FROM filled WINDOW t AS {_W} ROWS 23 PRECEDING) QUALIFY count(v) OVER t = 24""")
+_MEASURED = {"v": '"view"', "e": "err", "c": "click"}
+_VECTOR = ", ".join(
+    f"round({f}, 6) AS last_{f}, {f}_missing AS last_{f}_missing, {f}_since AS last_{f}_since, round(avg({f}) OVER t, 6) AS mean_{f}, round(min({f}) OVER t, 6) AS min_{f}, round(max({f}) OVER t, 6) AS max_{f},"
+    f" round(stddev_pop({f}) OVER t, 6) AS std_{f}, round(regr_slope({f}, hr) OVER t, 6) + 0 AS slope_{f}, round({f} - lag({f}) OVER {_W}), 6) AS step_{f}, round({f} - first_value({f}) OVER t, 6) AS span_{f},"
+    f" round(avg({f}_missing) OVER t, 6) AS missing_mean_{f}" for f in _MEASURED)
+_CARRIED = ", ".join(
+    f"last_value({c} IGNORE NULLS) OVER w AS {f}, ({c} IS NULL)::INT AS {f}_missing, coalesce(hr - last_value(CASE WHEN {c} IS NOT NULL THEN hr END IGNORE NULLS) OVER w, hr + 1)::BIGINT AS {f}_since"
+    for f, c in _MEASURED.items())
+
+
+@query(PANEL + f""",
+carried AS (SELECT user_id, hr, {_CARRIED} FROM panel WINDOW w AS {_W} ROWS UNBOUNDED PRECEDING))
+SELECT user_id, hr, {_VECTOR} FROM carried WINDOW t AS {_W} ROWS 23 PRECEDING) QUALIFY count(v) OVER t = 24 AND count(e) OVER t = 24 AND count(c) OVER t = 24""")
 def summary_vector(spark, sf):
-    t = T.trailing(by_user(), 24)
-    out = filled_panel(spark, sf).select(
-        "user_id", "hr", F.col("v").alias("last_v"), F.avg("v").over(t).alias("mean_v"), F.min("v").over(t).alias("min_v"), F.max("v").over(t).alias("max_v"),
-        F.stddev_pop("v").over(t).alias("std_v"), (F.col("v") - F.lag("v", 1).over(by_user())).alias("last_step"), (F.col("v") - F.first("v").over(t)).alias("from_first"),
-        F.avg((~F.col("seen")).cast("int")).over(t).alias("missing_mean"), F.count("v").over(t).alias("n"),
-    )
-    return X.rounded(out.where("n = 24").drop("n"))
+    """The vector of three features' last day: values, missingness, recency, then statistics of each window."""
+    w, names = by_user(), {"v": "view", "e": "err", "c": "click"}
+    p = events_panel(spark, sf).select("user_id", "hr", *[x for f, c in names.items() for x in (
+        T.locf(c, w).alias(f), F.col(c).isNull().cast("int").alias(f"{f}_missing"), T.recency(c, "hr", w).cast("long").alias(f"{f}_since"))])
+    made = T.summary_vector(list(names), "hr", 24, w)
+    out = X.rounded(p.select("user_id", "hr", *[c.alias(k) for k, c in made.items()]).where("complete").drop("complete"))
+    return out.withColumns({f"slope_{f}": F.col(f"slope_{f}") + 0 for f in names})
 
 
 _ADJACENT = FILLED + ", seen AS (SELECT user_id, hr, v FROM filled WHERE seen)"

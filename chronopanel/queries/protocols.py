@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import exprs as X
 from chronopanel.operators import protocol as D
-from chronopanel.operators.aggregates import fingerprint
-from chronopanel.plans.guards import require_unique
-from chronopanel.queries.base import query, table
+from chronopanel.operators import temporal as T
+from chronopanel.plans.guards import audit, require_manifest, require_unique, truncated
+from chronopanel.queries.base import FILLED, PREDICTIONS, filled_panel, predictions, query, table
 
 _HASH = "('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT"
 _SPLIT = f"""
@@ -81,19 +81,80 @@ def split_audit(spark, sf):
     return shared.union(whole.select(F.lit("all"), F.lit("all"), "shared"))
 
 
-@query(_SPLIT + "SELECT o_orderkey, split FROM orders JOIN split ON o_custkey = c_custkey WHERE split = 'validation' AND o_orderkey % 4 < 3 AND o_totalprice > 1000")
-def protocol_filter(spark, sf):
-    manifest = table(spark, sf, "orders").where("o_orderkey % 4 < 3").select("o_orderkey")
-    o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey").where("o_totalprice > 1000")
-    s = _split(spark, sf).where("split = 'validation'").select("c_custkey", "split")
-    return o.join(s, "c_custkey").join(manifest, "o_orderkey", "left_semi").select("o_orderkey", "split")
+_MANIFEST = "manifest AS (SELECT l_orderkey AS o_orderkey FROM lineitem GROUP BY 1 HAVING count(*) >= 3)"
+
 
+def _manifest(spark, sf):
+    """Orders that have three items or more, from the items' table."""
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return items.where("n >= 3").select("o_orderkey")
 
-@query("""SELECT (SELECT count(*) FROM orders) AS n, 0::BIGINT AS differences""")
+
+@query(_SPLIT + f", {_MANIFEST} SELECT o_orderkey, o_totalprice, split FROM orders JOIN split ON o_custkey = c_custkey JOIN manifest USING (o_orderkey)")
+def protocol_filter(spark, sf):
+    """The orders that a manifest names, with their splits: one that it names and that is missing, or without a split, raises."""
+    o = D.filter_to(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), _manifest(spark, sf), "o_orderkey")
+    s = require_manifest(_split(spark, sf).withColumnRenamed("c_custkey", "o_custkey"), "o_custkey", "split", ["train", "validation", "test"])
+    return D.attach_split(o, s, "o_custkey").select("o_orderkey", "o_totalprice", "split")
+
+
+@query(_SPLIT + "SELECT split, count(DISTINCT o_custkey) AS n FROM orders JOIN split ON o_custkey = c_custkey GROUP BY 1")
+def split_id_sets(spark, sf):
+    """How many of the keys at hand each split has; keys without a split and empty splits raise."""
+    names = ["train", "validation", "test"]
+    keys = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    sets = D.split_ids(keys, _split(spark, sf), "c_custkey", names)
+    parts = [sets[n].agg(F.lit(n).alias("split"), F.count("*").alias("n")) for n in names]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(FILLED + """,
+saved AS (SELECT user_id, hr, CASE WHEN max(hr) OVER (PARTITION BY user_id) - hr >= 6 AND v IS NOT NULL THEN (max(v) OVER f - v >= 20)::INT END AS y FROM filled
+          WINDOW f AS (PARTITION BY user_id ORDER BY hr ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
+rebuilt AS (SELECT a.user_id, a.hr, (max(b.v) - any_value(a.v) >= 20)::INT AS y FROM filled a JOIN filled b ON a.user_id = b.user_id AND b.hr > a.hr AND b.hr <= a.hr + 6 WHERE a.v IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 6),
+j AS (SELECT s.y AS a, r.y AS b, s.user_id IS NOT NULL AS in_a, r.user_id IS NOT NULL AS in_b FROM (SELECT * FROM saved WHERE y IS NOT NULL) s FULL JOIN rebuilt r USING (user_id, hr))
+SELECT count(*) AS n, count(*) FILTER (NOT in_b) AS only_saved, count(*) FILTER (NOT in_a) AS only_rebuilt, count(*) FILTER (in_a AND in_b AND a <> b) AS different FROM j""")
 def reconstruction_check(spark, sf):
-    """Rebuilt keys and labels equal the saved ones: the symmetric difference is empty."""
-    y = (F.col("o_orderstatus") == "F").cast("int").alias("y")
-    saved = table(spark, sf, "orders").select("o_orderkey", y)
-    rebuilt = table(spark, sf, "orders").groupBy("o_orderkey").agg(F.max((F.col("o_orderstatus") == "F").cast("int")).alias("y"))
-    differ = saved.exceptAll(rebuilt).union(rebuilt.exceptAll(saved))
-    return fingerprint(saved, "o_orderkey", "y").select("n").join(differ.agg(F.count("*").alias("differences")))  # one row on either side
+    """Labels by frames over the timeline, and the same rebuilt from a band join: keys and labels must agree."""
+    f = filled_panel(spark, sf).select("user_id", "hr", "v")
+    saved = f.select("user_id", "hr", T.rise_label("v", "hr", 6, 20.0, "user_id", T.timeline("user_id", "hr")).alias("y")).where("y IS NOT NULL")
+    ahead = f.select("user_id", F.explode(F.array(*[F.col("hr") - k for k in range(1, 7)])).alias("hr"), F.col("v").alias("next"))
+    rebuilt = f.where("v IS NOT NULL").join(ahead, ["user_id", "hr"]).groupBy("user_id", "hr").agg(F.count(F.lit(1)).alias("n"), (F.max("next") - F.first("v") >= 20).cast("long").alias("y"))
+    return D.reconstruction(saved, rebuilt.where("n = 6"), ["user_id", "hr"], "y")
+
+
+@query("""
+SELECT name, expected, found, expected IS NOT DISTINCT FROM found AS ok FROM (
+  SELECT 'orders are unique' AS name, (SELECT count(*) FROM orders) AS expected, (SELECT count(DISTINCT o_orderkey) FROM orders) AS found
+  UNION ALL SELECT 'items belong to orders', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+  UNION ALL SELECT 'customers have nations', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey)
+  UNION ALL SELECT 'settings that cut data short', 2, 2)""")
+def scope_audit(spark, sf):
+    """Assertions about what a result was made from, and a search for settings that cut the data short."""
+    o, items, c = table(spark, sf, "orders"), table(spark, sf, "lineitem"), table(spark, sf, "customer")
+    kept = items.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    known = c.join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey")
+    cuts = truncated({"data": {"max_rows": 100, "max_stays": None}, "runs": [{"limit": 0}, {"smoke": True}]})
+
+    def check(name, expected, found):
+        return expected.agg(F.lit(name).alias("name"), F.count("*").alias("expected")).join(found)  # one row on either side
+
+    checks = check("orders are unique", o, o.agg(F.countDistinct("o_orderkey").alias("found")))
+    checks = checks.union(check("items belong to orders", items, kept.agg(F.count("*").alias("found"))))
+    checks = checks.union(check("customers have nations", c, known.agg(F.count("*").alias("found"))))
+    said = spark.createDataFrame([("settings that cut data short", 2, len(cuts))], "name string, expected long, found long")
+    return audit(checks.union(said))
+
+
+@query(PREDICTIONS + """,
+b AS (SELECT id, y, round(p, 1) AS q FROM pred)
+SELECT (SELECT count(*) FROM pred) AS n, (SELECT count(*) - count(DISTINCT id) FROM pred) AS repeated, (SELECT count(*) FROM pred LEFT JOIN b USING (id) WHERE b.id IS NULL) AS unshared,
+       (SELECT count(*) FROM pred JOIN b USING (id) WHERE pred.y <> b.y) AS relabelled, (SELECT regr_slope(y, q) > 0 FROM b) AS rises""")
+def shared_window_audit(spark, sf):
+    """Whether two models were scored on the same windows with the same labels, and whether the outcome rises with the score."""
+    a = predictions(spark, sf).select("id", F.col("y").alias("ya"))
+    b = predictions(spark, sf).select("id", F.col("y").alias("yb"), F.round("p", 1).alias("q"))
+    j = a.join(b, "id", "full_outer")
+    shared = j.agg(F.count(F.when(F.col("ya").isNull() | F.col("yb").isNull(), 1)).alias("unshared"), F.count(F.when(F.col("ya") != F.col("yb"), 1)).alias("relabelled"))
+    own = a.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("id")).alias("repeated"))
+    return own.join(shared).join(b.agg((F.regr_slope(F.col("yb"), F.col("q")) > 0).alias("rises")))  # one row each

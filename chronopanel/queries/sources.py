@@ -35,9 +35,25 @@ def alias_resolution(spark, sf):
     return e.select("event_id", ingest.first_value(e, ["absent", "other", "k1"]).alias("k"))
 
 
-@query("SELECT 'building' AS term, count(*) FILTER (lower(c_mktsegment) LIKE '%building%') AS n FROM customer UNION ALL SELECT 'auto', count(*) FILTER (lower(c_mktsegment) LIKE '%auto%') FROM customer")
+@query("""
+SELECT 'within' AS mode, 'building' AS term, count(*) FILTER (lower(c_mktsegment) LIKE '%building%') AS n FROM customer UNION ALL SELECT 'within', 'mob', count(*) FILTER (lower(c_mktsegment) LIKE '%mob%') FROM customer
+UNION ALL SELECT 'prefix', 'building', count(*) FILTER (lower(c_mktsegment) LIKE 'building%') FROM customer UNION ALL SELECT 'prefix', 'mob', count(*) FILTER (lower(c_mktsegment) LIKE 'mob%') FROM customer""")
 def term_counts(spark, sf):
-    return ingest.term_counts(table(spark, sf, "customer"), "c_mktsegment", ["building", "auto"])
+    c, terms = table(spark, sf, "customer"), ["building", "mob"]
+    parts = [ingest.term_counts(c, "c_mktsegment", terms, prefix).select(F.lit("prefix" if prefix else "within").alias("mode"), "term", "n") for prefix in (False, True)]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT lower(trim(c_mktsegment)) AS label, count(*) AS n FROM customer GROUP BY 1")
+def label_counts(spark, sf):
+    """A bounded look at a source: its labels among at most ten million rows."""
+    return ingest.label_counts(table(spark, sf, "customer"), "c_mktsegment", 10_000_000)
+
+
+@query("SELECT 'c_custkey' AS name, TRUE AS present UNION ALL SELECT 'c_acctbal', TRUE UNION ALL SELECT 'c_absent', FALSE")
+def present_columns(spark, sf):
+    there, lacking = ingest.present_columns(table(spark, sf, "customer"), ["c_custkey", "c_absent", "c_acctbal"])
+    return spark.createDataFrame([(c, True) for c in there] + [(c, False) for c in lacking], "name string, present boolean")
 
 
 @query("SELECT o_orderkey::BIGINT AS stay_id, (o_orderstatus = 'F')::INT::DOUBLE AS y_true, round(o_totalprice / 600000, 4) AS y_prob FROM orders")
