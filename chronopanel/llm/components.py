@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating star contractions, each half round a written table."""
+"""Connected components of an edge table by alternating star contractions, every step a written table."""
 
 from __future__ import annotations
 
@@ -20,13 +20,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if now._written[1] else 0):
         # Large star: the least of a node's neighbours and itself takes the larger neighbours over.
         up, down = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")), now.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        least = up.union(down).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = written(up.join(least, "u").select("v", "m").where("v <> m").distinct(), "large")
+        # Written, so that the join with a busy node's neighbours isn't bound to the partitioning of the sums.
+        least = written(up.union(down).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(up.join(sized(least), "u").select("v", "m").where("v <> m").distinct(), "large")
         # Small star: of a node's smaller neighbours, the least takes the others and the node.
-        least = large.groupBy("v").agg(F.min("m").alias("r"))
-        small = large.join(least, "v").select(F.explode(F.array(F.col("v"), F.col("m"))).alias("hi"), F.col("r").alias("lo"))
+        smallest = written(large.groupBy("v").agg(F.min("m").alias("r")), "smallest")
+        small = large.join(sized(smallest), "v").select(F.explode(F.array(F.col("v"), F.col("m"))).alias("hi"), F.col("r").alias("lo"))
         after = written(small.where("hi <> lo").select("lo", "hi").distinct(), "edges")
-        dropped(now, large)
+        dropped(now, least, large, smallest)
         now = after
         # Done when every node hangs on one root and no root hangs on another node.
         torn = now.groupBy("hi").agg(F.count("*").alias("c")).where("c > 1").select("hi")
