@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronopanel.functions.exprs import hash_unit
 from chronopanel.operators.ordered import numbered, running
@@ -50,9 +51,9 @@ def confusion(y: Column, hit: Column, weight: Column | None = None) -> dict[str,
     return {"tp": cell((y == 1) & hit), "fp": cell((y == 0) & hit), "fn": cell((y == 1) & ~hit), "tn": cell((y == 0) & ~hit)}
 
 
-def rates(undefined: float | None) -> dict[str, Column]:
+def rates(undefined: float | None, suffix: str = "") -> dict[str, Column]:
     """Rates from the four cells; what has no denominator is ``undefined``: 0, or null."""
-    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    tp, fp, fn, tn = (F.col(f"{c}{suffix}").cast("double") for c in ("tp", "fp", "fn", "tn"))
     ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0.0)), F.lit(undefined).cast("double"))
     return {"sensitivity": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "ppv": ratio(tp, tp + fp), "npv": ratio(tn, tn + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)}
 
@@ -138,23 +139,29 @@ def bootstrap_curves(rows: DataFrame, cluster: str, replicates: int, seed: int,
     return drawn.groupBy("replicate", F.col(p).alias("score")).agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """(replicate, auroc, auprc, brier, ece) and at each named threshold sensitivity, specificity, ppv, npv and f1."""
-    c = bootstrap_curves(rows, cluster, replicates, seed)
+def cluster_bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int, thresholds: dict[str, float] | None = None, p: str = "p") -> DataFrame:
+    """(replicate, auroc, auprc, brier, ece) and at each named threshold sensitivity, specificity, ppv, npv and f1.
+
+    The drawn curves are read once: running sums over a replicate's distinct scores, then one aggregate by replicate.
+    """
+    c, own = bootstrap_curves(rows, cluster, replicates, seed, p), Window.partitionBy("replicate")
+    below = own.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(below), F.lit(0))
+    c = c.withColumns({"__np": F.sum("pos").over(own), "__nn": F.sum("neg").over(own), "__pb": before("pos"), "__nb": before("neg")})
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
-    aggs = [(F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / F.sum(pos + neg)).alias("brier")]
+    above, called = F.col("__np") - F.col("__pb"), F.col("__np") + F.col("__nn") - F.col("__pb") - F.col("__nb")
+    n, bins, place = F.sum(pos + neg), 10, bin_of(s, equal_edges(10))
+    gaps = [F.abs(F.coalesce(F.sum(F.when(place == i, s * (pos + neg) - pos)), F.lit(0.0))) for i in range(bins)]
+    aggs = [
+        (F.sum(pos * (F.col("__nb") + neg * 0.5)) / F.nullif(F.sum(pos) * F.sum(neg), F.lit(0))).alias("auroc"), F.sum(pos / F.col("__np") * above / called).alias("auprc"),
+        (F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / n).alias("brier"), (sum(gaps[1:], gaps[0]) / n).alias("ece"),
+    ]
     for name, t in (thresholds or {}).items():
         for cell, value in (("tp", F.when(s >= t, pos)), ("fp", F.when(s >= t, neg)), ("fn", F.when(s < t, pos)), ("tn", F.when(s < t, neg))):
             aggs.append(F.coalesce(F.sum(value), F.lit(0)).alias(f"{cell}_{name}"))
-    other = c.groupBy("replicate").agg(*aggs)
-    for name in thresholds or {}:
-        cells = other.select("replicate", *[F.col(f"{k}_{name}").alias(k) for k in ("tp", "fp", "fn", "tn")])
-        named = cells.select("replicate", *[v.alias(f"{k}_{name}") for k, v in rates(None).items()])
-        other = other.drop(*[f"{k}_{name}" for k in ("tp", "fp", "fn", "tn")]).join(named, "replicate")
-    bins = c.groupBy("replicate", bin_of(s, equal_edges(10)).alias("bin")).agg(F.sum(pos + neg).alias("n"), F.abs(F.sum(s * (pos + neg)) - F.sum(pos)).alias("gap"))
-    ece = bins.groupBy("replicate").agg((F.sum("gap") / F.sum("n")).alias("ece"))
-    auprc = average_precision(c, ["replicate"]).withColumnRenamed("average_precision", "auprc")
-    return auroc(c, ["replicate"]).join(auprc, "replicate").join(other, "replicate").join(ece, "replicate")
+    out = c.groupBy("replicate").agg(*aggs)
+    at = [v.alias(f"{k}_{name}") for name in thresholds or {} for k, v in rates(None, f"_{name}").items()]
+    return out.select("replicate", "auroc", "auprc", "brier", "ece", *at)
 
 
 def alarms(rows: DataFrame, events: DataFrame, alerts: DataFrame, entity: str, hour: str, ahead: int) -> DataFrame:

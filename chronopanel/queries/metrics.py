@@ -117,8 +117,7 @@ def cluster_bootstrap(spark, sf):
 
 @query(_BOOT + "SELECT round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.025), 6) AS low, round(quantile_cont(auroc, 0.975), 6) AS high FROM boot")
 def bootstrap_interval(spark, sf):
-    a = E.auroc(E.bootstrap_curves(predictions(spark, sf), "cluster", REPLICATES, 17), ["replicate"])
-    return X.rounded(E.percentile_ci(a, "auroc"))
+    return X.rounded(E.percentile_ci(E.cluster_bootstrap(predictions(spark, sf), "cluster", REPLICATES, 17), "auroc"))
 
 
 @query(_BOOT + """,
@@ -131,7 +130,7 @@ SELECT count(*) AS n, round(avg(diff), 6) AS mean, round(quantile_cont(diff, 0.0
 def paired_bootstrap(spark, sf):
     """Two models, the fine score and the coarse one, on the same draws: the difference of their areas and both p values."""
     rows = predictions(spark, sf).withColumn("coarse", F.round("p", 1))
-    a, b = (E.auroc(E.bootstrap_curves(rows, "cluster", REPLICATES, 17, p), ["replicate"]).withColumnRenamed("auroc", p) for p in ("p", "coarse"))
+    a, b = (E.cluster_bootstrap(rows, "cluster", REPLICATES, 17, p=p).select("replicate", F.col("auroc").alias(p)) for p in ("p", "coarse"))
     x = a.join(b, "replicate").select(F.round(F.col("p") - F.col("coarse"), 9).alias("diff"))
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
     return X.rounded(x.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q[0].alias("low"), q[1].alias("high"), E.paired_p("diff", False).alias("p_plain"), E.paired_p("diff", True).alias("p_smoothed")))
