@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import decontam, html, langid, minhash, packing, quality, rules, tokencount, tokenids, urls
+from chronopanel.llm import decontam, html, infill, langid, licenses, minhash, packing, quality, rules, tokencount, tokenids, trie, urls
 from chronopanel.llm.common import bare
 
 
@@ -63,6 +63,22 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(docs, with_text=False).select("doc_id", *rules.MEASURES, "base_failed", "soft_failed", "kept")
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return licenses.scan(docs).drop("text", "wordings")
+
+
+def op12_rank_select_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bare(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = infill.transform(docs).drop("text")
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(infill.restored(), 256)}
+    return out.withColumns(digests).drop("output")
+
+
+def op13_patricia_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +92,9 @@ QUERIES = {
         op8_feistel_token_shards,
         op9_rank_synchronous_counts,
         op10_host_quality_rules,
+        op11_license_templates,
+        op12_rank_select_infill,
+        op13_patricia_conversations,
     )
 }
 
@@ -85,4 +104,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_language_model_ratio": urls.oracle(), "op10_host_quality_rules": rules.oracle()}
+    return {
+        "op6_url_language_model_ratio": urls.oracle(),
+        "op10_host_quality_rules": rules.oracle(),
+        "op11_license_templates": licenses.oracle(),
+        "op12_rank_select_infill": infill.oracle(),
+        "op13_patricia_conversations": trie.oracle(),
+    }
