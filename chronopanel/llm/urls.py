@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import dropped, sized, written
+from chronopanel.llm.common import BROADCAST_BYTES, dropped, sized, written
 
 #: (verdict, host, path) in the order of the contract.
 RULES = (
@@ -30,6 +30,8 @@ RULES = (
 BACKOFF = 2.0
 PSEUDO = 0.5
 HELD_OUT = ("0", "1", "2", "3")
+#: Most frequent grams that are scored in the row where the table of grams is too large to broadcast.
+HOT = 1000
 PAD = "\u0002\u0002\u0002"
 END = "\u0003"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +59,7 @@ def _grams(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
-    """From (gram, acc, rej) counts, one row a gram: log of its last character's probability ratio after the others."""
+    """From (gram, acc, rej, n) counts, one row a gram: log of its last character's probability ratio after the others."""
     def sums(key: Column, name: str) -> DataFrame:
         return grams.groupBy(key.alias(name)).agg(F.sum("acc").alias(f"{name}_acc"), F.sum("rej").alias(f"{name}_rej"))
 
@@ -76,10 +78,26 @@ def gram_scores(grams: DataFrame) -> DataFrame:
         return F.log((F.col(side) + BACKOFF * p) / (F.col(f"x3_{side}") + BACKOFF))
 
     known = bool(n_acc and n_rej)
-    return out.select("gram", (log_p("acc", n_acc) - log_p("rej", n_rej) if known else F.lit(0.0)).alias("ratio"))
+    return out.select("gram", "n", (log_p("acc", n_acc) - log_p("rej", n_rej) if known else F.lit(0.0)).alias("ratio"))
 
 
-def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+def mean_ratios(texts: DataFrame, ratios: DataFrame, limit: int) -> DataFrame:
+    """(id, says, score): the mean ratio of each text's grams.
+
+    Some grams are in every URL. Where the ratios are too large to broadcast, each text's equal grams are counted first,
+    the HOT most frequent are looked up in a side of so many rows, and only the others meet the ratios by gram.
+    """
+    if ratios._written[1] <= limit:
+        return _grams(texts, "id", "says").join(F.broadcast(ratios), "gram").groupBy("id", "says").agg(F.avg("ratio").alias("score"))
+    counted = _grams(texts, "id", "says").groupBy("id", "says", "gram").agg(F.count("*").alias("c"))
+    hot = ratios.orderBy(F.desc("n"), "gram").limit(HOT).select("gram", F.col("ratio").alias("known"))
+    looked = written(counted.join(F.broadcast(hot), "gram", "left"), "url-gram-counts")
+    rest = looked.where("known IS NULL").drop("known").join(ratios.select("gram", F.col("ratio").alias("known")), "gram")
+    both = looked.where("known IS NOT NULL").select("id", "says", "c", "known").union(rest.select("id", "says", "c", "known"))
+    return both.groupBy("id", "says").agg((F.sum(F.col("c") * F.col("known")) / F.sum("c")).alias("score"))
+
+
+def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Every row with ``host``, ``path``, ``rule``, ``score`` (null where a rule decides) and ``verdict``."""
     host, path = host_and_path(url)
     rows = pages.withColumns({"host": host, "path": path})
@@ -98,17 +116,12 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     counts = _grams(texts, "says", "held_out").groupBy("gram").agg(
         F.sum(F.when(F.col("says") == "allow", learn).otherwise(0)).alias("acc"),
         F.sum(F.when(F.col("says") == "block", learn).otherwise(0)).alias("rej"),
+        F.count("*").alias("n"),
     )
     counts = written(counts, "url-grams")
     ratios = written(gram_scores(counts), "url-ratios")
     wanted = texts.where(F.col("says").isNull() | F.col("held_out"))
-    scored = (
-        _grams(wanted, "id", "says")
-        .join(sized(ratios), "gram")
-        .groupBy("id", "says")
-        .agg(F.avg("ratio").alias("score"))
-    )
-    scored = written(scored, "url-scores")
+    scored = written(mean_ratios(wanted, ratios, limit), "url-scores")
     cut = threshold(scored)
     dropped(texts, counts, ratios)
     scores = scored.where(F.col("says").isNull()).select(F.col("id").alias("__id"), "score")

@@ -204,3 +204,56 @@ def test_names_around_an_article_do_not_drop_it():
     assert html.extract("<body><p>a</p><div hidden>b</div><div aria-hidden=true>c</div><form><p>d</p></form></body>") == "a"
     pages = [(around[4] % inside).replace("the text", f"text {i}").replace("T<", f"T{i}<") for i in range(5)]  # the host tells
     assert [html.extract(p, html.induce(pages)) for p in pages] == [f"T{i}\n\ntext {i}" for i in range(5)]
+
+
+def parted(i, kind, before="", after="Read on: piece {i}"):
+    """A page with an article in an element of its layout, and a line after it that every page of the host has."""
+    words = " ".join(f"{kind}{i}w{j}" for j in range(40))
+    body = f"{before}<div class={kind}><h1>{kind} {i}</h1><p>{words}</p></div><p>{after.format(i=i)}</p>"
+    return f"<body>{body}</body>", f"{kind} {i}\n\n{words}"
+
+
+@pytest.mark.parametrize("kinds", [("story", "report"), ("report", "story"), ("a", "z"), ("z", "a")])
+def test_minority_layouts_keep_their_articles(spark, kinds):
+    pages = [parted(i, kinds[0]) for i in range(12)] + [parted(i, kinds[1]) for i in range(100, 105)]
+    df = spark.createDataFrame([(i, f"http://w.x.org/{i}", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert [got[i] for i in range(17)] == [want for _, want in pages]
+    w = html.induce([p for p, _ in pages])
+    assert [html.extract(p, w) for p, _ in pages] == [want for _, want in pages]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_layouts_and_exemplars_in_any_order(seed):
+    """Three layouts with shares of 70, 20 and 10 %, every text planted; the wrapper learns from exemplars in any order."""
+    rng = random.Random(seed)
+    kinds = ["story", "report", "column"]
+    rng.shuffle(kinds)
+    heads = ["", "<div class=bar><p>Our letters</p></div>", "<ul><li>Home</li><li>News</li></ul>"]
+    rng.shuffle(heads)
+    pages = [parted(i, kinds[k], heads[k]) for i, k in enumerate([0] * 70 + [1] * 20 + [2] * 10)]
+    rng.shuffle(pages)
+    w = html.Wrapper()
+    exemplars = [next(p for p, _ in pages if f"class={k}" in p) for k in kinds] + [p for p, _ in pages[:5]]
+    rng.shuffle(exemplars)
+    for p in exemplars:
+        w.learn(html.shape(html.parse(p)))
+    w.settle()
+    ballots = list({html.core(b): b for b in (html.votes(p, w) for p, _ in pages)}.values())
+    html.tally(w, ballots)
+    assert [html.extract(p, w) for p, _ in pages] == [want for _, want in pages]
+    again = html.induce([p for p, _ in pages])
+    got = [html.extract(p, again) for p, _ in pages]
+    assert all(want in text for text, (_, want) in zip(got, pages, strict=True))  # exemplars may lack a layout, no article is lost
+
+
+def test_hosts_of_a_registry_are_no_domain(spark):
+    df = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("b.co.uk",), ("x.y.z.de",), ("localhost",)], "h string")
+    assert [r[0] for r in df.select(html.domain(df.h)).collect()] == ["b.co.uk", "b.com", "b.co.uk", "z.de", "localhost"]
+
+
+def test_url_ratios_too_large_to_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(urls, "HOT", 20)
+    pages = spark.read.parquet(sf + "/pages.parquet").select("page_id", "url")
+    got = urls.judge_urls(pages, limit=0).select("page_id", "host", "path", "rule", "verdict")
+    same(got, connect(sf), urls.oracle())
