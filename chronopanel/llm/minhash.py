@@ -6,11 +6,12 @@ each of many hash functions, the least exponential variate over its shingles on
 buckets. In each bucket the class that meets most others is the hub and all others meet it in a star, so no pairs
 within a bucket are formed. A star's far pairs are left out by the joint likelihood of both sketches, the rest are
 compared on full sets. A class that isn't linked with a hub may still be linked with another class of the star: then
-both differ from the hub in shared shingles, and a prefix join on those differences finds every such pair.
+both differ from the hub in shared shingles, and a prefix join on those differences finds every such pair, again by
+stars where many meet.
 
 Defined results: texts without words have no shingles and are linked with nothing; a null key is a document of its own
 class and never the component's id unless no member has one (then the id is null and the row is kept); repeated rows
-get equal results; columns besides key and text are ignored.
+get equal results; columns besides key and text are ignored; a text of any length is one set, 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LINK = (4, 5)
 BANDS, ROWS = 40, 6
 BASE, RATE = 1.01, 20.0
 REGISTERS = BANDS * ROWS
+#: Members of a bucket of differences that are compared pair by pair, and how often larger ones are split by stars.
+FEW, LEVELS = 8, 6
 #: Pairs whose likeliest similarity is below this by the sketches alone are far: at 0.8, seven deviations away.
 FAR = 0.6
 _M64 = (1 << 64) - 1
@@ -197,21 +200,27 @@ def links(docs: DataFrame, classes: DataFrame, key: str, size: int) -> DataFrame
     return out
 
 
-def beyond_hubs(compared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def beyond_hubs(compared: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
     """Links within stars where at least one end isn't linked with the hub, and the written tables that they read.
 
     With D(x) the shingles in which x differs from the hub h, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and x and y
     are linked if 9 |x ^ y| <= |x| + |y| (for 0.8). If x isn't linked with h, any partner y shares more than
     (9 |D(y)| + |h| - |y|) / 18 of its differences with x, and x at least |D(x)| - |x| / 4 of its own with y, whose size
     is 5 / 4 of x's at most. So the two meet within the rarest of their differences: y's half or so, x's longer list.
+
+    Where few meet in a difference they are compared pair by pair. Where more than FEW do they are often alike among
+    themselves: they meet one of them in a star, as at first, and what isn't linked with it is sought among the
+    differences from it, one level deeper, so no bucket gives more rows than FEW times its members. Only what is left
+    after ``levels`` such steps, whatever its buckets' size, is compared pair by pair.
     """
     num, den = LINK
     k = F.lit(den + num)  # |x ^ y| * (den + num) <= (den - num) * (|x| + |y|)
     gap = F.lit(den - num)
     open_stars = compared.groupBy("b").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("apart"))
     open_stars = written(open_stars.where("m > 1 AND apart > 0").select("b"), "open-stars")
+    none = compared.where("false").select("a", "b")
     if not open_stars._written[1]:
-        return compared.where("false").select("a", "b"), [open_stars]
+        return none, [open_stars]
     rows = compared.join(sized(open_stars), "b", "left_semi")
     nd = F.size("diff")
     least_y = F.greatest(F.floor((k * nd + gap * (F.col("nb") - F.col("na"))) / (2 * k)) + 1, F.lit(1))
@@ -224,23 +233,42 @@ def beyond_hubs(compared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     met = each.join(sized(rare), ["b", "shingle"])
     ordered = met.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("order"))
     ordered = written(ordered.join(rows.select("b", "a", "nd", "na", "linked", "prefix_x", "prefix_y"), ["b", "a"]), "ordered")
-
-    def index(prefix: str) -> DataFrame:
-        take = (F.col(prefix) - (F.col("nd") - F.size("order"))).cast("int")
-        rarest = F.explode(F.slice("order", F.lit(1), F.greatest(take, F.lit(0)))).alias("o")
-        return ordered.select("b", "a", "na", "nd", "linked", rarest).select("b", F.col("o.shingle").alias("shingle"), "a", "na", "nd", "linked")
-
-    x = index("prefix_x").where(~F.col("linked")).drop("linked").toDF("b", "shingle", "x", "nx", "dx")
-    y = index("prefix_y").toDF("b", "shingle", "y", "ny", "dy", "ly")
-    close = k * F.abs(F.col("dx") - F.col("dy")) <= gap * (F.col("nx") + F.col("ny"))
-    size_ok = F.lit(den) * F.least("nx", "ny") >= F.lit(num) * F.greatest("nx", "ny")
-    same = (x.b == y.b) & (x.shingle == y.shingle)
-    found = x.join(y, same & (F.col("x") != F.col("y")) & close & size_ok).select(x.b, "x", "y", "nx", "ny", "dx", "dy").distinct()
-    lists = ordered.select("b", "a", F.transform("order", lambda o: o["shingle"]).alias("d"))
-    found = found.join(lists.toDF("b", "x", "ex"), ["b", "x"]).join(lists.toDF("b", "y", "ey"), ["b", "y"])
+    # Who meets in which difference, as x and as y.
+    alone = F.col("nd") - F.size("order")
+    depth = {c: F.greatest(F.col(f"prefix_{c}") - alone, F.lit(0)).cast("int") for c in "xy"}
+    first = F.posexplode(F.slice("order", F.lit(1), F.greatest(depth["x"], depth["y"]))).alias("at", "o")
+    places = ordered.select("b", "a", depth["x"].alias("to_x"), depth["y"].alias("to_y"), first)
+    places = places.select("b", "a", F.col("o.shingle").alias("shingle"), (F.col("at") < F.col("to_x")).alias("as_x"), (F.col("at") < F.col("to_y")).alias("as_y"))
+    places = written(places, "difference-places")
+    buckets = places.groupBy("b", "shingle").agg(F.count("*").alias("c"), F.max("as_x").alias("any_x"))
+    buckets = written(buckets.where("c > 1 AND any_x").drop("any_x"), "difference-buckets")
+    members = places.join(sized(buckets), ["b", "shingle"])
+    pairwise = members.where(F.col("c") <= FEW) if levels else members
+    x, y = (pairwise.where(f"as_{c}").select("b", "shingle", F.col("a").alias(c)) for c in "xy")
+    found = x.join(y, ["b", "shingle"]).where("x <> y").select("b", "x", "y").distinct()
+    about = ordered.select("b", "a", F.transform("order", lambda o: o["shingle"]).alias("e"), "na", "nd")
+    found = found.join(about.toDF("b", "x", "ex", "nx", "dx"), ["b", "x"]).join(about.toDF("b", "y", "ey", "ny", "dy"), ["b", "y"])
     apart = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
     found = found.where(k * apart <= gap * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return found, [open_stars, rare, ordered]
+    used = [open_stars, rare, ordered, places, buckets]
+    if not levels:
+        return found, used
+    many = written(members.where(F.col("c") > FEW).select("b", "shingle", "a"), "difference-members")
+    if not many._written[1]:
+        return found, [*used, many]
+    degree = written(many.groupBy("b", "a").agg(F.count("*").alias("degree")), "difference-degrees")
+    hubs = many.join(sized(degree), ["b", "a"]).groupBy("b", "shingle").agg(F.max(F.struct("degree", "a"))["a"].alias("s"))
+    hubs = written(hubs, "difference-hubs")
+    stars_of = many.join(sized(hubs), ["b", "shingle"]).where("a <> s").groupBy("a", "s").agg(F.min("b").alias("h"))
+    stars_of = written(stars_of, "difference-stars")
+    diffs = compared.select(F.col("b").alias("h"), "a", "na", "diff")
+    pairs = stars_of.join(diffs.toDF("h", "a", "na", "da"), ["h", "a"]).join(diffs.toDF("h", "s", "nb", "ds"), ["h", "s"])
+    pairs = pairs.withColumn("diff", F.concat(F.array_except("da", "ds"), F.array_except("ds", "da")))
+    linked = k * F.size("diff") <= gap * (F.col("na") + F.col("nb"))
+    deeper = written(pairs.select("a", F.col("s").alias("b"), "na", "nb", "diff", linked.alias("linked")), "compared-deeper")
+    dropped(degree, hubs, stars_of)
+    rest, more = beyond_hubs(deeper, levels - 1)
+    return found.union(deeper.where("linked").select("a", "b")).union(rest), [*used, many, deeper, *more]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 2) -> DataFrame:

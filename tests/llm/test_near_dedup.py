@@ -111,3 +111,94 @@ def test_registers_merge():
     x, y = rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     both = np.maximum(minhash.registers(x), minhash.registers(y))
     assert (minhash.registers(np.union1d(x, y)) == both).all()
+
+
+def incidence(rows):
+    """Sets of two-word shingles as a matrix, and the components of all pairs."""
+    sets = [{tuple(w[i : i + 2]) for i in range(len(w) - 1)} for w in (t.split() for _, t in rows)]
+    number = {s: i for i, s in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(number)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    n, inter = m.sum(1), m @ m.T
+    linked = 5 * inter >= 4 * (n[:, None] + n[None, :] - inter) - 1e-3
+    root, todo = np.full(len(rows), -1), []
+    for i in range(len(rows)):
+        if root[i] < 0:
+            todo, root[i] = [i], i
+            while todo:
+                near = np.flatnonzero(linked[todo.pop()] & (root < 0))
+                root[near] = i
+                todo += near.tolist()
+    return {rows[i][0]: rows[r][0] for i, r in enumerate(root)}, (n, inter)
+
+
+def clusters(sizes, seed=3):
+    """Groups alike within, whose bases are 0.75 alike from group to group."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(280)]
+    rows = []
+    for g, size in enumerate(sizes):
+        own = list(base) if g == 0 else [*base[:240], *(f"g{g}w{i}" for i in range(40))]
+        for _ in range(size):
+            words = list(own)
+            words[rng.randrange(200)] = f"u{len(rows)}"
+            words[rng.randrange(200)] = f"v{len(rows) % 50}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("sizes", [(400, 3000), (60, 50, 40, 30, 20, 10)])
+def test_groups_that_are_nearly_alike_make_no_pairs_of_all(spark, sizes, monkeypatch):
+    rows = clusters(sizes)
+    want, _ = incidence(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    counts, write = {}, minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name, **kw: counts.setdefault(f"{name}-{len(counts)}", write(df, name, **kw)) and counts[list(counts)[-1]])
+    kept = minhash.dropped
+    monkeypatch.setattr(minhash, "dropped", lambda *tables: None)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == want
+    made = {k: t.count() for k, t in counts.items()}
+    assert all(n < 20 * len(rows) for k, n in made.items() if k.startswith(("links", "compared", "near", "difference-stars"))), made
+    kept(*counts.values())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_links_beyond_a_hub_are_exact_at_any_level(spark, seed, monkeypatch):
+    """Given every class's differences from one hub, components of the links found are those of all pairs."""
+    monkeypatch.setattr(minhash, "FEW", 3)
+    rng = random.Random(seed)
+    hub = set(range(200))
+    groups = [set(rng.sample(range(200, 400), 50)) for _ in range(4)]
+    sets = [(hub - set(rng.sample(range(200), rng.randint(10, 40)))) | set(rng.sample(sorted(g), rng.randint(10, 45))) for g in groups for _ in range(40)]
+    rows = [(bytes([i // 256, i % 256]), b"hub", len(s), len(hub), sorted(s ^ hub), 9 * len(s ^ hub) <= len(s) + len(hub)) for i, s in enumerate(sets)]
+    compared = spark.createDataFrame(rows, "a binary, b binary, na long, nb long, diff array<long>, linked boolean")
+    found, used = minhash.beyond_hubs(minhash.written(compared, "compared"))
+    pairs = {(int.from_bytes(r["a"], "big"), int.from_bytes(r["b"], "big")) for r in found.collect()}
+    assert all(9 * len(sets[a] ^ sets[b]) <= len(sets[a]) + len(sets[b]) for a, b in pairs)
+
+    def roots(edges):
+        parent = list(range(len(sets) + 1))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return [find(x) for x in range(len(sets) + 1)]
+
+    direct = [(i, len(sets)) for i, r in enumerate(rows) if r[5]]
+    every = [(a, b) for a, b in combinations(range(len(sets)), 2) if 9 * len(sets[a] ^ sets[b]) <= len(sets[a]) + len(sets[b])]
+    assert roots(direct + list(pairs)) == roots(direct + every)
+    assert len(used) > 7  # more than one level
+
+
+def test_a_very_long_text(spark):
+    word = " ".join(f"w{i}" for i in range(1_000_000))
+    docs = spark.createDataFrame([(1, word), (2, word + " end"), (3, "short")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(1, 999_999, 1), (2, 1_000_000, 1), (3, 1, 3)]
