@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import WHITE, bare, dropped, sized, written
+from chronopanel.llm.common import bare, dropped, sized, written
 
 #: Share of an item's words that may differ, least words of an item, and the characters of items in a block.
 ERRORS, LEAST_WORDS = 0.2, 5
@@ -125,9 +125,13 @@ def blocks(benchmark: DataFrame, item: str, limit: int) -> Iterator[list[tuple]]
 
 
 def too_short(benchmark: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """The items that are not searched for."""
-    n_words = F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), WHITE), ""))
-    return benchmark.where(n_words < least)
+    """The items that are not searched for: their words are counted as the search parts them."""
+
+    @F.pandas_udf("long")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(normal(t))).astype("int64")
+
+    return benchmark.where(n_words("text") < max(least, 1))
 
 
 def _matches(docs: DataFrame, block: list[tuple], errors: float, least: int, kind: str) -> Column:

@@ -8,7 +8,8 @@ The network is fitted on a bounded sample, stratified by language: of each langu
 windows drawn from all of it. A rare language is learned from what there is of it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with nothing to learn from every text
-is ``und`` with score 0; repeated rows get equal predictions; columns besides text and language are carried along and
+is ``und`` with score 0; repeated rows get equal predictions; a text of any length is read whole, a group of windows at a
+time; columns besides text and language are carried along and
 result columns replace those of the same names.
 """
 
@@ -22,14 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import written
+from chronopanel.llm.common import sized, written
 
 UNKNOWN = "und"
 #: Bytes in a window, widths of filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-#: The network is fitted on at most so many labelled documents of each language, the first by a hash of their text, on so
-#: many windows of each, drawn from the whole text, and on so many languages, the most frequent ones; the bounds hold at
-#: any size of the corpus.
+#: The network is fitted on at most so many labelled documents of each language, the first by a hash of their text, and on
+#: so many windows of each, drawn from the whole text. That holds up to so many languages; if there are more, all of them
+#: are learned and share that many documents evenly, at least one each. The bounds hold at any size of the corpus.
 FIT_DOCUMENTS, FIT_WINDOWS, FIT_LANGUAGES = 1500, 6, 200
 EPOCHS, BATCH, RATE = 6, 256, 0.01
 
@@ -173,19 +174,20 @@ def train(samples: list[tuple[bytes, str]], seed: int = 7) -> Network | None:
 
 
 def sample(labelled: DataFrame, text: str, lang: str, n_docs: int, n_langs: int) -> DataFrame:
-    """(h, l, t): of each of the most frequent languages the first different texts by hash; a text with several labels may
-    be in the sample of each.
+    """(h, l, t): of each language the first different texts by hash, ``n_docs`` or, beyond ``n_langs`` languages, an even
+    share of ``n_docs * n_langs``; a text with several labels may be in the sample of each.
 
     Hashes are uniform, so a language's share of its hashes that is expected to hold twice the bound is looked at; only
     those are ordered, and no language's rows meet in one task before.
     """
     hashes = labelled.where(F.col(lang).isNotNull() & has_letter(text)).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    langs = hashes.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "l").limit(n_langs)
-    langs = written(langs.select("l", (F.lit(2.0 * n_docs) / F.col("n")).alias("share")), "languages")
-    first = hashes.join(F.broadcast(langs), "l").where(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < F.col("share"))
+    langs = written(hashes.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n")), "languages")
+    n_docs = max(min(n_docs, n_docs * n_langs // max(langs.count(), 1)), 1)
+    share = langs.select("l", (F.lit(2.0 * n_docs) / F.col("n")).alias("share"))
+    first = hashes.join(sized(share, langs), "l").where(F.shiftrightunsigned("h", 11) / F.lit(2.0**53) < F.col("share"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 1), "h"))
     chosen = written(first.select("h", "l").distinct().withColumn("rank", rank).where(F.col("rank") <= n_docs).select("h", "l"), "language-sample")
-    return hashes.join(F.broadcast(chosen), ["h", "l"]).groupBy("h", "l").agg(F.min("t").alias("t"))
+    return hashes.join(sized(chosen), ["h", "l"]).groupBy("h", "l").agg(F.min("t").alias("t"))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", n_docs: int = FIT_DOCUMENTS, n_langs: int = FIT_LANGUAGES) -> Network | None:

@@ -231,3 +231,17 @@ def test_rules_of_odd_rows(spark):
     out = rules.apply_rules(odd(spark)).collect()
     assert len(out) == 7 and all(not r["kept"] for r in out if r["base_failed"])
     assert rules.apply_rules(odd(spark).limit(0)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(f"{lang} text {i}", lang) for lang in ("aa", "bb", "cc", "dd", "ee") for i in range(40)] + [("only one", "ff")]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string").repartition(3), "text", "lang", 30, 2).groupBy("l").count().collect()
+    assert dict(map(tuple, got)) == dict.fromkeys(("aa", "bb", "cc", "dd", "ee"), 10) | {"ff": 1}
+
+
+def test_very_long_texts_are_read_whole(spark):
+    long = [(1, "wort und die der " * 60_000 + "zz", "de"), (2, "the word and of " * 60_000 + "zz", "en"), (4, "der die das und " * 30, "de"), (5, "and of the is " * 30, "en")]
+    got = langid.predict(spark.createDataFrame(long, "doc_id long, text string, lang string"), langid.fit(spark.createDataFrame(long, "doc_id long, text string, lang string")))
+    assert {(r["doc_id"], r["lang_pred"]) for r in got.collect()} == {(1, "de"), (2, "en"), (4, "de"), (5, "en")}
+    graded = quality.select(spark.createDataFrame(long, "doc_id long, text string, lang string"), spark.createDataFrame([(4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"] for r in graded.collect()} == {1, 2, 4, 5}

@@ -181,3 +181,10 @@ def test_long_runs(spark, library, text):
     assert np.array_equal(got[: len(want)], want)
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     assert tokencount.merger(tokencount.VOCABULARY).count([text]) == [len(model.encode(text))]
+
+
+def test_short_items_are_counted_as_the_search_parts_them(spark):
+    items = spark.createDataFrame([(1, "one\u00a0two\u00a0three\u00a0four\u00a0five"), (2, "one two"), (3, None), (4, "a\u2003b\x1cc d e")], "item_id long, text string")
+    assert sorted(r["item_id"] for r in decontam.too_short(items).collect()) == [2, 3]
+    docs = spark.createDataFrame([(1, "zero one two three four five six")], "doc_id long, text string")
+    assert [m["item_id"] for m in decontam.find_items(docs, items).first()["matches"]] == [1]
