@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronopanel.operators.quantiles import quantiles
+
 # Two-sided 95 % quantiles of Student's t by number of runs.
 T_QUANTILES = {2: 12.706, 3: 4.303, 4: 3.182, 5: 2.776}
 NORMAL_QUANTILE = 1.96
@@ -28,7 +30,7 @@ def first_row(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame
 
 def histogram_quantile(rows: DataFrame, keys: list[str], value: str, count: str, p: float) -> DataFrame:
     """Exact interpolated quantile of values with frequencies."""
-    return rows.groupBy(*keys).agg(F.percentile(value, F.lit(p), F.col(count)).alias("quantile"))
+    return quantiles(rows, value, [p], keys, weight=count).select(*keys, F.col("q")[0].alias("quantile"))
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -48,7 +48,8 @@ def in_interval(events: DataFrame, stays: DataFrame, key: list[str], at: str, st
 
 
 def band(left: DataFrame, right: DataFrame, key: str, low: Column, high: Column, value: str, seconds: int = 21_600) -> DataFrame:
-    """Right rows of the same key whose time is in (low, high], columns of both; joined on key and cells of time as above."""
+    """Right rows of the same key whose time is in (low, high], columns of both; joined on key and cells of time as above.
+    Times may be whole numbers as well, such as hours: they count as seconds."""
     near = left.withColumns({"__low": low, "__high": high}).where("__low <= __high")
     near = near.withColumn("__cell", F.explode(F.sequence(_cells(F.col("__low"), seconds), _cells(F.col("__high"), seconds))))
     found = near.join(right.withColumn("__cell", _cells(F.col(value), seconds)), [key, "__cell"])

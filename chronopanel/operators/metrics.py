@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronopanel.functions.exprs import hash_unit
 from chronopanel.operators.ordered import numbered, running
+from chronopanel.operators.quantiles import quantile_columns, settled
 
 
 def curve(rows: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -103,51 +103,55 @@ def youden(c: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def decision_curve(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Net benefit of the model, of treating all and of treating none, from one pass over the rows."""
-    y, p = F.col("y"), F.col("p")
-    aggs = [F.count("*").alias("n"), F.sum("y").alias("pos")]
-    for i, t in enumerate(thresholds):
-        aggs += [F.sum(F.when(p >= t, y).otherwise(0)).alias(f"tp{i}"), F.sum(F.when(p >= t, 1 - y).otherwise(0)).alias(f"fp{i}")]
-    one = rows.agg(*aggs)
-    parts = []
-    for i, t in enumerate(thresholds):
-        odds = t / (1 - t)
-        net = F.col(f"tp{i}") / F.col("n") - F.col(f"fp{i}") / F.col("n") * odds
-        treat_all = F.col("pos") / F.col("n") - (1 - F.col("pos") / F.col("n")) * odds
-        parts.append(F.struct(F.lit(t).alias("threshold"), net.alias("net_benefit"), treat_all.alias("treat_all")))
-    return one.select(F.inline(F.array(*parts)))
-
-
-def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """(replicate, key, weight): how often each cluster is drawn when as many are drawn as there are, with replacement.
+    """Net benefit of the model and of treating all, at each threshold. Distinct scores are summed by how many thresholds
+    they reach; of those few sums each threshold takes the ones from its place on."""
+    ladder = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
+    reached = F.size(F.filter(ladder, lambda t: t <= F.col("score")))
+    cells = curve(rows).groupBy(reached.alias("b")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    one = cells.agg(F.collect_list(F.struct("b", "pos", "neg")).alias("cells"), F.sum("pos").alias("pos"), F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    at = one.select("*", F.posexplode(ladder).alias("i", "threshold"))
+    above = lambda c: F.aggregate(F.filter("cells", lambda x: x["b"] > F.col("i")), F.lit(0).cast("long"), lambda s, x: s + x[c])
+    odds, rate = F.col("threshold") / (1 - F.col("threshold")), F.col("pos") / F.col("n")
+    net = above("pos") / F.col("n") - above("neg") / F.col("n") * odds
+    return at.select("threshold", net.alias("net_benefit"), (rate - (1 - rate) * odds).alias("treat_all"))
+
+
+def bootstrap_draws(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """(key, draws): in which replicates each cluster is drawn and how often, when as many are drawn as there are, with
+    replacement; an array of ``replicates`` entries at most.
 
     Draw i of replicate r is the cluster numbered hash(seed, r, i) mod N: the counts are multinomial, and the same in
-    any engine. The table has replicates times clusters draws; rows are summed by cluster before they are weighted.
+    any engine. There are replicates times clusters draws; rows are summed by cluster before they are weighted.
     """
-    places = numbered(clusters, key, "__i")
+    places = settled(numbered(clusters, key, "__i"))
     n = places.count()
-    draws = places.select("__i", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = draws.select("replicate", (hash_unit(F.lit(seed), F.col("replicate"), F.col("__i")) % n).alias("__i"))
-    counts = drawn.groupBy("replicate", "__i").agg(F.count("*").alias("weight"))
-    return counts.join(places, "__i").select("replicate", key, "weight")
+    drawn = places.select(F.col("__i").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    drawn = drawn.select("replicate", (hash_unit(F.lit(seed), F.col("replicate"), F.col("i")) % n).alias("__i"))
+    counts = drawn.groupBy("__i", "replicate").agg(F.count("*").alias("weight"))
+    return counts.groupBy("__i").agg(F.collect_list(F.struct("replicate", "weight")).alias("draws")).join(places, "__i").select(key, "draws")
+
+
+def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """(replicate, key, weight), a row for each cluster that a replicate has drawn."""
+    return bootstrap_draws(clusters, key, replicates, seed).select(key, F.inline("draws")).select("replicate", key, "weight")
 
 
 def bootstrap_curves(rows: DataFrame, cluster: str, replicates: int, seed: int, p: str = "p") -> DataFrame:
-    """(replicate, score, pos, neg) of clusters drawn with replacement: rows are summed by cluster and score first."""
+    """(replicate, score, pos, neg) of clusters drawn with replacement: rows are summed by cluster and score first, meet
+    their cluster's draws once, and are summed by replicate and score before they are shuffled again."""
     cells = rows.groupBy(cluster, p).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    drawn = cells.join(bootstrap_weights(rows, cluster, replicates, seed), cluster)
-    return drawn.groupBy("replicate", F.col(p).alias("score")).agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
+    drawn = cells.join(bootstrap_draws(rows, cluster, replicates, seed), cluster).select(F.col(p).alias("score"), "pos", "neg", F.inline("draws"))
+    return drawn.groupBy("replicate", "score").agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, replicates: int, seed: int, thresholds: dict[str, float] | None = None, p: str = "p") -> DataFrame:
     """(replicate, auroc, auprc, brier, ece) and at each named threshold sensitivity, specificity, ppv, npv and f1.
 
-    The drawn curves are read once: running sums over a replicate's distinct scores, then one aggregate by replicate.
+    The drawn curves are settled; running sums go by replicate and bucket of scores, so no replicate's curve is one task.
     """
-    c, own = bootstrap_curves(rows, cluster, replicates, seed, p), Window.partitionBy("replicate")
-    below = own.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    before = lambda x: F.coalesce(F.sum(x).over(below), F.lit(0))
-    c = c.withColumns({"__np": F.sum("pos").over(own), "__nn": F.sum("neg").over(own), "__pb": before("pos"), "__nb": before("neg")})
+    c = settled(bootstrap_curves(rows, cluster, replicates, seed, p))
+    totals = c.groupBy("replicate").agg(F.sum("pos").alias("__np"), F.sum("neg").alias("__nn"))
+    c = running(c, "score", _bucket(), {"__pb": "pos", "__nb": "neg"}, ["replicate"], exclusive=True).join(totals, "replicate")
     s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
     above, called = F.col("__np") - F.col("__pb"), F.col("__np") + F.col("__nn") - F.col("__pb") - F.col("__nb")
     n, bins, place = F.sum(pos + neg), 10, bin_of(s, equal_edges(10))
@@ -170,9 +174,8 @@ def alarms(rows: DataFrame, events: DataFrame, alerts: DataFrame, entity: str, h
     near = (F.col(hour) >= F.col("event_hour") - ahead) & (F.col(hour) < F.col("event_hour"))
     judged = alerts.join(events, entity, "left").withColumn("hit", F.coalesce(near, F.lit(False)))
     first = judged.where("hit").groupBy(entity).agg(F.min(hour).alias("first"))
-    lead = events.join(first, entity, "left").select((F.col("event_hour") - F.col("first")).alias("lead"))
-    q = lambda p: F.percentile("lead", F.lit(p))
-    told = lead.agg(F.count("*").alias("events"), F.count("lead").alias("detected"), q(0.25).alias("lead_q1"), q(0.5).alias("lead_median"), q(0.75).alias("lead_q3"))
+    lead = settled(events.join(first, entity, "left").select((F.col("event_hour") - F.col("first")).alias("lead")))
+    told = lead.agg(F.count("*").alias("events"), F.count("lead").alias("detected")).join(quantile_columns(lead, "lead", {"lead_q1": 0.25, "lead_median": 0.5, "lead_q3": 0.75}))
     price = judged.agg(F.count("*").alias("alerts"), F.count(F.when(F.col("hit"), 1)).alias("true_alerts"), F.countDistinct(F.when(~F.col("hit"), F.col(entity))).alias("with_false"))
     watched = rows.agg((F.count("*") / 24).alias("days"), F.countDistinct(entity).alias("entities"))
     out = told.join(price).join(watched)  # one row each
@@ -189,8 +192,9 @@ def paired_reference(metrics: DataFrame, seed: str, variant: str, value: str, re
 
 
 def percentile_ci(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    return rows.groupBy(*(by or [])).agg(q.alias("q"), F.avg(value).alias("mean")).select(*(by or []), "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    by, rows = by or [], settled(rows.select(*(by or []), value))
+    means, ends = rows.groupBy(*by).agg(F.avg(value).alias("mean")), quantile_columns(rows, value, {"low": 0.025, "high": 0.975}, by)
+    return means.join(ends, by) if by else means.join(ends)  # one row each
 
 
 def paired_p(difference: str, smoothed: bool) -> Column:

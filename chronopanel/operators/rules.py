@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from chronopanel.operators.quantiles import quantile_values
+
 EPS = 1e-8
 
 
@@ -192,13 +194,12 @@ def data_terms(rows: DataFrame, column: str, names: list[str], seed: int) -> lis
 
     n = len(names)
     places = [0.01, 0.99, *[0.05 + 0.9 * i / max(n - 1, 1) for i in range(n)]]
-    found = rows.agg(F.percentile(column, F.array(*[F.lit(p) for p in places])).alias("q"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    if not found["q"]:
+    low, high, *centres = quantile_values(rows, column, [*places, 0.0, 1.0])
+    *centres, least, most = centres
+    if low is None:
         low, high, centres = 0.0, 1.0, [i / max(n - 1, 1) for i in range(n)]
-    else:
-        low, high, *centres = found["q"]
-        if high <= low:
-            low, high = found["lo"], found["hi"] + 1.0
+    elif high <= low:
+        low, high = least, most + 1.0
     gap = max(high - low, 1e-3) / max(n - 1, 1)
     moved = [min(max(c + gap * 0.3 * (unit("jitter", i) - 0.5), low), high) for i, c in enumerate(centres)]
     dealt = [moved[i] for i in sorted(range(n), key=lambda i: unit("order", i))]

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from chronopanel.functions import exprs as X
 from chronopanel.operators import aggregates as A
+from chronopanel.operators.quantiles import quantile_columns
 from chronopanel.operators.temporal import average_rank
 from chronopanel.queries.base import PANEL, PREDICTIONS, events_panel, predictions, query, table
 from chronopanel.sources import ingest
@@ -36,8 +37,7 @@ def agg_hist(spark, sf):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY 1")
 def agg_quantiles(spark, sf):
-    q = lambda p: F.percentile("value", F.lit(p))
-    return X.rounded(table(spark, sf, "events").groupBy("event_type").agg(q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3")))
+    return X.rounded(quantile_columns(table(spark, sf, "events"), "value", {"median": 0.5, "q1": 0.25, "q3": 0.75}, ["event_type"]))
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_quantity, 0.9), 6) AS quantile FROM lineitem GROUP BY 1")
@@ -228,5 +228,5 @@ WITH m AS (SELECT o_orderpriority AS p, quantile_cont(o_totalprice, 0.5) AS med
 SELECT p, o_orderkey FROM orders JOIN m ON p = o_orderpriority QUALIFY row_number() OVER (PARTITION BY p ORDER BY abs(o_totalprice - med), o_orderkey) = 1""")
 def median_pick(spark, sf):
     o = table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "p")
-    m = o.groupBy("p").agg(F.percentile("o_totalprice", F.lit(0.5)).alias("med"))
+    m = quantile_columns(o, "o_totalprice", {"med": 0.5}, ["p"])
     return o.join(m, "p").groupBy("p").agg(F.min_by("o_orderkey", F.struct(F.abs(F.col("o_totalprice") - F.col("med")), "o_orderkey")).alias("o_orderkey"))

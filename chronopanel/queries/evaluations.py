@@ -9,6 +9,8 @@ from chronopanel.functions import exprs as X
 from chronopanel.operators import aggregates as A
 from chronopanel.operators import metrics as E
 from chronopanel.operators import temporal as T
+from chronopanel.operators.ordered import even_buckets, running
+from chronopanel.operators.quantiles import settled
 from chronopanel.queries.base import FILLED, PREDICTIONS, filled_panel, predictions, query, table
 
 _CUM = PREDICTIONS + """,
@@ -19,8 +21,9 @@ cum AS (SELECT score, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, row_number()
 @query(_CUM + """, pick AS (SELECT DISTINCT round_even(k * (n - 1) / 19, 0)::BIGINT AS i FROM (SELECT max(n) AS n FROM cum), range(20) t(k))
 SELECT i AS point, score, tp::BIGINT AS tp, fp::BIGINT AS fp FROM cum JOIN pick USING (i)""")
 def curve_downsample(spark, sf):
-    k = E.cumulative(E.curve(predictions(spark, sf))).withColumn("point", (F.row_number().over(Window.orderBy(F.col("score").desc())) - 1).cast("long"))
-    n = k.count()  # distinct scores
+    c = settled(E.curve(predictions(spark, sf)).withColumn("one", F.lit(1).cast("long")))
+    k = running(c, "score", even_buckets(c, "score"), {"tp": "pos", "fp": "neg", "nth": "one"}, descending=True).withColumn("point", F.col("nth") - 1)
+    n = c.count()  # distinct scores
     points = sorted({round(i * (n - 1) / 19) for i in range(20)})
     return k.where(F.col("point").isin(points)).select("point", "score", "tp", "fp")
 

@@ -9,6 +9,7 @@ from chronopanel.functions import exprs as X
 from chronopanel.operators import metrics as E
 from chronopanel.operators import protocol as D
 from chronopanel.operators import rules as R
+from chronopanel.operators.quantiles import quantile_columns, settled
 from chronopanel.operators.temporal import average_rank
 from chronopanel.queries.base import FILLED, PREDICTIONS, filled_panel, predictions, query, table
 from chronopanel.queries.protocols import _HASH
@@ -51,9 +52,11 @@ m AS (SELECT (v > 60)::BIGINT AS y, additive, cross_risk FROM risk)
 SELECT y, count(*) AS n, round(avg(additive), 6) AS mean, round(stddev_samp(additive), 6) AS sd, round(quantile_cont(additive, 0.5), 6) AS median,
        round(quantile_cont(additive, 0.75) - quantile_cont(additive, 0.25), 6) AS iqr, round(avg(cross_risk), 6) AS cross_mean FROM m GROUP BY 1""")
 def activated_rule_summary(spark, sf):
-    q = lambda p: F.percentile("additive", F.lit(p))
-    m = _risk_panel(spark, sf).withColumn("y", (F.col("v") > 60).cast("long"))
-    return X.rounded(m.groupBy("y").agg(F.count("*").alias("n"), F.avg("additive").alias("mean"), F.stddev_samp("additive").alias("sd"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.avg("cross_risk").alias("cross_mean")))
+    m = settled(_risk_panel(spark, sf).select((F.col("v") > 60).cast("long").alias("y"), "additive", "cross_risk"))
+    means = m.groupBy("y").agg(F.count("*").alias("n"), F.avg("additive").alias("mean"), F.stddev_samp("additive").alias("sd"), F.avg("cross_risk").alias("cross_mean"))
+    q = quantile_columns(m, "additive", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["y"]).withColumnRenamed("y", "__y")
+    out = means.join(q, F.col("y").eqNullSafe(F.col("__y"))).select("y", "n", "mean", "sd", "median", (F.col("q3") - F.col("q1")).alias("iqr"), "cross_mean")
+    return X.rounded(out)
 
 
 @query("""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import exprs as X
 from chronopanel.functions import scores as S
+from chronopanel.operators.quantiles import quantile_values, quantiles
 from chronopanel.queries.base import FILLED, filled_panel, query, table
 
 
@@ -159,8 +160,8 @@ def banding(spark, sf):
 SELECT event_id, round(coalesce(a, ma), 6) AS filled, round((b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END, 6) AS scaled, coalesce(c, 1) AS defaulted FROM x, m""")
 def impute_scale(spark, sf):
     x = _abc(spark, sf)
-    m = x.agg(F.percentile("a", F.lit(0.5)).alias("ma"), F.avg("b").alias("mb"), F.stddev_pop("b").alias("sb")).first()  # three numbers, whatever the input
-    return X.rounded(x.select("event_id", F.coalesce("a", F.lit(m["ma"])).alias("filled"), ((F.col("b") - F.lit(m["mb"])) / F.lit(m["sb"] or 1.0)).alias("scaled"), F.coalesce("c", F.lit(1.0)).alias("defaulted")))
+    m, (ma,) = x.agg(F.avg("b").alias("mb"), F.stddev_pop("b").alias("sb")).first(), quantile_values(x, "a", [0.5])  # three numbers, whatever the input
+    return X.rounded(x.select("event_id", F.coalesce("a", F.lit(ma)).alias("filled"), ((F.col("b") - F.lit(m["mb"])) / F.lit(m["sb"] or 1.0)).alias("scaled"), F.coalesce("c", F.lit(1.0)).alias("defaulted")))
 
 
 @query("""
@@ -179,7 +180,8 @@ FROM events GROUP BY event_type""")
 def formatters(spark, sf):
     from pyspark.sql.window import Window
 
-    g = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    events = table(spark, sf, "events").select("event_type", "value")
+    g = events.groupBy("event_type").agg(F.count("*").alias("n")).join(quantiles(events, "value", [0.25, 0.5, 0.75], ["event_type"]), "event_type")
     share = F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy())
     return g.select("event_type", F.format_string("%d (%.1f%%)", F.col("n"), F.round(share, 1)).alias("n_pct"), F.format_string("%.2f [%.2f-%.2f]", *[F.round(F.col("q")[i], 2) for i in (1, 0, 2)]).alias("median_iqr"))
 

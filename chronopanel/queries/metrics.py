@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 from chronopanel.functions import exprs as X
 from chronopanel.operators import aggregates as A
 from chronopanel.operators import metrics as E
+from chronopanel.operators import joins as J
 from chronopanel.operators import temporal as T
+from chronopanel.operators.quantiles import quantile_columns, quantile_values, settled
 from chronopanel.queries.base import FILLED, PREDICTIONS, events_panel, filled_panel, predictions, query, table
 
 _CURVE = PREDICTIONS + """,
@@ -59,7 +61,7 @@ b AS (SELECT p, y, greatest(len(list_filter(e, lambda x: x < p)), 1) AS bin FROM
 SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM b GROUP BY 1""")
 def quantile_calibration(spark, sf):
     rows = predictions(spark, sf)
-    q = rows.agg(F.percentile("p", F.array(*[F.lit(i / 5) for i in range(6)])).alias("q")).first()["q"]  # six numbers
+    q = quantile_values(rows, "p", [i / 5 for i in range(6)])  # six numbers
     edges = F.array(*[F.lit(float(e)) for e in sorted(set(q))])
     b = F.greatest(F.size(F.filter(edges, lambda x: x < F.col("p"))), F.lit(1)).cast("long")
     return X.rounded(rows.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("y").alias("rate")))
@@ -131,9 +133,9 @@ def paired_bootstrap(spark, sf):
     """Two models, the fine score and the coarse one, on the same draws: the difference of their areas and both p values."""
     rows = predictions(spark, sf).withColumn("coarse", F.round("p", 1))
     a, b = (E.cluster_bootstrap(rows, "cluster", REPLICATES, 17, p=p).select("replicate", F.col("auroc").alias(p)) for p in ("p", "coarse"))
-    x = a.join(b, "replicate").select(F.round(F.col("p") - F.col("coarse"), 9).alias("diff"))
-    q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
-    return X.rounded(x.agg(F.count("*").alias("n"), F.avg("diff").alias("mean"), q[0].alias("low"), q[1].alias("high"), E.paired_p("diff", False).alias("p_plain"), E.paired_p("diff", True).alias("p_smoothed")))
+    x = settled(a.join(b, "replicate").select(F.round(F.col("p") - F.col("coarse"), 9).alias("diff")))
+    told = x.agg(F.count("*").alias("n"), E.paired_p("diff", False).alias("p_plain"), E.paired_p("diff", True).alias("p_smoothed"))
+    return X.rounded(told.join(E.percentile_ci(x, "diff")))  # one row each
 
 
 @query(PREDICTIONS + """, t AS (SELECT k / 100.0::DOUBLE AS t FROM range(1, 51) r(k))
@@ -193,7 +195,7 @@ def case_pick(spark, sf):
     """Of true positives, false positives and false negatives, the row closest to its class's median."""
     y, hit = F.col("y") == 1, F.col("p") >= 0.5
     k = predictions(spark, sf).select("id", "p", F.when(y & hit, "TP").when(~y & hit, "FP").when(y, "FN").alias("kind")).where("kind IS NOT NULL")
-    m = k.groupBy("kind").agg(F.percentile("p", F.lit(0.5)).alias("med"))
+    m = quantile_columns(k, "p", {"med": 0.5}, ["kind"])
     near = F.struct(F.round(F.abs(F.col("p") - F.col("med")), 9).alias("d"), F.col("id"), F.col("p"))
     return k.join(m, "kind").groupBy("kind").agg(F.min(near).alias("b")).select("kind", "b.id", "b.p")
 
@@ -204,7 +206,7 @@ SELECT CASE WHEN p <= q1 THEN 'low' WHEN p <= q2 THEN 'mid' ELSE 'high' END AS s
 def risk_strata(spark, sf):
     """Cut-offs from the validation half, applied to the test half."""
     rows = predictions(spark, sf)
-    q = rows.where("id % 2 = 0").agg(F.percentile("p", F.array(F.lit(0.5), F.lit(0.8))).alias("q")).first()["q"]  # two numbers
+    q = quantile_values(rows.where("id % 2 = 0"), "p", [0.5, 0.8])  # two numbers
     s = X.right_closed_band(F.col("p"), [float("-inf"), q[0], q[1]], ["low", "mid", "high"])
     return X.rounded(rows.where("id % 2 = 1").groupBy(s.alias("stratum")).agg(F.count("*").alias("n"), F.avg("y").alias("rate"), F.avg("p").alias("mean_p")))
 
@@ -237,9 +239,9 @@ b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY site ORDER BY score ROWS BE
 a AS (SELECT site, (sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)))::DOUBLE AS auroc FROM b GROUP BY 1)
 SELECT count(*) AS sites, round(avg(auroc), 6) AS mean, round(quantile_cont(auroc, 0.5), 6) AS median, round(quantile_cont(auroc, 0.25), 6) AS q1, round(quantile_cont(auroc, 0.75), 6) AS q3, round(min(auroc), 6) AS least, round(max(auroc), 6) AS most FROM a""")
 def site_heterogeneity(spark, sf):
-    a = E.auroc(E.curve(predictions(spark, sf), by=["site"]), ["site"])
-    q = lambda p: F.percentile("auroc", F.lit(p))
-    return X.rounded(a.agg(F.count("*").alias("sites"), F.avg("auroc").alias("mean"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.min("auroc").alias("least"), F.max("auroc").alias("most")))
+    a = settled(E.auroc(E.curve(predictions(spark, sf), by=["site"]), ["site"]))
+    told = a.agg(F.count("*").alias("sites"), F.avg("auroc").alias("mean"), F.min("auroc").alias("least"), F.max("auroc").alias("most"))
+    return X.rounded(told.join(quantile_columns(a, "auroc", {"median": 0.5, "q1": 0.25, "q3": 0.75})))  # one row each
 
 
 _FIRST = FILLED + """,
@@ -268,12 +270,12 @@ def first_events(spark, sf):
 lead AS (SELECT e.user_id, event_hour, event_hour - min(p.hr) AS lead_time FROM event e LEFT JOIN (SELECT user_id, hr FROM panel WHERE err > 30) p ON p.user_id = e.user_id AND p.hr >= event_hour - 6 AND p.hr < event_hour GROUP BY 1, 2)
 SELECT count(*) AS events, count(lead_time) AS detected, round(quantile_cont(lead_time, 0.5), 6) AS median, round(quantile_cont(lead_time, 0.75), 6) AS q3 FROM lead""")
 def lead_time(spark, sf):
-    e = _first_events(spark, sf).select("user_id", "event_hour")
-    a = events_panel(spark, sf).where("err > 30").select(F.col("user_id").alias("u"), "hr")
-    near = (F.col("u") == F.col("user_id")) & (F.col("hr") >= F.col("event_hour") - 6) & (F.col("hr") < F.col("event_hour"))
-    lead = e.join(a, near, "left").groupBy("user_id", "event_hour").agg((F.first("event_hour") - F.min("hr")).alias("lead_time"))
-    q = lambda p: F.percentile("lead_time", F.lit(p))
-    return X.rounded(lead.agg(F.count("*").alias("events"), F.count("lead_time").alias("detected"), q(0.5).alias("median"), q(0.75).alias("q3")))
+    e = settled(_first_events(spark, sf).select("user_id", "event_hour"))
+    a = events_panel(spark, sf).where("err > 30").select("user_id", "hr")
+    near = J.band(e, a, "user_id", F.col("event_hour") - 7, F.col("event_hour") - 1, "hr", 24).groupBy("user_id", "event_hour").agg(F.min("hr").alias("first"))
+    lead = settled(e.join(near, ["user_id", "event_hour"], "left").select((F.col("event_hour") - F.col("first")).alias("lead_time")))
+    told = lead.agg(F.count("*").alias("events"), F.count("lead_time").alias("detected"))
+    return X.rounded(told.join(quantile_columns(lead, "lead_time", {"median": 0.5, "q3": 0.75})))  # one row each
 
 
 @query(_FIRST.replace("WITH bounds", "WITH RECURSIVE bounds") + """,

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronopanel.functions import exprs as X
 from chronopanel.operators import panel as P
 from chronopanel.operators import temporal as T
+from chronopanel.operators.ordered import even_buckets, running
 from chronopanel.queries.base import FILLED, PANEL, events_panel, filled_panel, query, table
 
 def by_user():
@@ -269,4 +269,4 @@ def average_rank(spark, sf):
 SELECT score, n, (sum(n) OVER (ORDER BY score DESC))::BIGINT AS cumulative FROM d""")
 def cumulative_counts(spark, sf):
     d = table(spark, sf, "events").groupBy(F.round("value", 0).alias("score")).agg(F.count("*").alias("n"))
-    return d.withColumn("cumulative", F.sum("n").over(Window.orderBy(F.col("score").desc())))
+    return running(d, "score", even_buckets(d, "score"), {"cumulative": "n"}, descending=True)

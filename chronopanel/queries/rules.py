@@ -8,6 +8,7 @@ from chronopanel.functions import exprs as X
 from chronopanel.operators import joins as J
 from chronopanel.operators import rules as R
 from chronopanel.operators import temporal as T
+from chronopanel.operators.quantiles import quantile_columns, settled
 from chronopanel.queries.base import FILLED, PANEL, events_panel, filled_panel, query, table
 
 V_TERMS = [R.Term("low", 20.0, 15.0, 0.2), R.Term("mid", 50.0, 20.0, 0.5), R.Term("high", 90.0, 25.0, 1.5)]
@@ -330,13 +331,13 @@ def rule_consistency(spark, sf):
     """How often a feature's risk rises while the total falls, and how often the total falls against the sum of them."""
     w, eps = T.timeline("user_id", "hr"), 1e-6
     step = lambda c: F.col(c) - F.lag(c).over(w)
-    d = _signal_panel(spark, sf).select(step("rv").alias("dv"), step("re").alias("de"), step("risk").alias("dr"), T.adjacent(w, "hr").alias("ok")).where("ok")
+    d = settled(_signal_panel(spark, sf).select(step("rv").alias("dv"), step("re").alias("de"), step("risk").alias("dr"), T.adjacent(w, "hr").alias("ok")).where("ok"))
     falls, both = F.col("dr") < -eps, [F.col("dv"), F.col("de")]
     worse = sum(((c > eps).cast("int") for c in both), F.lit(0))
     reversal = (F.col("dv") + F.col("de") > eps) & falls
     penalty = sum((F.greatest(c, F.lit(0.0)) * F.greatest(-F.col("dr"), F.lit(0.0)) for c in both), F.lit(0.0))
     one = d.agg(F.count("*").alias("transitions"), F.sum(worse).alias("w"), F.sum(F.when(falls, worse).otherwise(0)).alias("a"), F.sum(penalty).alias("s"), F.sum((F.col("dv") + F.col("de") > eps).cast("int")).alias("up"),
-                F.sum(reversal.cast("int")).alias("r"), F.percentile(F.when(reversal, -F.col("dr")), F.lit(0.5)).alias("m"))
+                F.sum(reversal.cast("int")).alias("r")).join(quantile_columns(d.select(F.when(reversal, -F.col("dr")).alias("back")), "back", {"m": 0.5}))
     n, r = F.col("transitions"), lambda c: F.round(c, 6)
     return one.select(n, r(F.col("a") / F.greatest("w", F.lit(1))).alias("violation_given_worsening"), r(F.col("a") / (2 * n)).alias("violation_rate"), F.round(F.col("s") / (2 * n), 9).alias("penalty"),
                       r(F.col("r") / F.greatest("up", F.lit(1))).alias("reversal_given_worsening"), r(F.col("r") / n).alias("reversal_rate"), r(F.coalesce("m", F.lit(0.0))).alias("reversal_median"))
