@@ -125,7 +125,9 @@ def bootstrap_draws(clusters: DataFrame, key: str, replicates: int, seed: int) -
     """
     places = settled(numbered(clusters, key, "__i"))
     n = places.count()
-    drawn = places.select(F.col("__i").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    # The places are few and small, so they'd be read by one task: each becomes many draws.
+    spread = places.repartition(int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__i")
+    drawn = spread.select(F.col("__i").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = drawn.select("replicate", (hash_unit(F.lit(seed), F.col("replicate"), F.col("i")) % n).alias("__i"))
     counts = drawn.groupBy("__i", "replicate").agg(F.count("*").alias("weight"))
     return counts.groupBy("__i").agg(F.collect_list(F.struct("replicate", "weight")).alias("draws")).join(places, "__i").select(key, "draws")
