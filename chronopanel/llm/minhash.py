@@ -35,8 +35,8 @@ LINK = (4, 5)
 BANDS, ROWS = 40, 6
 BASE, RATE = 1.01, 20.0
 REGISTERS = BANDS * ROWS
-#: Members of a bucket of differences that are compared pair by pair, and how often larger ones are split by stars.
-FEW, LEVELS = 8, 6
+#: Buckets of differences with more members meet one of them in a star before any pairs.
+FEW = 8
 #: Pairs whose likeliest similarity is below this by the sketches alone are far: at 0.8, seven deviations away.
 FAR = 0.6
 _M64 = (1 << 64) - 1
@@ -200,44 +200,29 @@ def links(docs: DataFrame, classes: DataFrame, key: str, size: int) -> DataFrame
     return out
 
 
-def beyond_hubs(compared: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
-    """The stars' own links, and links within stars where at least one end isn't linked with the hub: enough of them that components are those of
-    all such links, and the written tables that they read.
-
-    Classes that are known to be of one component need no more links among each other. What is left meets by its
-    differences from the hub (``level``), and where many meet in one they are often alike among themselves: they meet one
-    of them in a star, as at first, and what is of another component after that is sought among the differences from it,
-    one level deeper. Only what is left after ``levels`` such steps, whatever its buckets' size, is compared pair by pair.
-    """
-    found, used, stars_now = compared.where("linked").select("a", "b"), [], compared
-    for left in range(levels, -1, -1):
-        apart = stars_now.groupBy("b").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("apart"))
-        if apart.where("m > 1 AND apart > 0").isEmpty():
-            break
-        parts = written(components(found), "parts")
-        more, deeper, tables = level(stars_now, parts, left == 0)
-        dropped(parts)
-        used += tables
-        found = found.union(more)
-        if deeper is None:
-            break
-        found, stars_now = found.union(deeper.where("linked").select("a", "b")), deeper
-    return found, used
-
-
-def level(compared: DataFrame, parts: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
-    """Links between classes of different components in small buckets of differences, the stars of large ones, and the
-    written tables of both. ``parts`` are the components (node, root) that are known.
+def beyond_hubs(compared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The stars' own links, and links within stars where at least one end isn't linked with the hub: enough of them that
+    components are those of all such links. Also the written tables that they read.
 
     With D(x) the shingles in which x differs from the hub h, |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and x and y
     are linked if 9 |x ^ y| <= |x| + |y| (for 0.8). If x isn't linked with h, any partner y shares more than
     (9 |D(y)| + |h| - |y|) / 18 of its differences with x, and x at least |D(x)| - |x| / 4 of its own with y, whose size
     is 5 / 4 of x's at most. So the two meet within the rarest of their differences: y's half or so, x's longer list.
-    Of two classes of different components at least one isn't of the hub's, so it isn't linked with it: that one is x.
+
+    Classes of one component need no more links among each other. Of two of different components at least one isn't of the
+    hub's, so it isn't linked with it: that one is x. Where more than FEW meet in a difference they are often alike among
+    themselves: one of them is a hub of its own and the others meet it in a star. Only what is of different components
+    after that is compared pair by pair, if what both have left in their order of differences, from where they meet on,
+    can be as much as they must share.
     """
     num, den = LINK
     k = F.lit(den + num)  # |x ^ y| * (den + num) <= (den - num) * (|x| + |y|)
     gap = F.lit(den - num)
+    direct = compared.where("linked").select("a", "b")
+    stars_now = compared.groupBy("b").agg(F.count("*").alias("m"), F.sum((~F.col("linked")).cast("long")).alias("apart"))
+    if stars_now.where("m > 1 AND apart > 0").isEmpty():
+        return direct, []
+    parts = written(components(direct), "parts")
     roots = [sized(parts.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), parts) for c in "ab"]
     rows = compared.join(roots[0], "a", "left").join(roots[1], "b", "left")
     rows = rows.withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
@@ -245,61 +230,62 @@ def level(compared: DataFrame, parts: DataFrame, last: bool) -> tuple[DataFrame,
     # Stars with members of two components, besides the hub alone.
     torn = rows.groupBy("b").agg(F.count("*").alias("m"), F.max("away").alias("away"), F.min("ra").alias("lo"), F.max("ra").alias("hi"))
     torn = written(torn.where("m > 1 AND away AND lo <> hi").select("b"), "open-stars")
-    used = [rows, torn]
-    none = rows.where("false").select("a", "b")
     if not torn._written[1]:
-        return none, None, used
+        dropped(parts, rows, torn)
+        return direct, []
     open_rows = rows.join(sized(torn), "b", "left_semi")
     nd = F.size("diff")
     least_y = F.greatest(F.floor((k * nd + gap * (F.col("nb") - F.col("na"))) / (2 * k)) + 1, F.lit(1))
     least_x = F.greatest(nd - F.floor(gap * F.col("na") / F.lit(num)), F.lit(1))
     prefixes = {"nd": nd, "prefix_x": F.when(F.col("away"), nd - least_x + 1).otherwise(0), "prefix_y": nd - least_y + 1}
     open_rows = open_rows.withColumns(prefixes).where("prefix_x > 0 OR prefix_y > 0")
-    each = open_rows.select("b", "a", "ra", F.explode("diff").alias("shingle"))
-    rare = each.groupBy("b", "shingle").agg(F.count("*").alias("f"), F.min("ra").alias("lo"), F.max("ra").alias("hi"))
-    rare = written(rare.where("f > 1").select("b", "shingle", "f", (F.col("lo") != F.col("hi")).alias("torn")), "difference-counts")
+    each = open_rows.select("b", "a", F.explode("diff").alias("shingle"))
+    rare = written(each.groupBy("b", "shingle").agg(F.count("*").alias("f")).where("f > 1"), "difference-counts")
     # Differences that no one else has can't be met in; they come first in the order, so they shorten the prefix.
     met = each.join(sized(rare), ["b", "shingle"])
-    ordered = met.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("f", "shingle", "torn"))).alias("order"))
+    ordered = met.groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("order"))
     ordered = written(ordered.join(open_rows.select("b", "a", "ra", "nd", "na", "prefix_x", "prefix_y"), ["b", "a"]), "ordered")
-    # Who meets in which difference, as x and as y.
+    # Who meets in which difference, as x and as y, and how much of either's differences is left from there on.
     alone = F.col("nd") - F.size("order")
     depth = {c: F.greatest(F.col(f"prefix_{c}") - alone, F.lit(0)).cast("int") for c in "xy"}
     first = F.posexplode(F.slice("order", F.lit(1), F.greatest(depth["x"], depth["y"]))).alias("at", "o")
-    places = ordered.select("b", "a", "ra", depth["x"].alias("to_x"), depth["y"].alias("to_y"), first).where("o.torn")
-    places = places.select("b", "a", "ra", F.col("o.shingle").alias("shingle"), (F.col("at") < F.col("to_x")).alias("as_x"), (F.col("at") < F.col("to_y")).alias("as_y"))
+    places = ordered.select("b", "a", "ra", "na", "nd", depth["x"].alias("to_x"), depth["y"].alias("to_y"), F.size("order").alias("met"), first)
+    places = places.select("b", "a", "ra", "na", "nd", F.col("o.shingle").alias("shingle"), (F.col("met") - F.col("at")).alias("left"),
+                           (F.col("at") < F.col("to_x")).alias("as_x"), (F.col("at") < F.col("to_y")).alias("as_y"))
     places = written(places, "difference-places")
-    buckets = places.groupBy("b", "shingle").agg(F.count("*").alias("c"), F.max("as_x").alias("any_x"), F.min("ra").alias("lo"), F.max("ra").alias("hi"))
-    buckets = written(buckets.where("any_x AND lo <> hi").select("b", "shingle", "c"), "difference-buckets")
-    members = places.join(sized(buckets), ["b", "shingle"])
-    pairwise = members if last else members.where(F.col("c") <= FEW)
-    x, y = (pairwise.where(f"as_{c}").select("b", "shingle", F.col("a").alias(c), F.col("ra").alias(f"r{c}")) for c in "xy")
-    found = x.join(y, ["b", "shingle"]).where("rx <> ry").select("b", "x", "y").distinct()
     about = ordered.select("b", "a", F.transform("order", lambda o: o["shingle"]).alias("e"), "na", "nd")
-    found = found.join(about.toDF("b", "x", "ex", "nx", "dx"), ["b", "x"]).join(about.toDF("b", "y", "ey", "ny", "dy"), ["b", "y"])
-    apart = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
-    found = found.where(k * apart <= gap * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    found = written(found, "links-beyond")
-    dropped(rare, ordered)
-    used += [places, buckets, found]
-    if last:
-        return found, None, used
-    many = written(members.where(F.col("c") > FEW).select("b", "shingle", "a"), "difference-members")
-    used.append(many)
-    if not many._written[1]:
-        return found, None, used
+
+    def torn_buckets(members: DataFrame) -> DataFrame:
+        found = members.groupBy("b", "shingle").agg(F.count("*").alias("c"), F.max("as_x").alias("any_x"), F.min("ra").alias("lo"), F.max("ra").alias("hi"))
+        return written(found.where("any_x AND lo <> hi").select("b", "shingle", "c"), "difference-buckets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(about.toDF("b", "x", "ex", "nx", "dx"), ["b", "x"]).join(about.toDF("b", "y", "ey", "ny", "dy"), ["b", "y"])
+        apart = F.col("dx") + F.col("dy") - 2 * F.size(F.array_intersect("ex", "ey"))
+        return both.where(k * apart <= gap * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+    buckets = torn_buckets(places)
+    many = written(places.join(sized(buckets), ["b", "shingle"]).where(F.col("c") > FEW).select("b", "shingle", "a"), "difference-members")
     degree = written(many.groupBy("b", "a").agg(F.count("*").alias("degree")), "difference-degrees")
-    hubs = many.join(sized(degree), ["b", "a"]).groupBy("b", "shingle").agg(F.max(F.struct("degree", "a"))["a"].alias("s"))
+    hubs = many.join(sized(degree), ["b", "a"]).groupBy("b", "shingle").agg(F.max(F.struct("degree", "a"))["a"].alias("y"))
     hubs = written(hubs, "difference-hubs")
-    stars_of = many.join(sized(hubs), ["b", "shingle"]).where("a <> s").groupBy("a", "s").agg(F.min("b").alias("h"))
-    stars_of = written(stars_of, "difference-stars")
-    diffs = compared.select(F.col("b").alias("h"), "a", "na", "diff")
-    pairs = stars_of.join(diffs.toDF("h", "a", "na", "da"), ["h", "a"]).join(diffs.toDF("h", "s", "nb", "ds"), ["h", "s"])
-    pairs = pairs.withColumn("diff", F.concat(F.array_except("da", "ds"), F.array_except("ds", "da")))
-    linked = k * F.size("diff") <= gap * (F.col("na") + F.col("nb"))
-    deeper = written(pairs.select("a", F.col("s").alias("b"), "na", "nb", "diff", linked.alias("linked")), "compared-deeper")
-    dropped(degree, hubs, stars_of)
-    return found, deeper, [*used, deeper]
+    pairs = many.join(sized(hubs), ["b", "shingle"]).where("a <> y").select("b", F.col("a").alias("x"), "y").distinct()
+    starred = written(linked(pairs), "difference-stars")
+    dropped(many, degree, hubs)
+    # The members' components are known better now.
+    again = written(components(direct.union(starred)), "parts")
+    later = sized(again.select(F.col("node").alias("a"), F.col("root").alias("__r")), again)
+    members = places.join(sized(buckets.drop("c"), buckets), ["b", "shingle"]).join(later, "a", "left").withColumn("ra", F.coalesce("__r", "ra")).drop("__r")
+    still = torn_buckets(members)
+    members = members.join(sized(still.drop("c"), still), ["b", "shingle"])
+    x, y = (members.where(f"as_{c}").select("b", "shingle", *[F.col(n).alias(f"{c}{n}") for n in ("a", "ra", "na", "nd", "left")]) for c in "xy")
+    need = k * (F.col("xnd") + F.col("ynd")) - gap * (F.col("xna") + F.col("yna"))  # of twice the shared differences
+    sizes = F.lit(den) * F.least("xna", "yna") >= F.lit(num) * F.greatest("xna", "yna")
+    able = (F.col("xra") != F.col("yra")) & sizes & (2 * k * F.least("xleft", "yleft") >= need)
+    pairs = x.join(y, ["b", "shingle"]).where(able).select("b", F.col("xa").alias("x"), F.col("ya").alias("y")).distinct()
+    found = written(linked(pairs), "links-beyond")
+    dropped(parts, rows, torn, rare, ordered, places, buckets, again, still)
+    return direct.union(starred).union(found), [starred, found]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", size: int = 2) -> DataFrame:
