@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronopanel.functions.exprs import hash_unit, logit, sigmoid
+from chronopanel.functions.exprs import hash_unit, sigmoid
 from chronopanel.operators.quantiles import quantile_values, settled
 
 #: Bins of a feature besides that of nulls, and digits to which gains are compared.
@@ -283,3 +283,81 @@ def attributions(rows: DataFrame, model: Model, name: str = "phi") -> DataFrame:
     out = out.withColumn("__all", F.flatten(F.transform("__leaves", shares)))
     total = lambda f: F.aggregate(F.filter("__all", lambda e: e["f"] == f), F.lit(0.0), lambda a, e: a + e["v"])
     return out.withColumn(name, F.array(*[total(f) for f in range(len(model.features))])).drop("__x", "__leaves", "__all")
+
+
+# Additive models
+
+
+@dataclass(frozen=True)
+class Additive:
+    """A score as a sum of tables: one for the bins of each feature, one for the pairs of bins of each pair. Features come
+    twice, the second time with a prime and fewer bins, for pairs."""
+
+    features: list[str]
+    cuts: list[list[float]]
+    base: float
+    tables: list[tuple[tuple[int, ...], dict[tuple[int, ...], float]]]
+
+    def _bin(self, i: int) -> Column:
+        x, c = F.col(self.features[i].rstrip("'")), self.cuts[i]
+        return F.when(x.isNull(), 0).otherwise(1 + (F.size(F.filter(F.array(*map(F.lit, c)), lambda z: z < x)) if c else F.lit(0)))
+
+    def terms(self) -> dict[str, Column]:
+        """Each term's part of the score, by name: a lookup of the row's bins in the term's table. Don't alias one to the name
+        of a feature that another reads in the same select."""
+        return {" x ".join(self.features[i].rstrip("'") for i in which): looked(values, [self._bin(i) for i in which], [len(self.cuts[i]) + 2 for i in which])
+                for which, values in self.tables}
+
+    def score(self) -> Column:
+        out = F.lit(self.base)
+        for c in self.terms().values():
+            out = out + c
+        return out
+
+
+def looked(values: dict[tuple[int, ...], float], bins: list[Column], sizes: list[int]) -> Column:
+    """A table's entry at the row's bins: a constant array and a place in it."""
+    place, flat, step = F.lit(0), [0.0] * math.prod(sizes), 1
+    for b, n in zip(bins, sizes, strict=True):
+        place, step = place + b * step, step * n
+    for key, v in values.items():
+        at, step = 0, 1
+        for k, n in zip(key, sizes, strict=True):
+            at, step = at + k * step, step * n
+        flat[at] = v
+    return F.get(F.array(*map(F.lit, flat)), place.cast("int"))
+
+
+def additive(rows: DataFrame, y: str, features: list[str], pairs: list[tuple[str, str]] | None = None, rounds: int = 10, rate: float = 0.5, penalty: float = 1.0, bins: int = 16) -> Additive:
+    """Cyclic boosting of the log loss: in every round each feature's table takes a damped Newton step in each of its bins,
+    one after the other, then each pair's, on what the single features leave. A step is one aggregate by bin; tables are
+    centred, so that the base holds the mean. Pairs use a quarter of the bins' borders."""
+    rows = rows.where(F.col(y).isNotNull())
+    cuts = cuts_of(rows, features, bins)
+    coarse = [c[1::4] or c[:1] for c in cuts]
+    names = features + [f"{f}'" for f in features]
+    both = cuts + coarse
+    b = binned(rows.select(*features, y, *[F.col(f).alias(f"{f}'") for f in features]), names, both, F.col(y).cast("double").alias("y"))
+    share = b.agg(F.avg("y")).first()[0]
+    k = len(features)
+    sets: list[tuple[int, ...]] = [(i,) for i in range(k)]
+    sets += [tuple(k + features.index(f) for f in pair) for pair in pairs or []]
+    if share is None:
+        return Additive(names, both, 0.0, [(which, {}) for which in sets])
+    base, tables = math.log(max(share, 1e-6) / max(1 - share, 1e-6)), {which: {} for which in sets}
+    at = lambda which: [F.col("bins")[i].cast("int") for i in which]
+    for stage in (sets[:k], sets[k:]):
+        for _ in range(rounds if stage else 0):
+            for which in stage:
+                score = F.lit(base)
+                for other, values in tables.items():
+                    if values:
+                        score = score + looked(values, at(other), [len(both[i]) + 2 for i in other])
+                p = sigmoid(score)
+                cells = b.select(F.array(*at(which)).alias("c"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h")).groupBy("c")
+                found = cells.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()  # a row a bin
+                values = {tuple(r["c"]): tables[which].get(tuple(r["c"]), 0.0) + rate * r["g"] / (r["h"] + penalty) for r in found}
+                n = sum(r["n"] for r in found)
+                mean = sum(values[tuple(r["c"])] * r["n"] for r in found) / n
+                tables[which], base = {c: v - mean for c, v in values.items()}, base + mean
+    return Additive(names, both, base, list(tables.items()))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from chronopanel.queries import aggregates, evaluations, explanations, expressions, joins, metrics, panels, protocols, rules, severity, sources
+from chronopanel.queries import aggregates, evaluations, explanations, expressions, joins, metrics, models, panels, protocols, rules, severity, sources
 from chronopanel.queries.base import REGISTRY, SQL
 
-MODULES = (panels, expressions, severity, joins, aggregates, protocols, metrics, evaluations, rules, explanations, sources)
+MODULES = (panels, expressions, severity, joins, aggregates, protocols, metrics, evaluations, rules, explanations, models, sources)
 
 
 def queries() -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronopanel.functions import exprs as X
+from chronopanel.operators import fitting as L
 from chronopanel.operators import metrics as E
 from chronopanel.operators import protocol as D
 from chronopanel.operators import rules as R
@@ -141,13 +142,7 @@ def attribution_agreement(spark, sf):
 
 @query()
 def score_calibrator(spark, sf):
-    """Class-balanced logistic on one score: weights make both classes count alike. An iterative fit, so no SQL."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(predictions(spark, sf))
-    n, pos = rows.agg(F.count("*"), F.sum("y")).first()
-    weighted = rows.withColumn("w", F.when(F.col("y") == 1, F.lit(n / (2 * max(pos, 1)))).otherwise(F.lit(n / (2 * max(n - pos, 1)))))
-    model = LogisticRegression(labelCol="y", weightCol="w", regParam=0.0).fit(weighted)
-    slope, base = float(model.coefficients[0]), float(model.intercept)
-    return X.rounded(rows.select("id", "y", "p", X.sigmoid(F.lit(slope) * F.col("p") + F.lit(base)).alias("calibrated")))
+    """Class-balanced logistic on one score: weights make both classes count alike, and where only one class is there the
+    score is scaled instead. An iterative fit, so no SQL."""
+    rows = predictions(spark, sf)
+    return X.rounded(L.calibrated(rows, "y", "p", "calibrated").select("id", "y", "p", "calibrated"))

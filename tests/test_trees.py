@@ -120,3 +120,44 @@ def test_attributions_equal_their_definition(data, kind):
     for r in got:
         assert sum(r["phi"]) == pytest.approx(r["s"] - T.expected(m))
         assert r["phi"] == pytest.approx(shapley(m, [r[f] for f in FEATURES]))
+
+
+def cyclic(data, m, pairs, rounds, rate=0.5, penalty=1.0):
+    """The additive model's base and tables by plain loops over rows."""
+    names, k = m.features, len(FEATURES)
+    place = {f: i + 1 for i, f in enumerate(FEATURES)}
+
+    def bin_of(r, i):
+        x = r[place[names[i].rstrip("'")]]
+        return 0 if x is None else 1 + sum(c < x for c in m.cuts[i])
+
+    ys = [r[-1] for r in data]
+    base, tables = math.log(sum(ys) / (len(ys) - sum(ys))), {w: {} for w, _ in m.tables}
+    for stage in ([w for w in tables if len(w) == 1], [w for w in tables if len(w) == 2]):
+        for _ in range(rounds if stage else 0):
+            for which in stage:
+                g, h, n = {}, {}, {}
+                for r in data:
+                    z = base + sum(t.get(tuple(bin_of(r, i) for i in w), 0.0) for w, t in tables.items())
+                    p, c = 1 / (1 + math.exp(-z)), tuple(bin_of(r, i) for i in which)
+                    g[c], h[c], n[c] = g.get(c, 0) + r[-1] - p, h.get(c, 0) + p * (1 - p), n.get(c, 0) + 1
+                new = {c: tables[which].get(c, 0.0) + rate * g[c] / (h[c] + penalty) for c in n}
+                mean = sum(new[c] * n[c] for c in n) / len(data)
+                tables[which], base = {c: v - mean for c, v in new.items()}, base + mean
+    return base, tables
+
+
+def test_additive_terms_equal_plain_loops(spark, data):
+    m = T.additive(data, "y", FEATURES, [("a", "b")], rounds=2, bins=8)
+    base, tables = cyclic([tuple(r) for r in data.collect()], m, [("a", "b")], 2)
+    assert m.base == pytest.approx(base)
+    for which, values in m.tables:
+        assert values == pytest.approx(tables[which])
+    got = data.select(m.score().alias("s"), *[c.alias(f"part {n}") for n, c in m.terms().items()]).collect()
+    parts = [f"part {n}" for n in (*FEATURES, "a x b")]
+    assert set(got[0].asDict()) == {"s", *parts}
+    assert all(r["s"] == pytest.approx(m.base + sum(r[n] for n in parts)) for r in got)
+    test = spark.createDataFrame(rows(800, 9), "id long, a double, b double, c double, d double, y int")
+    auc = lambda mm: E.auroc(E.curve(test.select("y", (1 / (1 + F.exp(-mm.score()))).alias("p")))).first()[0]
+    assert auc(m) > auc(T.additive(data, "y", FEATURES, rounds=2, bins=8)) > 0.6
+    assert T.additive(data.limit(0), "y", FEATURES).base == 0.0
