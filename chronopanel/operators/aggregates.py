@@ -60,6 +60,30 @@ def profile(rows: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*parts)))
 
 
+def correlations(rows: DataFrame, cols: list[str]) -> dict[tuple[str, str], float]:
+    """Pearson correlation of every pair of columns over the rows where both are known: one aggregate of mergeable moments;
+    0 where a column never varies."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    if not pairs:
+        return {}
+    x = {c: F.col(c).cast("double") for c in cols}
+    spread = lambda a, b: F.stddev_pop(F.when(x[b].isNotNull(), x[a]))
+    one = rows.agg(*[(F.covar_pop(x[a], x[b]) / F.nullif(spread(a, b) * spread(b, a), F.lit(0.0))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return {p: 0.0 if one[i] is None or one[i] != one[i] else one[i] for i, p in enumerate(pairs)}
+
+
+def screened(rows: DataFrame, target: str, cols: list[str], protected: list[str], most: int | None = None, redundant: float | None = None) -> list[tuple[str, float, bool]]:
+    """(column, correlation with the target, kept): protected columns always, then the others from the most correlated on,
+    ties by name, while there are fewer than ``most``; one that is more than ``redundant`` correlated with a kept one goes."""
+    r = correlations(rows, [target, *cols])
+    pair = lambda a, b: r[(a, b)] if (a, b) in r else r[(b, a)]
+    kept = [c for c in cols if c in protected]
+    for c in sorted((c for c in cols if c not in protected), key=lambda c: (-round(abs(pair(target, c)), 9), c)):
+        if (most is None or len(kept) < most) and (redundant is None or all(abs(pair(c, k)) <= redundant for k in kept)):
+            kept.append(c)
+    return [(c, pair(target, c), c in kept) for c in cols]
+
+
 def fingerprint(rows: DataFrame, key: str, label: str) -> DataFrame:
     """Order-free fingerprint of a keyed set: sums of hashes, so it merges and never gathers the set."""
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(label).cast("string"))), 1, 8), 16, 10).cast("long")

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronopanel.functions.exprs import elapsed_hours
+from chronopanel.operators.joins import small
+from chronopanel.plans.guards import require_unique
+
+
+def mapped(rows: DataFrame, mapping: DataFrame, item: str, value: str) -> DataFrame:
+    """Rows whose item is in the mapping (item, feature, scale, shift), with ``feature`` and the value in the feature's unit,
+    (value + shift) * scale. Several items may be one feature, each with its own unit; an item has one feature only. The
+    mapping is broadcast where it was measured to be small."""
+    known = require_unique(mapping, [item]).select(item, "feature", F.col("scale").alias("__scale"), F.col("shift").alias("__shift"))
+    out = rows.join(small(known), item)
+    return out.withColumn(value, (F.col(value) + F.col("__shift")) * F.col("__scale")).drop("__scale", "__shift")
 
 
 def bounds(events: DataFrame, entity: str, ts: str) -> DataFrame:

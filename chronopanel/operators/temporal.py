@@ -8,6 +8,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from chronopanel.functions.exprs import clip, sigmoid
 from chronopanel.operators.ordered import even_buckets, running
+from chronopanel.operators.quantiles import settled
 
 
 def timeline(entity: str, time: str) -> WindowSpec:
@@ -143,15 +144,60 @@ def adjacent(w: WindowSpec, hour: str) -> Column:
     return F.coalesce(F.col(hour) - F.lag(hour, 1).over(w) == 1, F.lit(False))
 
 
-def refractory(hours: Column, gap: int) -> Column:
-    """Of ascending hours, those kept when each must be at least ``gap`` after the last kept one."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(
-        hours, start, lambda kept, h: F.when((F.size(kept) == 0) | (h - F.element_at(kept, -1) >= gap), F.array_append(kept, h)).otherwise(kept)
-    )
+#: Hours in a cell, at least, and cells or groups of cells that are composed at a time.
+CELL_HOURS, FAN = 64, 256
+
+
+def _pass(hours: Column, entry: Column, gap: int) -> Column:
+    """Of a cell's ascending hours those kept, and the first hour allowed after them, from the first allowed on entry."""
+    start = F.struct(entry.cast("bigint").alias("free"), F.array().cast("array<bigint>").alias("kept"))
+    step = lambda s, h: F.when(h >= s["free"], F.struct((h + gap).cast("bigint").alias("free"), F.array_append(s["kept"], h).alias("kept"))).otherwise(s)
+    return F.aggregate(hours, start, step)
+
+
+def _through(children: Column, entry: Column, first: Column, gap: int) -> Column:
+    """Entry of each of the children (cell, f) of a group, in order, and the first cell that may follow with what exit."""
+    start = F.struct(entry.cast("bigint").alias("r"), first.cast("bigint").alias("next"), F.array().cast("array<struct<cell:bigint,entry:bigint>>").alias("seen"))
+
+    def step(s, c):
+        r = F.when(c["cell"] == s["next"], s["r"]).otherwise(F.lit(0).cast("bigint"))  # a cell between lets all wear off
+        return F.struct(F.element_at(c["f"], (r + 1).cast("int")).alias("r"), (c["cell"] + 1).alias("next"), F.array_append(s["seen"], F.struct(c["cell"].alias("cell"), r.alias("entry"))).alias("seen"))
+
+    return F.aggregate(children, start, step)
 
 
 def refractory_alerts(alerts: DataFrame, entity: str, hour: str, gap: int) -> DataFrame:
-    """Alerts left by refractory suppression; an entity's alerts are bounded by its stay."""
-    hours = alerts.groupBy(entity).agg(F.array_sort(F.collect_set(hour)).alias("__h"))
-    return hours.select(entity, F.explode(refractory(F.col("__h"), gap)).alias(hour))
+    """Alerts left by refractory suppression: each at least ``gap`` after the last kept one of its entity. Whole hours.
+
+    A cell of hours is a function: from how many of its first hours are still blocked on entry to how many of the next
+    cell's are on exit. Functions of neighbouring cells are composed in groups of FAN, these again, until each entity is
+    one; then entries are handed down. No task holds more than a cell's hours or a group's functions, whatever the number
+    of an entity's alerts.
+    """
+    width = max(CELL_HOURS, gap)
+    rows = alerts.select(entity, F.col(hour).cast("long").alias("__h")).where("__h IS NOT NULL").distinct()
+    ends = rows.agg(F.min("__h"), F.max("__h")).first()  # two numbers
+    low, high = ends[0] or 0, ends[1] or 0
+    rows = rows.withColumn("cell", F.floor((F.col("__h") - low) / width).cast("long"))
+    hours = rows.groupBy(entity, "cell").agg(F.array_sort(F.collect_list(F.col("__h") - low - F.col("cell") * width)).alias("__hours"))
+    entries = F.sequence(F.lit(0), F.lit(gap))
+    exits = F.transform(entries, lambda r: F.greatest(_pass(F.col("__hours"), r, gap)["free"] - width, F.lit(0)).cast("bigint"))
+    levels = [settled(hours.withColumn("f", exits))]
+    span = (high - low) // width
+    while span > 0:
+        at = F.floor(F.col("cell") / FAN).cast("long")
+        up = levels[-1].groupBy(entity, at.alias("cell")).agg(F.array_sort(F.collect_list(F.struct("cell", "f"))).alias("children"))
+        first, end = F.col("cell") * FAN, (F.col("cell") + 1) * FAN
+
+        def leave(r: Column) -> Column:
+            s = _through(F.col("children"), r, first, gap)  # noqa: B023
+            return F.when(s["next"] == end, s["r"]).otherwise(F.lit(0).cast("bigint"))  # noqa: B023
+
+        levels.append(settled(up.withColumn("f", F.transform(entries, leave))))
+        span //= FAN
+    down = levels[-1].select(entity, "cell", F.lit(0).cast("bigint").alias("entry"))
+    for i in range(len(levels) - 1, 0, -1):
+        met = levels[i].join(down, [entity, "cell"])
+        down = met.select(entity, F.inline(_through(F.col("children"), F.col("entry"), F.col("cell") * FAN, gap)["seen"]))
+    kept = levels[0].join(down, [entity, "cell"]).select(entity, "cell", F.explode(_pass(F.col("__hours"), F.col("entry"), gap)["kept"]).alias("__kept"))
+    return kept.select(entity, (F.col("__kept") + F.col("cell") * width + low).alias(hour))

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.operators.quantiles import settled
+
 
 class GuardError(ValueError):
     """An input or result isn't as required."""
@@ -87,3 +89,36 @@ def require_audit(checks: DataFrame) -> DataFrame:
     if bad:
         raise GuardError(f"{bad[0]['name']}: expected {bad[0]['expected']}, found {bad[0]['found']}")
     return checks
+
+
+def json_leaves(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path, name, kind, value): a row a leaf of each JSON text of any shape; ``kind`` is the leaf's type, VOID for a
+    JSON null, and MALFORMED for a text that is no JSON (null texts have no leaves). Empty objects and arrays are leaves of
+    their own. Each level of nesting is a step over the rows that still have one; nothing is inferred or collected."""
+    spark = rows.sparkSession
+    now = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.lit("$").alias("path"), F.lit("$").alias("name"), F.try_parse_json(F.col(text)).alias("v"))
+    parts = []
+    while True:
+        kind = F.when(F.col("v").isNull(), "MALFORMED").otherwise(F.schema_of_variant("v"))
+        now = settled(now.withColumn("kind", kind))
+        full = F.col("kind").rlike("^(OBJECT<.|ARRAY<)") & ~F.col("kind").isin("OBJECT<>", "ARRAY<>") & (F.coalesce(F.variant_get("v", "$", "string"), F.lit("")) != "[]")
+        parts.append(now.where(~full).select("__key", "path", "name", "kind", F.variant_get("v", "$", "string").alias("value")))
+        inner = now.where(full)
+        if inner.isEmpty():
+            break
+        now = spark.sql("SELECT __key, concat(path, coalesce('.' || t.key, '[' || t.pos || ']')) AS path, coalesce(t.key, name) AS name, t.value AS v FROM {inner}, LATERAL variant_explode(v) t", inner=inner)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.withColumnRenamed("__key", key)
+
+
+def json_assertions(leaves: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """(key, path, expected, found, ok) of wanted (key, path, expected): a missing path is found null, and not ok."""
+    return wanted.join(leaves.select(key, "path", F.col("value").alias("found")), [key, "path"], "left").select(key, "path", "expected", "found", F.col("expected").eqNullSafe(F.col("found")).alias("ok"))
+
+
+def json_cuts(leaves: DataFrame, names: Iterable[str] = TRUNCATING) -> DataFrame:
+    """Leaves at any depth whose name is that of a setting that cuts data short, where it is set: neither null, 0 nor false."""
+    unset = F.col("kind").isin("VOID", "OBJECT<>", "ARRAY<>") | F.coalesce(F.col("value"), F.lit("")).isin("", "0", "false", "null")
+    return leaves.where(F.lower("name").isin(*names) & ~unset)

@@ -69,6 +69,25 @@ def agg_corr(spark, sf):
     return X.rounded(ranked)
 
 
+_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "doubled"]
+_SCREEN = """
+WITH RECURSIVE x AS (SELECT *, l_quantity * 2 + l_tax AS doubled FROM lineitem),
+r AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM x" for a in ["l_extendedprice", *_NUMERIC] for b in _NUMERIC if a != b) + """),
+t AS (SELECT b AS name, r, b IN ('l_tax', 'l_linenumber') AS own, row_number() OVER (PARTITION BY b IN ('l_tax', 'l_linenumber') ORDER BY round(abs(r), 9) DESC, b) AS k FROM r WHERE a = 'l_extendedprice'),
+g AS (SELECT 0 AS k, ['l_tax', 'l_linenumber'] AS kept
+      UNION ALL SELECT g.k + 1, CASE WHEN len(kept) < 5 AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = t.name AND list_contains(kept, r.b) AND abs(r.r) > 0.9) THEN list_append(kept, t.name) ELSE kept END FROM g JOIN t ON NOT own AND t.k = g.k + 1)
+SELECT name, round(r, 6) AS r, list_contains((SELECT kept FROM g ORDER BY k DESC LIMIT 1), name) AS kept FROM t"""
+
+
+@query(_SCREEN)
+def correlation_screening(spark, sf):
+    """Which numeric columns of items are kept for a model of the price: two protected ones, then the most correlated, up to
+    five, none that repeats another."""
+    rows = table(spark, sf, "lineitem").withColumn("doubled", F.col("l_quantity") * 2 + F.col("l_tax"))
+    kept = A.screened(rows, "l_extendedprice", _NUMERIC, ["l_tax", "l_linenumber"], 5, 0.9)
+    return X.rounded(spark.createDataFrame(kept, "name string, r double, kept boolean"))
+
+
 @query("""
 WITH a AS (SELECT round(l_quantity) AS x, round(l_extendedprice, -3) AS y FROM lineitem),
 r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM a)
@@ -118,12 +137,21 @@ def agg_weighted(spark, sf):
     return X.rounded(table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("p")).agg(A.weighted_mean(F.col("o_totalprice"), F.col("o_custkey") % 10).alias("weighted")), 4)
 
 
-@query(PREDICTIONS + "SELECT id, y, round((p + round(p, 1) + floor(p * 20) / 20) / 3, 6) AS ensemble FROM pred")
+@query(PREDICTIONS + """,
+i AS (SELECT l_orderkey AS id, least(sum(l_extendedprice * (1 - l_discount)) / 600000, 1) AS p FROM lineitem GROUP BY 1),
+k AS (SELECT c_custkey AS cluster, least(greatest(c_acctbal / 10000, 0), 1) AS p FROM customer)
+SELECT id, y, round((pred.p + i.p + k.p) / 3, 6) AS ensemble FROM pred JOIN i USING (id) JOIN k USING (cluster)""")
 def agg_ensemble(spark, sf):
-    """The mean of three members' predictions of the same windows; members that don't cover the same ones raise."""
-    rows = predictions(spark, sf)
-    members = {"a": F.col("p"), "b": F.round("p", 1), "c": F.floor(F.col("p") * 20) / 20}
-    u = rows.select("id", "y", F.explode(F.array(*[F.struct(F.lit(k).alias("member"), p.alias("p")) for k, p in members.items()])).alias("m")).select("id", "y", "m.*")
+    """The mean of three models' predictions of the same windows: from orders, from their items, from their customers.
+    Models that don't cover the same windows raise."""
+    one = F.lit(1.0)
+    net = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 600000
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.least(net, one).alias("p"))
+    rows = predictions(spark, sf).select("id", "y", "cluster", "p").join(items.select("id"), "id", "left_semi")
+    balance = table(spark, sf, "customer").select(F.col("c_custkey").alias("cluster"), F.least(F.greatest(F.col("c_acctbal") / 10000, F.lit(0.0)), one).alias("p"))
+    members = {"orders": rows.drop("cluster"), "items": rows.select("id", "y").join(items, "id"), "customers": rows.select("id", "y", "cluster").join(balance, "cluster").drop("cluster")}
+    each = [m.select("id", "y", F.lit(name).alias("member"), "p") for name, m in members.items()]
+    u = each[0].unionByName(each[1]).unionByName(each[2])
     return X.rounded(A.ensemble(u, ["id", "y"], "member", "p", "ensemble"))
 
 

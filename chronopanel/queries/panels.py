@@ -270,3 +270,17 @@ SELECT score, n, (sum(n) OVER (ORDER BY score DESC))::BIGINT AS cumulative FROM
 def cumulative_counts(spark, sf):
     d = table(spark, sf, "events").groupBy(F.round("value", 0).alias("score")).agg(F.count("*").alias("n"))
     return running(d, "score", even_buckets(d, "score"), {"cumulative": "n"}, descending=True)
+
+
+@query("""
+WITH m AS (SELECT n_nationkey AS item, r_name AS feature, CASE WHEN n_nationkey % 2 = 1 THEN 5.0::DOUBLE / 9 ELSE 1 END AS scale, CASE WHEN n_nationkey % 2 = 1 THEN -32 ELSE 0 END AS shift FROM nation JOIN region ON n_regionkey = r_regionkey),
+e AS (SELECT event_id, user_id, (props->>'$.k')::INT AS item, value FROM events)
+SELECT event_id, user_id, feature, round((value + shift) * scale, 6) AS value FROM e JOIN m USING (item)""")
+def id_to_feature(spark, sf):
+    """Measurements by item id to features: several ids are one feature, some of them in another unit; other ids are left out."""
+    odd = F.col("n_nationkey") % 2 == 1
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    mapping = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("item"), F.col("r_name").alias("feature"), F.when(odd, F.lit(5.0) / 9).otherwise(1.0).alias("scale"), F.when(odd, -32.0).otherwise(0.0).alias("shift"))
+    e = table(spark, sf, "events").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("int").alias("item"), "value")
+    return X.rounded(P.mapped(e, mapping, "item", "value").select("event_id", "user_id", "feature", "value"))

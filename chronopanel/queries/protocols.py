@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronopanel.functions import exprs as X
 from chronopanel.operators import protocol as D
 from chronopanel.operators import temporal as T
-from chronopanel.plans.guards import audit, require_manifest, require_unique, truncated
+from chronopanel.plans.guards import audit, json_cuts, json_leaves, require_manifest, require_unique, truncated
 from chronopanel.queries.base import FILLED, PREDICTIONS, filled_panel, predictions, query, table
 
 _HASH = "('0x' || substr(md5('{seed}|' || {key}), 1, 8))::BIGINT"
@@ -147,14 +147,35 @@ def scope_audit(spark, sf):
 
 
 @query(PREDICTIONS + """,
-b AS (SELECT id, y, round(p, 1) AS q FROM pred)
-SELECT (SELECT count(*) FROM pred) AS n, (SELECT count(*) - count(DISTINCT id) FROM pred) AS repeated, (SELECT count(*) FROM pred LEFT JOIN b USING (id) WHERE b.id IS NULL) AS unshared,
+b AS (SELECT l_orderkey AS id, bool_and(l_linestatus = 'F')::BIGINT AS y, round(sum(l_extendedprice) / 600000, 1) AS q FROM lineitem GROUP BY 1)
+SELECT (SELECT count(*) FROM pred) AS n, (SELECT count(*) - count(DISTINCT id) FROM pred) AS repeated, (SELECT count(*) FROM pred FULL JOIN b ON pred.id = b.id WHERE b.id IS NULL OR pred.id IS NULL) AS unshared,
        (SELECT count(*) FROM pred JOIN b USING (id) WHERE pred.y <> b.y) AS relabelled, (SELECT regr_slope(y, q) > 0 FROM b) AS rises""")
 def shared_window_audit(spark, sf):
-    """Whether two models were scored on the same windows with the same labels, and whether the outcome rises with the score."""
+    """Whether two models, one scored from orders and one from their items, were scored on the same windows with the same
+    labels, and whether the outcome rises with the score."""
     a = predictions(spark, sf).select("id", F.col("y").alias("ya"))
-    b = predictions(spark, sf).select("id", F.col("y").alias("yb"), F.round("p", 1).alias("q"))
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    b = items.agg(F.bool_and(F.col("l_linestatus") == "F").cast("long").alias("yb"), F.round(F.sum("l_extendedprice") / 600000, 1).alias("q"))
     j = a.join(b, "id", "full_outer")
     shared = j.agg(F.count(F.when(F.col("ya").isNull() | F.col("yb").isNull(), 1)).alias("unshared"), F.count(F.when(F.col("ya") != F.col("yb"), 1)).alias("relabelled"))
     own = a.agg(F.count("*").alias("n"), (F.count("*") - F.countDistinct("id")).alias("repeated"))
     return own.join(shared).join(b.agg((F.regr_slope(F.col("yb"), F.col("q")) > 0).alias("rises")))  # one row each
+
+
+@query("""
+WITH e AS (SELECT (props->>'$.k') AS k FROM events),
+d AS (SELECT text AS t FROM (SELECT json_object('run', json_object('orders', (SELECT count(*) FROM orders), 'limit', NULL, 'splits', [json_object('name', 'train', 'smoke', false), json_object('name', 'test', 'max_rows', 50)])) AS text))
+SELECT '$.k' AS path, 'props' AS source, count(k) AS leaves, count(DISTINCT k) AS distinct_values, 0::BIGINT AS cuts FROM e
+UNION ALL SELECT path, 'run', 1, (path <> '$.run.limit')::BIGINT, (path = '$.run.splits[1].max_rows')::BIGINT FROM d, (VALUES ('$.run.orders'), ('$.run.limit'), ('$.run.splits[0].name'), ('$.run.splits[0].smoke'), ('$.run.splits[1].name'), ('$.run.splits[1].max_rows')) v(path)""")
+def json_scope_audit(spark, sf):
+    """Every path of the events' JSON and of a run's record made from the tables: how many leaves, values, and settings that
+    cut data short."""
+    n = table(spark, sf, "orders").agg(F.count("*").alias("n"))
+    split = lambda name, **kw: F.struct(F.lit(name).alias("name"), *[F.lit(v).alias(k) for k, v in kw.items()])
+    run = F.struct(F.col("n").alias("orders"), F.lit(None).cast("int").alias("limit"))
+    text = F.concat(F.lit('{"run": {"limit": null, "splits": ['), F.to_json(split("train", smoke=False)), F.lit(", "), F.to_json(split("test", max_rows=50)), F.lit("], "), F.substring(F.to_json(run), 2, 1000), F.lit("}"))
+    texts = table(spark, sf, "events").select(F.lit("props").alias("source"), F.col("props").alias("t")).union(n.select(F.lit("run"), text))
+    leaves = json_leaves(texts, "source", "t")
+    counted = leaves.groupBy("source", "path").agg(F.count("*").alias("leaves"), F.countDistinct("value").alias("distinct_values"))
+    cuts = json_cuts(leaves).groupBy("source", "path").agg(F.count("*").alias("cuts"))
+    return counted.join(cuts, ["source", "path"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(0).cast("long")))

@@ -396,13 +396,15 @@ def attribution_perturbed(spark, sf):
 
 
 @query(_EMB + """,
-s AS (SELECT vec_id, [coalesce(list_sum(a[1:8]), 0), coalesce(list_sum(a[9:16]), 0), coalesce(list_sum(a[17:24]), 0), coalesce(list_sum(a[25:32]), 0)] AS g FROM e),
+n AS (SELECT max(len(a)) AS n FROM e),
+s AS (SELECT vec_id, list_transform(range(0, 4), lambda v: coalesce(list_sum(list_transform(list_filter(range(0, n), lambda k: k * 4 // n = v), lambda k: coalesce(a[k + 1], 0))), 0)) AS g FROM e, n),
 t AS (SELECT vec_id, g, abs(g[1]) + abs(g[2]) + abs(g[3]) + abs(g[4]) AS total FROM s)
 SELECT vec_id, round(g[1] / (total + 1e-12), 6) AS first, round(g[2] / (total + 1e-12), 6) AS second, round(g[3] / (total + 1e-12), 6) AS third, round(g[4] / (total + 1e-12), 6) AS fourth FROM t""")
 def attribution_by_variable(spark, sf):
     """Attributions of summary features added up by the variable that each belongs to, normalised by their sizes' sum."""
-    mapping = [k // 8 for k in range(32)]
     e = _embeddings(spark, sf)
+    n = e.agg(F.max(F.size("a"))).first()[0] or 0  # one number
+    mapping = [4 * k // n for k in range(n)]
     groups = R.by_variable(F.col("a"), mapping, 4)
     x = e.select("vec_id", groups.alias("g"))
     total = F.aggregate("g", F.lit(0.0), lambda s, v: s + F.abs(v)) + 1e-12

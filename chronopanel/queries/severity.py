@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronopanel.functions import exprs as X
 from chronopanel.functions import scores as S
 from chronopanel.operators import severity as O
 from chronopanel.operators import temporal as T
-from chronopanel.queries.base import PANEL, events_panel, query
+from chronopanel.queries.base import PANEL, SQL, events_panel, query
 from chronopanel.queries.expressions import _bands_sql
 
 _RAW = PANEL + """,
@@ -119,6 +120,49 @@ def documentation_bias(spark, sf):
         F.when(F.col("stable"), label).alias("stable_mask_label"), F.col("component_count").alias("index_components"), F.col("top.n").alias("max_components"), F.col("top.fresh").alias("new_component"))
 
 
+_AHEAD = ", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in _PARTS)
+_AT_MAX = _RAW + f""",
+p AS (SELECT a.user_id, a.hr, a.score, b.score AS bs, b.hr AS bh, {_AHEAD}, count(*) OVER (PARTITION BY a.user_id, a.hr) AS ahead FROM organs a JOIN organs b ON a.user_id = b.user_id AND b.hr > a.hr AND b.hr <= a.hr + 6),
+top AS (SELECT * FROM p WHERE ahead = 6 AND score IS NOT NULL AND bs IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, hr ORDER BY bs DESC, bh) = 1),
+pos AS (SELECT * FROM top WHERE bs - score >= 2)"""
+
+
+@query(_AT_MAX + """,
+rises AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS organ, b_{c} - a_{c} AS d FROM pos" for c in _PARTS) + """),
+by_organ AS (SELECT organ, count(*) AS windows, count(d) AS comparable, coalesce(sum(greatest(d, 0)), 0)::DOUBLE AS points, count(*) FILTER (d > 0) AS increased FROM rises GROUP BY 1)
+SELECT organ, windows, comparable, points, increased, round(points / nullif(sum(points) OVER (), 0), 6) AS share FROM by_organ""")
+def organ_contributions(spark, sf):
+    """What each organ adds to rises of the total: in windows whose score rises by two, the increases from the hour itself to
+    the first hour of the greatest score within six, where both hours have the organ."""
+    w = T.timeline("user_id", "hr")
+    packed = F.struct("score", *_PARTS)
+    x = organs(spark, sf).select("user_id", "hr", "score", *_PARTS)
+    x = x.withColumn("next", F.collect_list(packed).over(w.rowsBetween(1, 6))).where((F.size("next") == 6) & F.col("score").isNotNull())  # six structs
+    scored = F.filter(F.transform("next", lambda b, i: F.struct(b["score"].alias("score"), (-i).alias("first"), b.alias("at"))), lambda s: s["score"].isNotNull())
+    x = x.withColumn("top", F.array_max(scored)).where(F.col("top.score") - F.col("score") >= 2)
+    long = x.select(F.inline(F.array(*[F.struct(F.lit(c).alias("organ"), (F.col(f"top.at.{c}") - F.col(c)).alias("d")) for c in _PARTS])))
+    s = long.groupBy("organ").agg(
+        F.count("*").alias("windows"), F.count("d").alias("comparable"), F.coalesce(F.sum(F.greatest("d", F.lit(0)).cast("double") * F.col("d").isNotNull().cast("int")), F.lit(0.0)).alias("points"),
+        F.count(F.when(F.col("d") > 0, 1)).alias("increased"))
+    total = F.sum("points").over(Window.partitionBy())  # six rows
+    return X.rounded(s.withColumn("share", F.col("points") / F.nullif(total, F.lit(0.0))))
+
+
+@query(SQL["documentation_bias"].replace("SELECT user_id, hr, (top - score >= 2)::BIGINT AS primary_label", ", labels AS (SELECT user_id, hr, (top - score >= 2)::BIGINT AS primary_label") + """)
+SELECT count(*) AS positive, count(*) FILTER (new_component) AS with_new, round(count(*) FILTER (new_component) / greatest(count(*), 1), 6) AS with_new_share,
+       count(*) FILTER (max_components > index_components) AS with_more, round(count(*) FILTER (max_components > index_components) / greatest(count(*), 1), 6) AS with_more_share,
+       count(*) FILTER (common_label = 1) AS preserved, round(count(*) FILTER (common_label = 1) / greatest(count(*), 1), 6) AS preserved_share
+FROM labels WHERE primary_label = 1""")
+def documentation_audit(spark, sf):
+    """Of windows whose score rises: how many have an organ at the greatest score that they lacked, more organs, and a rise
+    over the organs that both hours have."""
+    x = documentation_bias(spark, sf).where("primary_label = 1")
+    n = lambda c: F.count(F.when(c, 1))
+    counts = {"with_new": n(F.col("new_component")), "with_more": n(F.col("max_components") > F.col("index_components")), "preserved": n(F.col("common_label") == 1)}
+    one = x.agg(F.count("*").alias("positive"), *[c.alias(k) for k, c in counts.items()])
+    return X.rounded(one.withColumns({f"{k}_share": F.col(k) / F.greatest("positive", F.lit(1)) for k in counts}))
+
+
 _VITALS = ["respiratory_rate", "spo2", "systolic", "heart_rate", "temperature"]
 _EWS = " + ".join(_bands_sql(k, S.EARLY_WARNING[k]) for k in _VITALS)
 _LOCF = ", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in [*_VITALS, "fio2", "gcs"])
