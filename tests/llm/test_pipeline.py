@@ -47,3 +47,33 @@ def test_near_dedup_keeps_one_row_of_each_group_whatever_the_ids(spark, sf):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()]
     want = [(1, long[0]), (-3, long[1]), (7, long[2]), (None, long[3]), (10, long[4]), (None, None), (11, "")]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def odd(spark):
+    """Nulls, empty and very long texts, repeats, and columns that operators use inside."""
+    good = " ".join(f"word{i % 97} and the of" for i in range(60))
+    texts = [None, "", " \n\t ", good, good, good + " end", "short text", "the word and of it " * 100_000, "12 34 ## " * 40]
+    rows = [(i if i % 3 else None, t, "en" if i % 2 else None, None if i % 4 == 0 else f"http://h{i % 2}.org/", "a", i, "b", 1.5, "c", "d", "e", True) for i, t in enumerate(texts * 2)]
+    names = "doc_id long, text string, lang string, source string, kept string, n_words long, matches string, score double, cls string, `a.b` string, host string, held_out boolean"
+    return spark.createDataFrame(rows, names)
+
+
+def test_stages_take_any_rows(spark, sf):
+    given = odd(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (given, given.limit(0)):
+            got = stage(spark, docs, sf).collect()
+            if docs is not given:
+                assert got == [], name
+            elif name == "packing":
+                assert sum(r["length"] for r in got) > 18 and {r["doc_id"] for r in got} >= {None, 1, 2}
+            else:
+                left = docs.collect()
+                assert all(r in left for r in got), name
+                told = [(r["doc_id"], r["text"]) for r in got]
+                if name == "decontamination":
+                    assert len(told) == 18  # nothing here is an item
+                if name == "near-dedup":
+                    assert sum(t is not None and t.startswith("word0") for _, t in told) == 1 and sum(t is not None and t.startswith("the word") for _, t in told) == 1
+                if name == "quality rules":
+                    assert not [t for _, t in told if t is None or len(t.split()) < 50]
