@@ -1,8 +1,13 @@
 """The corpus pipeline: raw documents to packed sequences.
 
 Each stage calls one operator on all that the stage before kept; its result is written as Parquet and read again as the
-next stage's documents. Stages but the last return the columns of ``documents``. Near-dedup keeps one row of
-each group whether doc_ids are unique, repeated, clashing or null.
+next stage's documents. Stages but the last return the columns of ``documents``, whatever their names and number.
+
+Defined results: the language stage drops null and empty texts, as no language tells them; the rules stage drops texts of
+fewer than 50 words; near-dedup keeps one row of each group whether doc_ids are unique, repeated, clashing or null, and
+texts without words each by themselves; decontamination keeps null and empty texts; packing takes null for empty. Texts
+of any length are read whole. A null doc_id is a document like others (only its ties by id come last). An empty table
+gives empty tables and no pieces.
 """
 
 from __future__ import annotations
@@ -19,15 +24,30 @@ LEAST_SCORE = 0.5
 SHINGLE = 5
 
 
+def named(columns: list[str]) -> list[Column]:
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns that an operator reads, and all others packed into one, so that no name of theirs meets its results."""
+    rest = [c for c in docs.columns if c not in needed]
+    return docs.select(*named([*needed]), *([F.struct(*named(rest)).alias("__rest")] if rest else []))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *needed: str) -> DataFrame:
+    """The documents' columns again, as they were."""
+    return rows.select(*[F.col(f"`{c}`" if c in needed else f"__rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows and tells with more than even odds."""
-    said = langid.identify(docs)
-    return said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    said = langid.identify(carried(docs, "doc_id", "text", "lang"))
+    return unpacked(said.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs, "doc_id", "text", "lang")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, from hosts that do."""
-    return rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return unpacked(rules.apply_rules(carried(docs, "doc_id", "text", "source")).where("kept"), docs, "doc_id", "text", "source")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -44,17 +64,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(rows, key="__row", size=SHINGLE)
     marks = found.groupBy("__row").agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n")).where("NOT __kept OR __n > 1")
     marks = written(marks.select("__row", "__kept"), "near-copies")
-    once = rows.join(sized(marks), "__row", "left_anti").select(*docs.columns)
+    once = rows.join(sized(marks), "__row", "left_anti").select(*named(docs.columns))
     repeated = marks.where("__kept").select("__row")
     if repeated.isEmpty():
         return once
-    again = rows.join(sized(repeated, marks), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__r"))
+    again = rows.join(sized(repeated, marks), "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*named(docs.columns))).alias("__r"))
     return once.unionByName(again.select("__r.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unpacked(decontam.clean(carried(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs, "doc_id", "text")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
