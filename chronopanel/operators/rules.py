@@ -181,6 +181,19 @@ def membership_drift(spark: SparkSession, initial: dict[str, list[Term]], traine
                     (F.abs(F.col("s1") - F.col("s0")) / width).alias("sigma_shift"), F.abs(F.col("w1") - F.col("w0")).alias("weight_shift"))
 
 
+def fitted_terms(rows: DataFrame, column: str, terms: list[Term], y: Column) -> list[Term]:
+    """Where the data would put each term: mean and deviation of the values and rate of the outcome, rows weighted by their
+    normalised membership. One aggregate; a term without any membership stays where it is."""
+    x = F.col(column)
+    aggs = []
+    for m in normalised(x, terms):
+        n = F.nullif(F.sum(m), F.lit(0.0))
+        mean = F.sum(m * x) / n
+        aggs += [mean, F.sqrt(F.greatest(F.sum(m * x * x) / n - mean * mean, F.lit(0.0))), F.sum(m * y) / n]
+    got = rows.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first()  # three numbers a term
+    return [t if got[3 * i] is None else Term(t.name, got[3 * i], got[3 * i + 1], got[3 * i + 2]) for i, t in enumerate(terms)]
+
+
 def data_terms(rows: DataFrame, column: str, names: list[str], seed: int) -> list[Term]:
     """Terms drawn from the data: centres at quantiles, jittered and dealt at random within the 1st and 99th percentile.
 

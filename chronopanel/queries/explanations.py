@@ -18,17 +18,23 @@ from chronopanel.queries.rules import CROSS, E_TERMS, NAMED_CROSS, RISK, TRAINED
 from chronopanel.sources import ingest
 
 
-@query("""
-SELECT kind, signature, round(importance, 6) AS importance, rank() OVER (ORDER BY importance DESC, signature)::BIGINT AS place FROM (VALUES
- ('feature', 'v=low', 0.2::DOUBLE), ('feature', 'v=mid', 0.5), ('feature', 'v=high', 1.5), ('feature', 'e=calm', 0.1), ('feature', 'e=alarm', 1.2),
- ('cross', 'e=alarm & v=high', 1.4), ('cross', 'e=calm & v=low', 0.1), ('cross', 'e=alarm & v=mid', 0.7)) t(kind, signature, importance)""")
+_INVENTORY = [("feature", f"{f}={t.name}", t.weight, _norm(f, terms, i)) for f, terms in TRAINED.items() for i, t in enumerate(terms)]
+_INVENTORY += [("cross", " & ".join(sorted(f"{f}={t}" for f, t in terms)), w, f"({_norm('v', V_TERMS, i)} * {_norm('e', E_TERMS, j)})") for (_, terms, w), (i, j, _) in zip(NAMED_CROSS, CROSS, strict=True)]
+
+
+@query(FILLED + ", r AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, '{s}' AS signature, {w}::DOUBLE AS importance, avg({m}) AS firing FROM filled WHERE v IS NOT NULL AND e IS NOT NULL" for k, s, w, m in _INVENTORY) + """)
+SELECT kind, signature, round(importance, 6) AS importance, round(firing, 6) AS firing, rank() OVER (ORDER BY round(importance * firing, 9) DESC, signature)::BIGINT AS place FROM r""")
 def rule_inventory(spark, sf):
-    """All rules of the base with a signature that doesn't depend on the order of their antecedents, by importance."""
-    rows = [("feature", [f"{f}={t.name}"], t.weight) for f, terms in TRAINED.items() for t in terms]
-    rows += [("cross", [f"{f}={t}" for f, t in terms], w) for _, terms, w in NAMED_CROSS]
-    base = spark.createDataFrame(rows, "kind string, parts array<string>, weight double")
-    out = base.select("kind", F.array_join(F.sort_array("parts"), " & ").alias("signature"), F.abs("weight").alias("importance"))
-    return X.rounded(out.withColumn("place", F.rank().over(Window.orderBy(F.col("importance").desc(), "signature")).cast("long")))  # a rule base is small
+    """All rules of the base with a signature that doesn't depend on the order of their antecedents, how strongly they fire
+    in the panel, and their place by weight times firing."""
+    f = filled_panel(spark, sf).where("v IS NOT NULL AND e IS NOT NULL")
+    share = {(n, t.name): m for n, terms in TRAINED.items() for t, m in zip(terms, R.normalised(F.col(n), terms), strict=True)}
+    rules = [("feature", [(n, t.name)], t.weight) for n, terms in TRAINED.items() for t in terms] + [("cross", list(terms), w) for _, terms, w in NAMED_CROSS]
+    one = f.agg(*[F.avg(R.firing([share[t] for t in parts])).alias(f"r{i}") for i, (_, parts, _) in enumerate(rules)])
+    rows = [F.struct(F.lit(kind).alias("kind"), F.array_join(F.sort_array(F.array(*[F.lit(f"{n}={t}") for n, t in parts])), " & ").alias("signature"), F.abs(F.lit(w)).alias("importance"), F.col(f"r{i}").alias("firing"))
+            for i, (kind, parts, w) in enumerate(rules)]
+    out = one.select(F.inline(F.array(*rows)))
+    return X.rounded(out.withColumn("place", F.rank().over(Window.orderBy(F.round(F.col("importance") * F.col("firing"), 9).desc(), "signature")).cast("long")))  # a rule base is small
 
 
 _FIRING = [f"({_norm('v', V_TERMS, i)} * {_norm('e', E_TERMS, j)})" for i, j, _ in CROSS]

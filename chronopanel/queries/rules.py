@@ -187,12 +187,25 @@ def direction_rubric(spark, sf):
     return X.rounded(R.rubric(_rule_rows(spark, sf).withColumn("ranking", F.round("ranking", 9)), 4))
 
 
-@query("""
-SELECT feature, term, round(c1 - c0, 6) AS centre_shift, round(abs(c1 - c0) / s0, 6) AS shift_in_sigma, round(abs(s1 - s0) / s0, 6) AS sigma_shift, round(abs(w1 - w0), 6) AS weight_shift FROM (VALUES
- ('v', 'low', 22::DOUBLE, 20::DOUBLE, 14::DOUBLE, 15::DOUBLE, 0::DOUBLE, 0.2::DOUBLE), ('v', 'mid', 48, 50, 22, 20, 0.6, 0.5), ('v', 'high', 95, 90, 25, 25, 1.4, 1.5),
- ('e', 'calm', 12, 10, 18, 20, 0, 0.1), ('e', 'alarm', 75, 70, 28, 30, 1.0, 1.2)) t(feature, term, c0, c1, s0, s1, w0, w1)""")
+def _fitted_sql(f, terms):
+    for i, t in enumerate(terms):
+        m = _norm(f, terms, i)
+        mean = f"sum({m} * {f}) / sum({m})"
+        yield (f"SELECT '{f}' AS feature, '{t.name}' AS term, {t.centre}::DOUBLE AS c0, {t.sigma}::DOUBLE AS s0, {t.weight}::DOUBLE AS w0, {mean} AS c1,"
+               f" sqrt(sum({m} * {f} * {f}) / sum({m}) - ({mean}) * ({mean})) AS s1, sum({m} * y) / sum({m}) AS w1 FROM m")
+
+
+@query(FILLED + """,
+m AS (SELECT *, (hr * 2 > max(hr) OVER (PARTITION BY user_id))::INT AS y FROM filled WHERE v IS NOT NULL AND e IS NOT NULL),
+t AS (""" + " UNION ALL ".join([*_fitted_sql("v", V_INITIAL), *_fitted_sql("e", E_INITIAL)]) + """)
+SELECT feature, term, round(c1 - c0, 6) AS centre_shift, round(abs(c1 - c0) / s0, 6) AS shift_in_sigma, round(abs(s1 - s0) / s0, 6) AS sigma_shift, round(abs(w1 - w0), 6) AS weight_shift FROM t""")
 def membership_drift(spark, sf):
-    return X.rounded(R.membership_drift(spark, INITIAL, TRAINED))
+    """How far each term is from where the panel's values and outcomes would put it."""
+    from pyspark.sql.window import Window
+
+    f = filled_panel(spark, sf).where("v IS NOT NULL AND e IS NOT NULL")
+    f = f.withColumn("y", (F.col("hr") * 2 > F.max("hr").over(Window.partitionBy("user_id"))).cast("int"))
+    return X.rounded(R.membership_drift(spark, INITIAL, {k: R.fitted_terms(f, k, terms, F.col("y")) for k, terms in INITIAL.items()}))
 
 
 @query(_BASE + f""",

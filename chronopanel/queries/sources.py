@@ -50,10 +50,15 @@ def label_counts(spark, sf):
     return ingest.label_counts(table(spark, sf, "customer"), "c_mktsegment", 10_000_000)
 
 
-@query("SELECT 'c_custkey' AS name, TRUE AS present UNION ALL SELECT 'c_acctbal', TRUE UNION ALL SELECT 'c_absent', FALSE")
+@query("SELECT 'c_custkey' AS name, TRUE AS present, count(c_custkey) AS n FROM customer UNION ALL SELECT 'c_acctbal', TRUE, count(c_acctbal) FROM customer UNION ALL SELECT 'c_absent', FALSE, NULL")
 def present_columns(spark, sf):
-    there, lacking = ingest.present_columns(table(spark, sf, "customer"), ["c_custkey", "c_absent", "c_acctbal"])
-    return spark.createDataFrame([(c, True) for c in there] + [(c, False) for c in lacking], "name string, present boolean")
+    """Which of the wanted columns a source has, and how many values they hold."""
+    rows = table(spark, sf, "customer")
+    there, lacking = ingest.present_columns(rows, ["c_custkey", "c_absent", "c_acctbal"])
+    one = rows.agg(*[F.count(c).alias(c) for c in there])
+    each = [F.struct(F.lit(c).alias("name"), F.lit(True).alias("present"), F.col(c).alias("n")) for c in there]
+    each += [F.struct(F.lit(c).alias("name"), F.lit(False).alias("present"), F.lit(None).cast("long").alias("n")) for c in lacking]
+    return one.select(F.inline(F.array(*each)))
 
 
 @query("SELECT o_orderkey::BIGINT AS stay_id, (o_orderstatus = 'F')::INT::DOUBLE AS y_true, round(o_totalprice / 600000, 4) AS y_prob FROM orders")
@@ -62,9 +67,14 @@ def read_predictions(spark, sf):
     return ingest.predictions(o, ["stay_id"], "six")
 
 
-@query("SELECT 'none' AS name, 0::BIGINT AS n")
+@query("SELECT 'none' AS name, 0::BIGINT AS n UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
 def optional_source(spark, sf):
+    """Sources that may be absent: an absent one is empty, others are read."""
     from pyspark.sql import types as T
 
     absent = ingest.optional(spark, f"{sf}/no_such_table.parquet", T.StructType([T.StructField("id", T.LongType())]))
-    return absent.agg(F.lit("none").alias("name"), F.count("*").alias("n"))
+    out = absent.agg(F.lit("none").alias("name"), F.count("*").alias("n"))
+    for name in ("nation", "orders"):
+        found = ingest.optional(spark, f"{sf}/{name}.parquet", table(spark, sf, name).schema)
+        out = out.union(found.agg(F.lit(name), F.count("*")))
+    return out
