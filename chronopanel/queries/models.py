@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from chronopanel.functions import exprs as X
 from chronopanel.operators import fitting as L
+from chronopanel.operators import search as S
 from chronopanel.operators import trees as M
 from chronopanel.operators.rules import Term
 from chronopanel.queries.base import filled_panel, query, table
@@ -153,3 +154,19 @@ def rule_fit(spark, sf):
     """The total loss before each of five gradient steps and after them."""
     _, seen = L.fit_rules(_labelled_panel(spark, sf), _rule_model(START), steps=5)
     return X.rounded(spark.createDataFrame(list(enumerate(map(float, seen))), "step int, total double"))
+
+
+@query()
+def parameter_search(spark, sf):
+    """A seeded search for the slope and middle of a logistic score of the price: every trial, its losses and whether it was
+    pruned."""
+    y, x = F.col("y").cast("double"), F.col("price") / 100_000
+
+    def loss(v):
+        p = X.sigmoid(F.lit(v["slope"]) * (x - v["middle"]))
+        p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))
+        return -(y * F.log(p) + (1 - y) * F.log(1 - p))
+
+    trials = S.search(outcomes(spark, sf), "id", loss, {"slope": S.Range(-2.0, 2.0), "middle": S.Range(0.5, 5.0)}, trials=16, batch=8, seed=11)
+    rows = [(t.number, t.values["slope"], t.values["middle"], len(t.losses), float(t.losses[-1]), t.pruned) for t in trials]
+    return X.rounded(spark.createDataFrame(rows, "trial int, slope double, middle double, rungs int, loss double, pruned boolean"))
