@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 SENTINELS = ("<P>", "<S>", "<M>")
 #: Per cent of texts that are transformed, per cent of these with the suffix first, and the seed of the draws.
 RATE, SUFFIX_FIRST, SEED = 50, 80, 42
-#: Bits in a block of the directory, and bytes that are unpacked at a time.
-BLOCK, CHUNK = 512, 1 << 20
+#: Bits in a block of the directory, bytes that are unpacked at a time, and bytes of results that are handed on at a time.
+BLOCK, CHUNK, SLICE = 512, 1 << 20, 4 << 20
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[32, *range(9, 14)]] = True
 
@@ -113,6 +113,18 @@ def rebuilt(output: bytes, form: str, sentinels: tuple = SENTINELS) -> bytes:
     return y + middle + x if form == "spm" else x + middle + y
 
 
+def slices(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Places from and to of consecutive texts of about SLICE bytes together, so that results are handed on in small parts."""
+    start, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= SLICE:
+            yield start, i + 1
+            start, n = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def checked(sentinels: tuple) -> tuple:
     """Sentinels that no text without them can form together with one: none ends as another, or itself, begins."""
     for x in sentinels:
@@ -130,9 +142,10 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", rate: in
     @F.pandas_udf("n long, form string, prefix_chars long, middle_chars long, output binary")
     def rearrange(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, keys in batches:
-            rows = [rearranged(bytes(t), k, rate, suffix_first, seed, sentinels) for t, k in zip(texts, keys, strict=True)]
-            out = pd.DataFrame(rows, columns=["n", "form", "prefix_chars", "middle_chars", "output"])
-            yield out.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
+            for a, b in slices(texts):
+                rows = [rearranged(bytes(t), k, rate, suffix_first, seed, sentinels) for t, k in zip(texts[a:b], keys[a:b], strict=True)]
+                out = pd.DataFrame(rows, columns=["n", "form", "prefix_chars", "middle_chars", "output"])
+                yield out.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
 
     raw = F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit("").cast("binary"))
     out = docs.withColumn("__fim", rearrange(raw, F.col(f"`{key}`").cast("string")))
@@ -144,8 +157,10 @@ def restored(output: str = "output", form: str = "form", sentinels: tuple = SENT
     """The exact texts, from outputs and forms."""
 
     @F.pandas_udf("binary")
-    def rebuild(outputs: pd.Series, forms: pd.Series) -> pd.Series:
-        return pd.Series([rebuilt(bytes(o), f, sentinels) for o, f in zip(outputs, forms, strict=True)], dtype=object)
+    def rebuild(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for outputs, forms in batches:
+            for a, b in slices(outputs):
+                yield pd.Series([rebuilt(bytes(o), f, sentinels) for o, f in zip(outputs[a:b], forms[a:b], strict=True)], dtype=object)
 
     return rebuild(F.col(output).cast("binary"), F.col(form)).cast("string")
 
