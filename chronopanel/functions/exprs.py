@@ -197,16 +197,19 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+# Words of care units in their order, and what each is called.
+CARE_UNITS = (
+    ("Neuro", ("NEURO",)),
+    ("Cardiac", ("CARDIAC", "CORONARY", "CVICU", "CCU")),
+    ("Surgical/Trauma", ("SURG", "TRAUMA", "PACU")),
+    ("Medical/Mixed", ("MEDICAL", "MEDICINE", "MICU")),
+)
+
+
 def care_unit(text: Column) -> Column:
     """Kind of care unit, the first whose words the text holds."""
     t = F.upper(F.coalesce(text, F.lit("")))
-    rules = [
-        (t.contains("NEURO"), "Neuro"),
-        (contains_any(t, ("CARDIAC", "CORONARY", "CVICU", "CCU")), "Cardiac"),
-        (contains_any(t, ("SURG", "TRAUMA", "PACU")), "Surgical/Trauma"),
-        (contains_any(t, ("MEDICAL", "MEDICINE", "MICU")), "Medical/Mixed"),
-    ]
-    return first_match(rules, "Other")
+    return first_match([(contains_any(t, words), name) for name, words in CARE_UNITS], "Other")
 
 
 def status_kept(status: Column) -> Column:
