@@ -179,7 +179,10 @@ def _parcel(held: dict[int, tuple[list[int], list[bytes]]]) -> pa.RecordBatch:
 
 def write_shards(docs: DataFrame, path: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES,
                  vocabulary: str = VOCABULARY, ranks: str | None = RANKS, end_id: int = END_ID, fan: int = FAN) -> Shards:
-    """Write all documents' sequences by slot, ``path``/region-R/part-N being shard R * ``fan`` + N."""
+    """Write all documents' sequences by slot, ``path``/region-R/part-N being shard R * ``fan`` + N.
+
+    A path that holds anything is refused, so that no two runs mix: after a failed run name another, or delete it first.
+    """
     path = path or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     keyed = bare(docs, "text").select(F.lit(0).cast("long").alias("key"), "text")
     tokens = token_table(keyed, "key", vocabulary, ranks, end_id, level=5)
