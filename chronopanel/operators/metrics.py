@@ -130,7 +130,8 @@ def bootstrap_draws(clusters: DataFrame, key: str, replicates: int, seed: int) -
     drawn = spread.select(F.col("__i").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     drawn = drawn.select("replicate", (hash_unit(F.lit(seed), F.col("replicate"), F.col("i")) % n).alias("__i"))
     counts = drawn.groupBy("__i", "replicate").agg(F.count("*").alias("weight"))
-    return counts.groupBy("__i").agg(F.collect_list(F.struct("replicate", "weight")).alias("draws")).join(places, "__i").select(key, "draws")
+    draws = counts.groupBy("__i").agg(F.collect_list(F.struct("replicate", "weight")).alias("draws"))
+    return draws.hint("merge").join(places, "__i").select(key, "draws")
 
 
 def bootstrap_weights(clusters: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
@@ -142,7 +143,7 @@ def bootstrap_curves(rows: DataFrame, cluster: str, replicates: int, seed: int,
     """(replicate, score, pos, neg) of clusters drawn with replacement: rows are summed by cluster and score first, meet
     their cluster's draws once, and are summed by replicate and score before they are shuffled again."""
     cells = rows.groupBy(cluster, p).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    drawn = cells.join(bootstrap_draws(rows, cluster, replicates, seed), cluster).select(F.col(p).alias("score"), "pos", "neg", F.inline("draws"))
+    drawn = cells.join(bootstrap_draws(rows, cluster, replicates, seed).hint("merge"), cluster).select(F.col(p).alias("score"), "pos", "neg", F.inline("draws"))
     return drawn.groupBy("replicate", "score").agg(F.sum(F.col("pos") * F.col("weight")).alias("pos"), F.sum(F.col("neg") * F.col("weight")).alias("neg"))
 
 
