@@ -115,11 +115,12 @@ rebuilt AS (SELECT a.user_id, a.hr, (max(b.v) - any_value(a.v) >= 20)::INT AS y
 j AS (SELECT s.y AS a, r.y AS b, s.user_id IS NOT NULL AS in_a, r.user_id IS NOT NULL AS in_b FROM (SELECT * FROM saved WHERE y IS NOT NULL) s FULL JOIN rebuilt r USING (user_id, hr))
 SELECT count(*) AS n, count(*) FILTER (NOT in_b) AS only_saved, count(*) FILTER (NOT in_a) AS only_rebuilt, count(*) FILTER (in_a AND in_b AND a <> b) AS different FROM j""")
 def reconstruction_check(spark, sf):
-    """Labels by frames over the timeline, and the same rebuilt from a band join: keys and labels must agree."""
+    """Labels by frames over the timeline, and the same rebuilt from a band join: keys and labels must agree. The join merges:
+    by the size of the events' file the panel seems small enough to be broadcast, which it isn't."""
     f = filled_panel(spark, sf).select("user_id", "hr", "v")
     saved = f.select("user_id", "hr", T.rise_label("v", "hr", 6, 20.0, "user_id", T.timeline("user_id", "hr")).alias("y")).where("y IS NOT NULL")
     ahead = f.select("user_id", F.explode(F.array(*[F.col("hr") - k for k in range(1, 7)])).alias("hr"), F.col("v").alias("next"))
-    rebuilt = f.where("v IS NOT NULL").join(ahead, ["user_id", "hr"]).groupBy("user_id", "hr").agg(F.count(F.lit(1)).alias("n"), (F.max("next") - F.first("v") >= 20).cast("long").alias("y"))
+    rebuilt = f.where("v IS NOT NULL").hint("merge").join(ahead, ["user_id", "hr"]).groupBy("user_id", "hr").agg(F.count(F.lit(1)).alias("n"), (F.max("next") - F.first("v") >= 20).cast("long").alias("y"))
     return D.reconstruction(saved, rebuilt.where("n = 6"), ["user_id", "hr"], "y")
 
 
