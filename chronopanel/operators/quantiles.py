@@ -80,7 +80,8 @@ def _placed(x: DataFrame, big: DataFrame, probs: list[float], limit: int) -> Dat
     places = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)})
     done: list[DataFrame] = []
     while True:
-        borders = rows.groupBy("__k", "__g").agg(F.array_distinct(F.percentile_approx("__v", F.array(*[F.lit(p) for p in places]), 10_000)).alias("b"))
+        # Approximate quantiles differ from run to run: both the counts and the rows in brackets must see the same borders.
+        borders = settled(rows.groupBy("__k", "__g").agg(F.array_distinct(F.percentile_approx("__v", F.array(*[F.lit(p) for p in places]), 10_000)).alias("b")))
         number = F.size(F.filter("b", lambda b: b < F.col("__v"))) * 2 + F.array_contains("b", F.col("__v")).cast("int")
         rows = rows.join(borders, ["__k", "__g"]).select("__k", "__g", "__v", "__w", number.alias("i"))
         counts = rows.groupBy("__k", "__g", "i").agg(F.sum("__w").alias("c"), F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
