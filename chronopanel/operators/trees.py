@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronopanel.functions.exprs import hash_unit, sigmoid
-from chronopanel.operators.quantiles import quantile_values, settled
+from chronopanel.operators.quantiles import quantiles, settled
 
 #: Bins of a feature besides that of nulls, and digits to which gains are compared.
 BINS, DIGITS = 32, 9
@@ -93,9 +93,13 @@ def walked(tree: Tree, left: Callable[[Node], Column], leaf: Callable[[Node], Co
 
 
 def cuts_of(rows: DataFrame, features: list[str], bins: int = BINS) -> list[list[float]]:
-    """Where each feature is cut: its distinct inner quantiles."""
+    """Where each feature is cut: its distinct inner quantiles. Rows are read once and counted by feature and value; the
+    quantiles of all features are then sought together among distinct values, each as often as it was counted."""
     probs = [i / bins for i in range(1, bins)]
-    return [sorted({q for q in quantile_values(rows, f, probs) if q is not None and not math.isnan(q)}) for f in features]
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features)])).alias("e")).select("e.*")
+    counted = each.where("v IS NOT NULL").groupBy("f", "v").agg(F.count("*").alias("n"))
+    found = {r["f"]: r["q"] for r in quantiles(counted, "v", probs, ["f"], weight="n", settle=True).collect()}  # a row a feature
+    return [sorted({q for q in found.get(i) or [] if q is not None and not math.isnan(q)}) for i in range(len(features))]
 
 
 def binned(rows: DataFrame, features: list[str], cuts: list[list[float]], *keep: str | Column) -> DataFrame:
