@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,10 @@ from chronopanel.operators.joins import small
 from chronopanel.plans.guards import require_unique
 
 
+#: Hours of a dense panel in a task, on average; an entity's are in one.
+TASK_HOURS = 250_000
+
+
 def mapped(rows: DataFrame, mapping: DataFrame, item: str, value: str) -> DataFrame:
     """Rows whose item is in the mapping (item, feature, scale, shift), with ``feature`` and the value in the feature's unit,
     (value + shift) * scale. Several items may be one feature, each with its own unit; an item has one feature only. The
@@ -52,11 +57,15 @@ def hourly_panel(events: DataFrame, entity: str, ts: str, features: Mapping[str,
     """Dense panel: the spine of every entity with its hourly features.
 
     Spine and features are united and dealt by entity once; the grouping that merges them, and the windows by entity
-    that follow, need no further exchange, which a join on (entity, hour) would.
+    that follow, need no further exchange, which a join on (entity, hour) would. The tasks' number follows the hours, which
+    a job counts first: mostly nulls, they shrink so much in a shuffle that by its bytes they'd be dealt to a few tasks.
     """
+    hours = bounds(events, entity, ts).agg(F.sum(F.col("last_hour") + 1)).first()[0] or 0  # one number
+    tasks = max(math.ceil(hours / TASK_HOURS), events.sparkSession.sparkContext.defaultParallelism)
+    events = events.repartition(tasks, entity)
     stays = bounds(events, entity, ts)
     hourly = wide(with_hour(events, stays, entity, ts), [entity, "hr"], features)
-    both = spine(stays).drop("start", "stop").unionByName(hourly, allowMissingColumns=True).repartition(entity)
+    both = spine(stays).drop("start", "stop").unionByName(hourly, allowMissingColumns=True).repartition(tasks, entity)
     return both.groupBy(entity, "hr").agg(*[F.max(name).alias(name) for name in features])
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel import queries as base
 from chronopanel.operators import metrics as E
+from chronopanel.operators import panel as P
 
 QUERIES = base.queries()
 
@@ -32,3 +34,13 @@ def test_bootstrap_draws_are_not_broadcast(eager):
 
 def test_rebuilt_panel_is_not_broadcast(eager, sf):
     assert re.search(r"SortMergeJoin \[user_id#\d+L?, hr#\d+L?\], .*Inner", plan(QUERIES["reconstruction_check"](eager, sf)))
+
+
+def test_tasks_of_a_panel_follow_its_hours(spark, monkeypatch):
+    """Two events an entity, a year apart: a few bytes, and a million hours."""
+    monkeypatch.setattr(P, "TASK_HOURS", 50_000, raising=False)
+    rows = [(u, f"{y}-01-01") for u in range(120) for y in (2023, 2024)]
+    ends = spark.createDataFrame(rows, "u long, day string").select("u", F.col("day").cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value"))
+    panel = P.hourly_panel(ends, "u", "ts", {"x": F.max("value")})
+    assert panel.count() == 120 * (365 * 24 + 1)
+    assert panel.rdd.getNumPartitions() == 22
