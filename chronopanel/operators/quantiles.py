@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 #: its first borders lie.
 LIMIT, BORDERS, MARGIN = 100_000, 24, 0.001
 
+#: Bytes of what is known of large groups up to which it goes to every task; beyond them, into how many parts a key is dealt.
+SIDE_BYTES, PARTS = 16 << 20, 64
+
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once: checkpointed in the folder of ``spark.checkpoint.dir``, or in one of our own if all runs in one
@@ -40,12 +43,13 @@ def _folder(spark: SparkSession) -> str:
 
 
 def quantiles(rows: DataFrame, value: str, probs: list[float], by: list[str] | None = None, weight: str | None = None, limit: int = LIMIT,
-              settle: bool = False) -> DataFrame:
+              settle: bool | None = False) -> DataFrame:
     """(by, q): the quantiles of each group as an array in the order of ``probs``, nulls for a group without a value.
 
     ``weight`` is how often a row counts. Null values don't count; a null key is a group; without ``by`` there is one row,
     whatever the input. Sizes are counted by a job of its own; where any group is larger than ``limit``, passes run over a
-    settled copy of the columns, with ``settle`` in any case: for rows that are dear to compute.
+    settled copy of the columns, with ``settle`` in any case: for rows that are dear to compute. None says that ``rows`` are
+    settled already.
     """
     by = by or []
     w = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
@@ -58,9 +62,9 @@ def quantiles(rows: DataFrame, value: str, probs: list[float], by: list[str] | N
     sizes = x.groupBy("__k").agg(F.count("__v").alias("n"), F.sum(F.when(F.col("__v").isNotNull(), F.col("__w"))).alias("total"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= limit:  # one number
         return plain(direct(x))
-    x = x if settle else settled(x)
+    x = settled(x) if settle is False else x
     big = settled(sizes.where(F.col("n") > limit))
-    found = _placed(x.where("__v IS NOT NULL").join(big.select("__k"), "__k", "left_semi"), big, probs, limit)
+    found = _placed(_met(x.where("__v IS NOT NULL"), big.select("__k"), ["__k"], "left_semi"), big, probs, limit)
     at = [F.expr(f"(total - 1) * {float(p)!r}D") for p in probs]
     pick = lambda i, c: F.element_at("of", F.lit(2 * i + c))
     exact = [pick(i, 0) * (1 - (a - F.floor(a))) + pick(i, 1) * (a - F.floor(a)) for i, a in enumerate(at)]
@@ -68,10 +72,22 @@ def quantiles(rows: DataFrame, value: str, probs: list[float], by: list[str] | N
     whole = whole.join(big, "__k").select("__k", F.array(*[F.when(pick(i, 0) == pick(i, 1), pick(i, 0)).otherwise(e) for i, e in enumerate(exact)]).alias("q"))
     if not by:
         return plain(whole)
-    rest = x.join(big.select("__k"), "__k", "left_anti")
+    rest = _met(x, big.select("__k"), ["__k"], "left_anti")
     return plain(whole.unionByName(direct(rest)))
 
 
+def _met(rows: DataFrame, side: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Rows joined with what is known of their groups or brackets, a few settled rows of ``side`` for each large group. No
+    task gets all rows of a group: the side goes to every task where it was measured to be small, else to each of the parts
+    into which a group's rows are dealt."""
+    size = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0  # one number
+    if size <= SIDE_BYTES:
+        return rows.join(F.broadcast(side), on, how)
+    dealt = side.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")
+    return rows.withColumn("__part", part).join(dealt, [*on, "__part"], how).drop("__part")
+
+
 def _placed(x: DataFrame, big: DataFrame, probs: list[float], limit: int) -> DataFrame:
     """(__k, t, v): the values of the two ranks of quantile i as t = 2 i and 2 i + 1."""
     ranks = [r for i, p in enumerate(probs) for r in ((2 * i, F.floor(F.expr(f"(total - 1) * {float(p)!r}D"))), (2 * i + 1, F.ceil(F.expr(f"(total - 1) * {float(p)!r}D"))))]
@@ -83,7 +99,7 @@ def _placed(x: DataFrame, big: DataFrame, probs: list[float], limit: int) -> Dat
         # Approximate quantiles differ from run to run: both the counts and the rows in brackets must see the same borders.
         borders = settled(rows.groupBy("__k", "__g").agg(F.array_distinct(F.percentile_approx("__v", F.array(*[F.lit(p) for p in places]), 10_000)).alias("b")))
         number = F.size(F.filter("b", lambda b: b < F.col("__v"))) * 2 + F.array_contains("b", F.col("__v")).cast("int")
-        rows = rows.join(borders, ["__k", "__g"]).select("__k", "__g", "__v", "__w", number.alias("i"))
+        rows = _met(rows, borders, ["__k", "__g"]).select("__k", "__g", "__v", "__w", number.alias("i"))
         counts = rows.groupBy("__k", "__g", "i").agg(F.sum("__w").alias("c"), F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
         before = Window.partitionBy("__k", "__g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # a few brackets
         counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
@@ -95,7 +111,7 @@ def _placed(x: DataFrame, big: DataFrame, probs: list[float], limit: int) -> Dat
         if deeper.isEmpty():
             break
         again = (F.col("__g") * 1000 + F.col("i")).cast("long").alias("__g")
-        rows = settled(rows.join(deeper.select("__k", "__g", "i").distinct(), ["__k", "__g", "i"], "left_semi").select("__k", again, "__v", "__w"))
+        rows = settled(_met(rows, deeper.select("__k", "__g", "i").distinct(), ["__k", "__g", "i"], "left_semi").select("__k", again, "__v", "__w"))
         targets, places = deeper.select("__k", again, "t", "rank"), [i / BORDERS for i in range(1, BORDERS)]
     out = done[0]
     for part in done[1:]:
@@ -105,7 +121,7 @@ def _placed(x: DataFrame, big: DataFrame, probs: list[float], limit: int) -> Dat
 
 def _ordered(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """The values of ranks in brackets that are small enough to be ordered."""
-    small = rows.join(hits.select("__k", "__g", "i").distinct(), ["__k", "__g", "i"], "left_semi")
+    small = _met(rows, hits.select("__k", "__g", "i").distinct(), ["__k", "__g", "i"], "left_semi")
     upto = Window.partitionBy("__k", "__g", "i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     small = small.withColumn("upto", F.sum("__w").over(upto))
     met = small.join(hits.select("__k", "__g", "i", "t", "rank"), ["__k", "__g", "i"])

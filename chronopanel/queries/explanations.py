@@ -61,7 +61,7 @@ SELECT y, count(*) AS n, round(avg(additive), 6) AS mean, round(stddev_samp(addi
 def activated_rule_summary(spark, sf):
     m = settled(_risk_panel(spark, sf).select((F.col("v") > 60).cast("long").alias("y"), "additive", "cross_risk"))
     means = m.groupBy("y").agg(F.count("*").alias("n"), F.avg("additive").alias("mean"), F.stddev_samp("additive").alias("sd"), F.avg("cross_risk").alias("cross_mean"))
-    q = quantile_columns(m, "additive", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["y"]).withColumnRenamed("y", "__y")
+    q = quantile_columns(m, "additive", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["y"], settle=None).withColumnRenamed("y", "__y")
     out = means.join(q, F.col("y").eqNullSafe(F.col("__y"))).select("y", "n", "mean", "sd", "median", (F.col("q3") - F.col("q1")).alias("iqr"), "cross_mean")
     return X.rounded(out)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronopanel import queries as base
 from chronopanel.operators import metrics as E
 from chronopanel.operators import panel as P
+from chronopanel.operators import quantiles as Q
 
 QUERIES = base.queries()
 
@@ -26,6 +27,14 @@ def eager(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.fixture()
+def apart(spark):
+    """Partitions of few bytes aren't put together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_bootstrap_draws_are_not_broadcast(eager):
     rows = eager.createDataFrame([(i % 40, i % 2, i % 7 / 7) for i in range(200)], "c long, y long, p double")
     text = plan(E.bootstrap_curves(rows, "c", 20, 17))
@@ -44,3 +53,17 @@ def test_tasks_of_a_panel_follow_its_hours(spark, monkeypatch):
     panel = P.hourly_panel(ends, "u", "ts", {"x": F.max("value")})
     assert panel.count() == 120 * (365 * 24 + 1)
     assert panel.rdd.getNumPartitions() == 22
+
+
+@pytest.mark.parametrize("side", [1 << 24, 0])
+def test_no_task_gets_a_group_of_quantiles(apart, monkeypatch, side):
+    """One large group on eight tasks: its rows aren't sent to one to meet their borders, however large the side is."""
+    monkeypatch.setattr(Q, "SIDE_BYTES", side, raising=False)
+    met, n = [], 40_000
+    join = type(apart.range(0)).join
+    monkeypatch.setattr(type(apart.range(0)), "join", lambda a, b, *k: (met.append(join(a, b, *k)), met[-1])[1])
+    rows = apart.range(n).select(F.lit("a").alias("k"), F.pmod(F.col("id") * 7919, F.lit(n)).cast("double").alias("v"))
+    rows = rows.union(apart.createDataFrame([(None, 3.0), ("b", 5.0)], "k string, v double"))
+    got = {r["k"]: r["q"] for r in Q.quantiles(rows, "v", [0.25, 0.5], ["k"], limit=1000).collect()}
+    assert got == {"a": [pytest.approx((n - 1) / 4), pytest.approx((n - 1) / 2)], "b": [5.0, 5.0], None: [3.0, 3.0]}
+    assert max(max(x.rdd.glom().map(len).collect(), default=0) for x in met if "__v" in x.columns) < n / 2
