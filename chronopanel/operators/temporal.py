@@ -132,9 +132,10 @@ def signals(risk: str, missing: str, since: str, hour: str, n: int, w: WindowSpe
     return dict(zip(SIGNALS, values, strict=True))
 
 
-def average_rank(rows: DataFrame, by: str, name: str = "rank") -> DataFrame:
-    """Rank of a numeric column with ties averaged. Counts by distinct value are accumulated, not rows."""
-    counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
+def average_rank(rows: DataFrame, by: str, name: str = "rank", weight: str | None = None) -> DataFrame:
+    """Rank of a numeric column with ties averaged. Counts by distinct value are settled and accumulated, not rows; ``weight``
+    is how often a row counts."""
+    counts = settled(rows.groupBy(by).agg((F.count("*") if weight is None else F.sum(weight)).alias("__n")))
     below = running(counts, by, even_buckets(counts, by), {"__below": "__n"}, exclusive=True)
     return rows.join(below.select(by, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name)), by)
 

@@ -222,10 +222,16 @@ def rule_quality(spark, sf):
     x = x.withColumns({"learned": F.round("risk", 6), "guide": F.round(guide, 6)})
     f = [F.col(f"f{k}") for k in range(len(CROSS))]
     mean = lambda cs: sum(cs[1:], cs[0]) / len(cs)
-    stats = x.agg(F.count("*").alias("n"), F.avg(mean(f)).alias("mean_activation"), F.avg(mean([(c > 0.1).cast("int") for c in f])).alias("active_share"), F.avg(F.greatest(*f)).alias("top_activation"),
-                  F.avg("entropy").alias("entropy"), F.avg("late_mass").alias("late_mass"))
-    ranks = T.average_rank(T.average_rank(x.select("learned", "guide"), "learned", "ra"), "guide", "rb")
-    return X.rounded(stats.join(ranks.agg(F.round(F.corr("ra", "rb"), 5).alias("concordance"))))  # one row on either side
+    averaged = {"mean_activation": mean(f), "active_share": mean([(c > 0.1).cast("int") for c in f]), "top_activation": F.greatest(*f), "entropy": F.col("entropy"), "late_mass": F.col("late_mass")}
+    # The panel is read once: rows are summed by what they are ranked by.
+    pairs = settled(x.groupBy("learned", "guide").agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in averaged.items()]))
+    stats = pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[(F.sum(k) / F.sum("n")).alias(k) for k in averaged])
+    ranks = T.average_rank(T.average_rank(pairs.select("learned", "guide", "n"), "learned", "ra", "n"), "guide", "rb", "n")
+    middle = ((F.col("all") + 1) / 2).cast("double")  # the mean of ranks
+    ranks = ranks.join(pairs.agg(F.sum("n").alias("all"))).select("n", (F.col("ra") - middle).alias("a"), (F.col("rb") - middle).alias("b"))  # one row
+    times = lambda p, q: F.sum(F.col("n") * F.col(p) * F.col(q))
+    rho = times("a", "b") / F.nullif(F.sqrt(times("a", "a")) * F.sqrt(times("b", "b")), F.lit(0.0))
+    return X.rounded(stats.join(ranks.agg(F.round(rho, 5).alias("concordance"))))  # one row on either side
 
 
 @query(_SIG + f""",

@@ -55,6 +55,13 @@ def test_tasks_of_a_panel_follow_its_hours(spark, monkeypatch):
     assert panel.rdd.getNumPartitions() == 22
 
 
+@pytest.mark.parametrize("name", ["rule_quality", "alarm_burden"])
+def test_panels_that_are_used_often_are_read_once(spark, sf, name, monkeypatch):
+    made, hourly = [], P.hourly_panel
+    monkeypatch.setattr(P, "hourly_panel", lambda *a: (made.append(a), hourly(*a))[1])
+    assert "events.parquet" not in plan(QUERIES[name](spark, sf)) and len(made) == 1
+
+
 @pytest.mark.parametrize("side", [1 << 24, 0])
 def test_no_task_gets_a_group_of_quantiles(apart, monkeypatch, side):
     """One large group on eight tasks: its rows aren't sent to one to meet their borders, however large the side is."""
