@@ -292,10 +292,17 @@ SELECT events, detected, round(detected / nullif(events, 0), 6) AS event_sensiti
        round(100 * (alerts - hits) / d, 6) AS false_per_100_days, with_false, round(with_false / n, 6) AS with_false_share, round(q1, 6) AS lead_q1, round(med, 6) AS lead_median, round(q3, 6) AS lead_q3 FROM price, told, days""")
 def alarm_burden(spark, sf):
     """Alerts before first events only: hours from an entity's event on are neither watched nor alarmed."""
-    events = _first_events(spark, sf).select("user_id", "event_hour")
-    watched = events_panel(spark, sf).select("user_id", "hr", "err").join(events, "user_id", "left").where("event_hour IS NULL OR hr < event_hour")
-    kept = T.refractory_alerts(watched.where("err > 30"), "user_id", "hr", 6)
-    return X.rounded(E.alarms(watched, events, kept, "user_id", "hr", 6))
+    w, whole = T.timeline("user_id", "hr"), Window.partitionBy("user_id")
+    first = lambda condition, c: F.min(F.when(condition, F.col(c))).over(whole)
+    p = events_panel(spark, sf).select("user_id", "hr", "err", T.locf("view", w).alias("v"))
+    p = p.withColumn("t", first(F.col("v") > 40, "hr")).withColumn("score", first(F.col("hr") == F.col("t"), "v"))
+    p = p.withColumn("event_hour", first(F.expr("hr > t AND hr <= t + 12 AND v >= score + 2"), "hr"))
+    p = p.withColumn("before", F.expr("event_hour IS NULL OR hr < event_hour")).withColumn("watched", F.count(F.when(F.col("before"), 1)).over(whole))
+    # The panel is read once: what alarms, and an hour of each entity for its event and how long it was watched.
+    few = settled(p.withColumn("alarmed", F.expr("before AND coalesce(err > 30, false)")).where("alarmed OR hr = 0"))
+    entities = few.where("hr = 0").select("user_id", "event_hour", "watched")
+    kept = T.refractory_alerts(few.where("alarmed"), "user_id", "hr", 6)
+    return X.rounded(E.alarms(entities, entities.where("event_hour IS NOT NULL").select("user_id", "event_hour"), kept, "user_id", "hr", 6, F.col("watched")))
 
 
 @query()
