@@ -91,26 +91,71 @@ def ols_slope(c: str, hour: str, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(c).over(t) == n, F.regr_slope(F.col(c), F.col(hour)).over(t))
 
 
-def summary_vector(features: list[str], hour: str, n: int, w: WindowSpec) -> dict[str, Column]:
-    """The vector that stands for the last n rows: of each feature its last value, missingness and recency, then mean,
-    least, most, deviation, slope, last step and change of the window, then the share of missing rows.
+def _joined(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """What is known of two neighbouring blocks of rows together: counts, means, moments about them (Chan, 1979), ends."""
+    share = F.coalesce(b["n"] / F.greatest(a["n"] + b["n"], F.lit(1.0)), F.lit(0.0))  # never null, nor is what follows
+    dx, dh, both = b["mean"] - a["mean"], b["hour"] - a["hour"], a["n"] * share
+    return {
+        "n": a["n"] + b["n"], "mean": a["mean"] + dx * share, "hour": a["hour"] + dh * share, "missing": a["missing"] + b["missing"],
+        "xx": a["xx"] + b["xx"] + dx * dx * both, "hh": a["hh"] + b["hh"] + dh * dh * both, "xh": a["xh"] + b["xh"] + dx * dh * both,
+        "low": F.least(a["low"], b["low"]), "high": F.greatest(a["high"], b["high"]),
+    }
+
 
-    Beside a feature ``x`` there are ``x_missing`` (0 or 1) and ``x_since``. Rows with fewer than n values have nulls
-    in ``complete``.
+def summary_vector(rows: DataFrame, features: list[str], hour: str, n: int, w: WindowSpec) -> DataFrame:
+    """Every row with the vector that stands for the last n rows: of each feature its last value, missingness and recency,
+    then mean, least, most, deviation, slope, last step and change of the window, then the share of missing rows.
+
+    Beside a feature ``x`` there are ``x_missing`` (0 or 1) and ``x_since``. ``complete`` says whether each feature has n
+    values. Blocks of rows are doubled: what is known of one, and of the one as long before it, is what is known of both, and
+    a window is the blocks of n's binary digits. So a row costs log n steps, not n for each statistic.
     """
-    t = trailing(w, n)
-    out = {f"last_{c}": F.col(c) for f in features for c in (f, f"{f}_missing", f"{f}_since")}
+    zero, one = F.lit(0.0), lambda f: F.when(F.col(f).isNull(), 0.0).otherwise(1.0)
+    start = lambda f: {
+        "n": one(f), "mean": F.coalesce(F.col(f).cast("double"), zero), "hour": one(f) * F.col(hour), "missing": F.coalesce(F.col(f"{f}_missing").cast("double"), zero),
+        "xx": zero, "hh": zero, "xh": zero, "low": F.col(f).cast("double"), "high": F.col(f).cast("double"),
+    }
+    named = lambda size, f, k: f"__{size}_{f}_{k}"
+    parts = tuple(start(features[0]))
+
+    def met(out: DataFrame, size: int, near: int, far: int, back: int) -> DataFrame:
+        """Adds the blocks of ``size``: those of size ``near`` with those of size ``far`` that end ``back`` rows before."""
+        ago = {f"__ago_{f}_{k}": F.lag(named(far, f, k), back, None if k in ("low", "high") else 0.0).over(w) for f in features for k in parts}
+        out = out.withColumns(ago)
+        both = {f: _joined({k: F.col(named(near, f, k)) for k in parts}, {k: F.col(f"__ago_{f}_{k}") for k in parts}) for f in features}
+        return out.withColumns({named(size, f, k): c for f in features for k, c in both[f].items()}).drop(*ago)
+
+    head = F.row_number().over(w) < n
+    ends = {c: x for f in features for c, x in (
+        (f"__step_{f}", F.col(f) - F.lag(f, 1).over(w)), (f"__first_{f}", F.when(head, F.first(f).over(w.rowsBetween(Window.unboundedPreceding, 0))).otherwise(F.lag(f, n - 1).over(w))))}
+    out = rows.withColumns({**ends, "__rows": F.least(F.row_number().over(w), F.lit(n))})
+    out = out.withColumns({named(1, f, k): c for f in features for k, c in start(f).items()})
+    size, covered = 1, 0
+    while True:
+        old = set()
+        if n & size:
+            if covered:
+                out = met(out, covered + size, covered, size, covered)
+                old.add(covered)
+            covered += size
+        if covered == n:
+            break
+        out = met(out, 2 * size, size, size, size)
+        out = out.drop(*[named(x, f, k) for x in {*old, *({size} - {covered})} for f in features for k in parts])
+        size *= 2
+    at = lambda f, k: F.col(named(n, f, k))
+    vector = {f"last_{c}": F.col(c) for f in features for c in (f, f"{f}_missing", f"{f}_since")}
     for f in features:
-        out |= {
-            f"mean_{f}": F.avg(f).over(t), f"min_{f}": F.min(f).over(t), f"max_{f}": F.max(f).over(t), f"std_{f}": F.stddev_pop(f).over(t),
-            f"slope_{f}": F.regr_slope(F.col(f), F.col(hour)).over(t), f"step_{f}": F.col(f) - F.lag(f, 1).over(w),
-            f"span_{f}": F.col(f) - F.first(f).over(t), f"missing_mean_{f}": F.avg(f"{f}_missing").over(t),
+        some = at(f, "n") > 0
+        vector |= {
+            f"mean_{f}": F.when(some, at(f, "mean")), f"min_{f}": at(f, "low"), f"max_{f}": at(f, "high"), f"std_{f}": F.when(some, F.sqrt(at(f, "xx") / at(f, "n"))),
+            f"slope_{f}": F.when(at(f, "hh") > 0, at(f, "xh") / at(f, "hh")), f"step_{f}": F.col(f"__step_{f}"),
+            f"span_{f}": F.col(f) - F.col(f"__first_{f}"), f"missing_mean_{f}": at(f, "missing") / F.col("__rows"),
         }
-    full = [F.count(f).over(t) == n for f in features]
-    complete = full[0]
-    for c in full[1:]:
-        complete = complete & c
-    return out | {"complete": complete}
+    complete = at(features[0], "n") == n
+    for f in features[1:]:
+        complete = complete & (at(f, "n") == n)
+    return out.select(*rows.columns, *[c.alias(k) for k, c in vector.items()], complete.alias("complete"))
 
 
 #: Names of the explicit temporal signals of a risk trajectory.

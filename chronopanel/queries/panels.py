@@ -228,8 +228,8 @@ def summary_vector(spark, sf):
     w, names = by_user(), {"v": "view", "e": "err", "c": "click"}
     p = events_panel(spark, sf).select("user_id", "hr", *[x for f, c in names.items() for x in (
         T.locf(c, w).alias(f), F.col(c).isNull().cast("int").alias(f"{f}_missing"), T.recency(c, "hr", w).cast("long").alias(f"{f}_since"))])
-    made = T.summary_vector(list(names), "hr", 24, w)
-    out = X.rounded(p.select("user_id", "hr", *[c.alias(k) for k, c in made.items()]).where("complete").drop("complete"))
+    made = T.summary_vector(p, list(names), "hr", 24, w)
+    out = X.rounded(made.where("complete").drop("complete", *[c for c in p.columns if c not in ("user_id", "hr")]))
     return out.withColumns({f"slope_{f}": F.col(f"slope_{f}") + 0 for f in names})
 
 

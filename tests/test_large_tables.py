@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from chronopanel import queries as base
 from chronopanel.operators import metrics as E
 from chronopanel.operators import panel as P
 from chronopanel.operators import quantiles as Q
+from chronopanel.operators import temporal as T
 
 QUERIES = base.queries()
 
@@ -74,3 +76,27 @@ def test_no_task_gets_a_group_of_quantiles(apart, monkeypatch, side):
     got = {r["k"]: r["q"] for r in Q.quantiles(rows, "v", [0.25, 0.5], ["k"], limit=1000).collect()}
     assert got == {"a": [pytest.approx((n - 1) / 4), pytest.approx((n - 1) / 2)], "b": [5.0, 5.0], None: [3.0, 3.0]}
     assert max(max(x.rdd.glom().map(len).collect(), default=0) for x in met if "__v" in x.columns) < n / 2
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 7])
+def test_summary_vectors_of_blocks(spark, n):
+    """Gaps between hours, values missing, windows that aren't full: as by plain loops."""
+    rows = [(u, 2 * i if i % 5 else 2 * i - 1, None if (i * 7 + u) % 11 < 2 else float((i * i * 31 + u) % 17) + 1e6, (i + u) % 2, i) for u in range(2) for i in range(30)]
+    df = spark.createDataFrame(rows, "u long, hr long, x double, x_missing int, x_since int")
+    got = {(r["u"], r["last_x_since"]): r for r in T.summary_vector(df, ["x"], "hr", n, T.timeline("u", "hr")).collect()}
+    assert len(got) == len(rows)
+    for u, _, x, m, i in rows:
+        seen = [(h, y) for v, h, y, _, j in rows if v == u and i - n < j <= i and y is not None]
+        r, ys, hs = got[u, i], [y for _, y in seen], [h for h, _ in seen]
+        assert (r["last_x"], r["last_x_missing"], r["complete"]) == (x, m, len(seen) == n)
+        near = [(min(ys), r["min_x"]), (max(ys), r["max_x"]), (np.mean(ys), r["mean_x"]), (np.std(ys), r["std_x"])] if seen else []
+        near += [(np.polyfit(hs, np.array(ys) - ys[0], 1)[0], r["slope_x"])] if len(seen) > 1 else []
+        assert all(b == pytest.approx(a, abs=1e-6) for a, b in near) and (seen or r["mean_x"] is None) and (len(seen) > 1 or r["slope_x"] is None)
+        first = next(y for v, _, y, _, j in rows if v == u and j == max(i - n + 1, 0))
+        before = next((y for v, _, y, _, j in rows if v == u and j == i - 1), None)
+        assert r["span_x"] == (None if x is None or first is None else x - first) and r["step_x"] == (None if x is None or before is None else x - before)
+        assert r["missing_mean_x"] == pytest.approx(np.mean([k for v, _, _, k, j in rows if v == u and i - n < j <= i]))
+
+
+def test_summary_vector_goes_over_no_frame_of_a_day(spark, sf):
+    assert not re.search("regr_slope|stddev_pop", plan(QUERIES["summary_vector"](spark, sf)))
