@@ -200,14 +200,17 @@ def boosted(rows: DataFrame, y: str, features: list[str], n_trees: int = 20, dep
     if share is None:
         return Model(features, [], cuts=cuts)
     base, trees = math.log(max(share, 1e-6) / max(1 - share, 1e-6)), []
-    score = F.lit(base)
-    for _ in range(n_trees):
-        p = sigmoid(score)
-        tree = grow(b, cuts, depth, [(p - F.col("y"), p * (1 - p), F.lit(1.0))], penalty, least)[0]
+    b = b.withColumn("score", F.lit(base))
+    for k in range(n_trees):
+        # What a row's gradient is doesn't change while a tree grows: it is settled, so that a level has only its own tree.
+        p = sigmoid(F.col("score"))
+        b = settled(b.withColumns({"g": p - F.col("y"), "h": p * (1 - p)}))
+        tree = grow(b, cuts, depth, [(F.col("g"), F.col("h"), F.lit(1.0))], penalty, least)[0]
         if tree[1].feature < 0:
             break
         trees.append(tree)
-        score = score + F.lit(rate) * walked(tree, _bin_left, lambda n: F.lit(n.value))
+        if k < n_trees - 1:
+            b = b.withColumn("score", F.col("score") + F.lit(rate) * walked(tree, _bin_left, lambda n: F.lit(n.value)))
     return Model(features, trees, base, rate, cuts=cuts)
 
 

@@ -13,6 +13,7 @@ from chronopanel.operators import metrics as E
 from chronopanel.operators import panel as P
 from chronopanel.operators import quantiles as Q
 from chronopanel.operators import temporal as T
+from chronopanel.operators import trees as M
 
 QUERIES = base.queries()
 
@@ -100,3 +101,12 @@ def test_summary_vectors_of_blocks(spark, n):
 
 def test_summary_vector_goes_over_no_frame_of_a_day(spark, sf):
     assert not re.search("regr_slope|stddev_pop", plan(QUERIES["summary_vector"](spark, sf)))
+
+
+def test_boosting_doesnt_carry_earlier_trees(spark, monkeypatch):
+    """What a level sums over is no longer for the last tree than for the first."""
+    sizes, grow = [], M.grow
+    monkeypatch.setattr(M, "grow", lambda b, cuts, depth, members, *a: (sizes.append(len(str(members))), grow(b, cuts, depth, members, *a))[1])
+    rows = spark.range(400).select(F.pmod(F.col("id") * 37, F.lit(101)).alias("x"), (F.pmod(F.col("id") * 37, F.lit(101)) > 40).cast("long").alias("y"))
+    model = M.boosted(rows, "y", ["x"], n_trees=3, depth=1)
+    assert len(model.trees) == 3 and max(sizes) == min(sizes)
