@@ -184,9 +184,11 @@ def forest(rows: DataFrame, key: str, y: str, features: list[str], n_trees: int
     """Trees on rows drawn with replacement, each node splitting on its own share of the features; draws are hashes of seed,
     tree and key, so they are the same in every run and order."""
     cuts = cuts_of(rows, features, bins)
-    b = binned(rows.where(F.col(y).isNotNull()), features, cuts, F.col(y).cast("double").alias("y"), F.col(key).cast("string").alias("k"))
     unit = lambda *parts: hash_unit(F.lit(seed), *parts) / F.lit(2.0**32)
-    members = [(-F.col("y"), F.lit(1.0), _poisson(unit(F.lit(t), F.col("k")))) for t in range(n_trees)]
+    k = F.col(key).cast("string")
+    drawn = [_poisson(unit(F.lit(t), k)).cast("tinyint").alias(f"drawn{t}") for t in range(n_trees)]  # settled: no level draws again
+    b = binned(rows.where(F.col(y).isNotNull()), features, cuts, F.col(y).cast("double").alias("y"), *drawn)
+    members = [(-F.col("y"), F.lit(1.0), F.col(f"drawn{t}").cast("double")) for t in range(n_trees)]
     trees = grow(b, cuts, depth, members, least=least, allowed=unit(F.lit("f"), F.col("tree"), F.col("node"), F.col("feature")) < share)
     return Model(features, trees, mean=True, cuts=cuts)
 

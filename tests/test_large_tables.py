@@ -110,3 +110,11 @@ def test_boosting_doesnt_carry_earlier_trees(spark, monkeypatch):
     rows = spark.range(400).select(F.pmod(F.col("id") * 37, F.lit(101)).alias("x"), (F.pmod(F.col("id") * 37, F.lit(101)) > 40).cast("long").alias("y"))
     model = M.boosted(rows, "y", ["x"], n_trees=3, depth=1)
     assert len(model.trees) == 3 and max(sizes) == min(sizes)
+
+
+def test_a_forest_draws_once(spark, monkeypatch):
+    """Draws are settled with the bins: no level hashes keys again."""
+    seen, grow = [], M.grow
+    monkeypatch.setattr(M, "grow", lambda b, cuts, depth, members, **k: (seen.append(str(members)), grow(b, cuts, depth, members, **k))[1])
+    rows = spark.range(60).select("id", F.pmod("id", F.lit(7)).alias("x"), F.pmod("id", F.lit(2)).alias("y"))
+    assert len(M.forest(rows, "id", "y", ["x"], n_trees=2, depth=1).trees) == 2 and "md5" not in seen[0]
