@@ -1,8 +1,9 @@
 """HTML main text by wrapper induction over pages of one host.
 
-A page is a tree of its blocks; inline markup is text. A few exemplar pages of a host are aligned one after the other by
-simple tree matching (Yang, 1991) with a running wrapper: nodes that match are one slot of it, what is new is put in
-where it stands. Then all of the host's pages are aligned with the wrapper, and vote: a text that is constant in SHARE of
+A page is a tree of its blocks; inline markup is text. Its outline is that tree without texts. All different outlines of a
+host are aligned one after the other by simple tree matching (Yang, 1991) with a running wrapper: nodes that match are one
+slot of it, what is new is put in where it stands. They are dealt to parts by hash, each part's wrapper is an outline
+again, and these are merged in the same way until there is one. Then all of the host's pages are aligned with the wrapper, and vote: a text that is constant in SHARE of
 the pages that have its slot is template; the rest of a slot's text varies, and each page says which share of its text is
 in which slot. A page's article is where its layout's varying text is, by the votes for the slots that the page has and in
 the page's own order: from the root downwards while one slot has most of it, unless a varying heading would be left
@@ -10,7 +11,7 @@ behind. Slots that a page doesn't have are other layouts' and have no say, so a
 whatever the host's others are. A page's text is what it has in the article's slot, without template, furniture (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments) and, where the article has no element of its own
 but stands in the body, without what little comes before its heading. A page that has more text in places that the
-wrapper or most of its host's pages don't have is of a layout that no exemplar has: its article is looked for in its own
+most of its host's pages don't have is of a layout that places it badly: its article is looked for in its own
 tree, with the host's template left out.
 
 Hosts with fewer than LEAST_PAGES different pages share a wrapper with the other such hosts of their domain (the last
@@ -46,8 +47,8 @@ from pyspark.sql import functions as F
 from chronopanel.llm.common import dropped, sized, written
 from chronopanel.llm.urls import host_and_path
 
-#: Exemplar pages of a group, of different pages the least by hash; classes of hashes that bound how many are compared.
-EXEMPLARS, CLASSES = 8, 499
+#: Different outlines of a group, on average, that one task merges at a time.
+FAN = 16
 #: A group has a wrapper from so many different pages on. A text is template if so many pages at least have it, and this
 #: share of those with its slot; a page that would be template but for less than so much of its text is a copy.
 LEAST_PAGES, LEAST_EQUAL, SHARE, LEAST_VARYING = 3, 3, 0.8, 0.5
@@ -557,15 +558,25 @@ class Wrapper:
         return w
 
 
-def learned(pages: list[str]) -> Wrapper:
-    """The wrapper of exemplar pages, in whatever order they are given, before any vote."""
+def outline(page: str) -> str:
+    """A page's tree without its texts, runs of equal siblings once: the wrapper of this page alone, before any vote."""
+    return learned([shape(parse(page))]).dump()
+
+
+def learned(trees: list[Shape]) -> Wrapper:
+    """The running wrapper of trees in the order given, before any vote."""
     w = Wrapper()
-    for page in sorted(pages):
-        w.learn(shape(parse(page)))
+    for tree in trees:
+        w.learn(tree)
     w.settle()
     return w
 
 
+def merged(outlines: list[str]) -> str:
+    """The outline of a wrapper that has what all of these have, in whatever order they are given."""
+    return outlines[0] if len(outlines) == 1 else learned([Wrapper.load(o).root.shape for o in sorted(outlines)]).dump()
+
+
 def furniture(node: Node, inside: bool) -> bool:
     """Whether a subtree is no part of the article. An article's own header with its heading is."""
     if not node.marked and not node.named:
@@ -758,24 +769,21 @@ def extract(page: str | None, wrapper: Wrapper | None = None) -> str:
     return "\n\n".join(blocks([own_article(root)]) or blocks([root]))
 
 
-def chosen(pages: list[str]) -> list[str]:
-    """The exemplars that ``grouped`` takes, where all pages of one host are given."""
-    import xxhash
-
-    least: dict[int, tuple[int, str]] = {}
-    for page in set(pages):
-        raw = page.encode("utf-8", "replace")
-        h = int.from_bytes(xxhash.xxh64(raw, seed=42).digest(), "big", signed=True)
-        least[h % CLASSES] = min(least.get(h % CLASSES, (h, page)), (h, page))
-    return [page for _, page in sorted(least.values())[:EXEMPLARS]]
-
-
 def induce(pages: list[str]) -> Wrapper | None:
     """The wrapper of a host whose pages are all given, as the tables below make it."""
-    exemplars = chosen(pages)
-    if len(exemplars) < LEAST_PAGES:
+    import xxhash
+
+    pages = list(dict.fromkeys(pages))
+    if len(pages) < LEAST_PAGES:
         return None
-    w, pages = learned(exemplars), list(dict.fromkeys(pages))
+    found = {outline(p) for p in pages}
+    while len(found) > 1:
+        parts: dict[int, list[str]] = {}
+        for o in found:
+            h = int.from_bytes(xxhash.xxh64(o.encode("utf-8", "replace"), seed=42).digest(), "big", signed=True)
+            parts.setdefault(h % -(-len(found) // FAN), []).append(o)
+        found = {merged(p) for p in parts.values()}
+    w = Wrapper.load(found.pop())
     cast: dict[int, list] = {}
     for b in (votes(p, w) for p in pages):
         cast[core(b)] = min(cast.get(core(b), b), b, key=lambda x: [v for *_, v in x])
@@ -808,30 +816,40 @@ def domain(host: Column) -> Column:
 
 
 def grouped(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(host, group) and (group, said), the wrapper of the group's exemplars; both written.
+    """(host, group) and (group, said), the running wrapper of all outlines of the group's pages; both written.
 
-    Only hashes are shuffled to choose exemplars, at most CLASSES a group; pages are gathered for exemplars alone.
+    Different pages are counted by their hashes, and equal outlines meet before they are shuffled. No task gets all
+    outlines of a group: each merges some FAN of them, and passes are repeated until a group has one.
     """
-    hashes = pages.select("host", F.xxhash64("html").alias("hash")).withColumn("cls", F.pmod("hash", F.lit(CLASSES)))
-    hashes = written(hashes.groupBy("host", "cls").agg(F.min("hash").alias("hash")), "page-hashes")
+    hashes = written(pages.select("host", F.xxhash64("html").alias("hash")).distinct(), "page-hashes")
     alone = (F.col("n") >= LEAST_PAGES) | F.col("host").rlike("^[0-9.:]+$")
     own = F.when(alone, F.col("host")).otherwise(F.concat(F.lit("."), domain(F.col("host"))))
     groups = written(hashes.groupBy("host").agg(F.count("*").alias("n")).select("host", own.alias("group")), "page-groups")
-    few = hashes.join(sized(groups), "host").groupBy("group", "cls").agg(F.min(F.struct("hash", "host")).alias("e"))
-    rank = F.row_number().over(Window.partitionBy("group").orderBy("e"))
-    first = few.withColumn("rank", rank).where(F.col("rank") <= EXEMPLARS).select("group", "e.host", "e.hash")
-    first = written(first, "exemplars")
-    found = pages.withColumn("hash", F.xxhash64("html")).join(sized(first), ["host", "hash"])
-    found = found.groupBy("group", "hash").agg(F.min("html").alias("html"))
+    enough = hashes.join(sized(groups), "host").groupBy("group").agg(F.count_distinct("hash").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    enough = written(groups.join(enough.select("group"), "group"), "groups-with-wrappers")
 
     @F.pandas_udf("string")
-    def learn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def drawn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for bodies in batches:
+            yield pd.Series([outline(b) for b in bodies], dtype=object)
+
+    @F.pandas_udf("string")
+    def merge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in batches:
-            yield pd.Series([learned(list(p)).dump() if len(p) >= LEAST_PAGES else None for p in lists], dtype=object)
+            yield pd.Series([merged(list(o)) for o in lists], dtype=object)
 
-    gathered = found.groupBy("group").agg(F.sort_array(F.collect_list("html")).alias("pages"))  # EXEMPLARS at most
-    said = written(gathered.select("group", learn("pages").alias("said")).where("said IS NOT NULL"), "running-wrappers")
-    dropped(hashes, first)
+    met = pages.join(sized(enough), "host").select("group", drawn("html").alias("said"))
+    said = written(met.distinct(), "outlines")
+    while True:
+        counts = written(said.groupBy("group").agg(F.count("*").alias("n")), "outline-counts")
+        if (counts.agg(F.max("n")).first()[0] or 0) <= 1:  # one number
+            break
+        part = F.pmod(F.xxhash64("said"), F.ceil(F.col("n") / FAN)).alias("part")
+        dealt = said.join(sized(counts), "group").select("group", part, "said").groupBy("group", "part").agg(F.collect_list("said").alias("some"))
+        fewer = written(dealt.select("group", merge("some").alias("said")).distinct(), "outlines")
+        dropped(said, counts)
+        said = fewer
+    dropped(hashes, enough, counts)
     return groups, said
 
 
@@ -871,7 +889,7 @@ def wrappers(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     constant = written(texts.join(sized(slots), ["group", "slot"]).where(F.col("c") >= SHARE * F.col("n")).select("group", "slot", "key", "share"), "template")
     fixed = constant.groupBy("group", "slot").agg(F.sum("share").alias("fixed"))
     varying = slots.join(fixed, ["group", "slot"], "left").withColumn("varying", F.when(F.col("fixed") < F.col("mass") * (1 - 1e-9), F.col("mass") - F.col("fixed")).when(F.col("fixed").isNull(), F.col("mass")).otherwise(0.0))
-    # Slots and template of a wrapper are bounded by its exemplars' size.
+    # Slots and template of a wrapper are bounded by what its outlines have together.
     seen = varying.groupBy("group").agg(F.collect_list(F.struct("slot", "n", "varying", "mass")).alias("seen"))
     template = constant.groupBy("group").agg(F.collect_list("key").alias("template"))
 

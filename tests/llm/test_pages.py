@@ -8,6 +8,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.llm import html, urls
 from chronopanel.llm import queries as llm
@@ -176,6 +177,19 @@ def test_all_pages_vote_whatever_their_layout(spark):
     assert learned.article.label == "div.story" and len(learned.template) == 2
 
 
+def test_every_layout_of_a_host_is_learned(spark):
+    """Forty layouts of three pages, each with a constant line of its own: more than any few pages have, and several passes."""
+    kinds = [f"kind{a}{b}" for a in "abcdefgh" for b in "klmno"]
+    pages = [story(3 * k + i, kind, f"Sign here for letters of {kind}") for k, kind in enumerate(kinds) for i in range(3)]
+    df = spark.createDataFrame([(i, f"http://w.x.org/{i}", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert [got[i] for i in range(120)] == [want for _, want in pages]
+    known = html.Wrapper.load(html.wrappers(df.select(F.lit("w.x.org").alias("host"), "html"))[1].first()["wrapper"])
+    assert {f"div.{kind}" for kind in kinds} <= {s.label for s in known.slots}
+    again = html.induce([p for p, _ in pages])
+    assert [s.label for s in known.slots] == [s.label for s in again.slots] and known.template == again.template
+
+
 def test_small_hosts_share_the_wrapper_of_their_domain(spark):
     rows, want = [], {}
     for h in range(12):
