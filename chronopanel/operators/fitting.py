@@ -2,7 +2,8 @@
 rule model with attention.
 
 Only sums reach the driver, as many as there are parameters (their square for Newton steps). Derivatives are closed forms
-over columns; what a row owes to the windows that it is in is a sum over the frame that follows it.
+over columns. Panels that carry values forward hold long runs of equal hours: gradient steps go over runs, once made, and
+what a run owes to the windows that it is in is a sum over the few runs that follow it.
 """
 
 from __future__ import annotations
@@ -155,8 +156,8 @@ def _sum(cols: list[Column]) -> Column:
     return sum(cols[1:], cols[0]) if cols else F.lit(0.0)
 
 
-def forward(rows: DataFrame, model: RuleModel, entity: str, hour: str) -> DataFrame:
-    """Adds memberships, risks, the score's exponential, and by window its attended risk and logit (null until it is full)."""
+def _risks(rows: DataFrame, model: RuleModel) -> DataFrame:
+    """Adds memberships, risks and the score's exponential."""
     out = rows
     for f, ts in model.terms.items():
         z = {k: (F.col(f) - t.centre) / t.sigma for k, t in enumerate(ts)}
@@ -175,7 +176,12 @@ def forward(rows: DataFrame, model: RuleModel, entity: str, hour: str) -> DataFr
     out = out.withColumn("__fs", _sum([F.col(c) for c in fires]) + EPS)
     out = out.withColumn("__cross", _sum([F.col(f"__f_{r}") / F.col("__fs") * w for r, (_, w) in enumerate(model.cross)]))
     out = out.withColumn("risk", _sum([F.col(f"__r_{f}") for f in model.terms]) + model.kappa * F.col("__cross"))
-    out = out.withColumn("__a", F.tanh(F.col("risk") * model.scale + model.shift)).withColumn("__e", F.exp("__a"))
+    return out.withColumn("__a", F.tanh(F.col("risk") * model.scale + model.shift)).withColumn("__e", F.exp("__a"))
+
+
+def forward(rows: DataFrame, model: RuleModel, entity: str, hour: str) -> DataFrame:
+    """Adds memberships, risks, the score's exponential, and by window its attended risk and logit (null until it is full)."""
+    out = _risks(rows, model)
     w = Window.partitionBy(entity).orderBy(hour)
     last = w.rowsBetween(-(model.hours - 1), 0)
     total = F.sum("__e").over(last)
@@ -184,13 +190,23 @@ def forward(rows: DataFrame, model: RuleModel, entity: str, hour: str) -> DataFr
     return out.withColumn("logit", model.base + model.gain * F.col("attended"))
 
 
+def _log_loss(z: Column, positives: Column, negatives: Column, pos_weight: float) -> Column:
+    soft = lambda x: F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))
+    return pos_weight * positives * soft(-z) + negatives * soft(z)
+
+
+def _slope(z: Column, positives: Column, negatives: Column, pos_weight: float) -> Column:
+    """The log loss's derivative by the logit."""
+    p = sigmoid(z)
+    return negatives * p - pos_weight * positives * (1 - p)
+
+
 def _loss_terms(out: DataFrame, model: RuleModel, y: str, entity: str, hour: str, pos_weight: float) -> DataFrame:
     """Adds each window's weighted log loss and weight, and each pair of hours' consistency penalties by feature."""
     w = Window.partitionBy(entity).orderBy(hour)
-    z, label = F.col("logit"), F.col(y).cast("double")
+    label = F.col(y).cast("double")
     used = F.col("logit").isNotNull() & F.col(y).isNotNull()
-    soft = lambda x: F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))
-    loss = pos_weight * label * soft(-z) + (1 - label) * soft(z)
+    loss = _log_loss(F.col("logit"), label, 1 - label, pos_weight)
     step = lambda c: F.col(c) - F.lag(c).over(w)
     pair = F.col(hour) == F.lag(hour).over(w) + 1
     cols = {"__used": used, "__loss": F.when(used, loss), "__dt": F.when(pair, step("risk"))}
@@ -216,24 +232,78 @@ def losses(rows: DataFrame, model: RuleModel, start: RuleModel, y: str = "y", en
     return one.withColumn("total", total)
 
 
+def runs(rows: DataFrame, features: list[str], hours: int, y: str = "y", entity: str = "user_id", hour: str = "hr") -> DataFrame:
+    """One row for each run of an entity's consecutive hours with equal features: ``__start`` and ``__length``; whether it
+    goes on where the run before it ends; ``__y1``, ...: the outcomes of its first ``hours`` - 1 hours, whose windows begin in
+    runs before; sums of outcomes and of their complements in its other hours, whose windows are in the run; and ``__s1``,
+    ...: how many rows the last one, two, ... runs before it have, up to ``hours``."""
+    w = Window.partitionBy(entity).orderBy(hour)
+    label = F.col(y).cast("double")
+    on = F.col(hour) == F.lag(hour).over(w) + 1
+    for f in features:
+        on = on & F.col(f).eqNullSafe(F.lag(f).over(w))
+    x = rows.select(entity, hour, *features, label.alias("__y"), F.when(F.coalesce(on, F.lit(False)), None).otherwise(F.col(hour)).alias("__first"))
+    x = x.withColumn("__start", F.max("__first").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.col(hour) - F.col("__start") + 1
+    inner = lambda c: F.coalesce(F.sum(F.when(place >= hours, c)), F.lit(0.0))
+    first = {f"__y{j}": F.max(F.when(place == j, F.col("__y"))) for j in range(1, hours)}
+    one = x.groupBy(entity, "__start").agg(
+        F.count("*").alias("__length"), inner(F.col("__y")).alias("__positives"), inner(1 - F.col("__y")).alias("__negatives"),
+        *[F.min(f).alias(f) for f in features], *[c.alias(name) for name, c in first.items()],
+    )
+    w = Window.partitionBy(entity).orderBy("__start")
+    joined = F.coalesce(F.col("__start") == F.lag("__start").over(w) + F.lag("__length").over(w), F.lit(False))
+    before = {f"__s{i}": F.coalesce(F.lag("__length", i).over(w), F.lit(0)) for i in range(1, hours)}
+    one = one.withColumns({"__joined": joined} | before)
+    for i in range(2, hours):
+        one = one.withColumn(f"__s{i}", F.col(f"__s{i}") + F.col(f"__s{i - 1}"))
+    return one.withColumns({name: F.least(F.col(name), F.lit(hours)).cast("int") for name in before})
+
+
 def gradient(rows: DataFrame, model: RuleModel, start: RuleModel, y: str = "y", entity: str = "user_id", hour: str = "hr", pos_weight: float = 1.0,
              weights: Weights | None = None) -> tuple[float, np.ndarray]:
-    """The total loss and its derivatives by the entries of ``vector``, from one aggregate.
+    """The total loss and its derivatives by the entries of ``vector``, from one aggregate."""
+    return _of_runs(runs(rows, list(model.terms), model.hours, y, entity, hour), model, start, entity, pos_weight, weights or Weights())
+
 
-    With q = d loss / d attended / E of each window, the hours in it owe e * (1 + scale * t * (risk - attended)) * q, where
-    t = 1 - tanh^2: two sums over the frame of the windows that an hour is in.
+def _of_runs(rows: DataFrame, model: RuleModel, start: RuleModel, entity: str, pos_weight: float, weights: Weights) -> tuple[float, np.ndarray]:
+    """``gradient`` from the panel's runs.
+
+    With q = d loss / d attended / E of each window, an hour in it owes e * (1 + scale * t * (risk - attended)) * q, where
+    t = 1 - tanh^2. The window that ends at a run's j-th hour has j hours of it and so many of each run before it as fit in;
+    both sums over the windows that a run is in come from the run itself and the few that follow it. A window within a run
+    attends to its risk alone.
     """
-    weights = weights or Weights()
-    out = _loss_terms(forward(rows, model, entity, hour), model, y, entity, hour, pos_weight)
-    w = Window.partitionBy(entity).orderBy(hour)
-    ahead = w.rowsBetween(0, model.hours - 1)
-    z, label = F.col("logit"), F.col(y).cast("double")
-    p = sigmoid(z)
-    delta = F.when(F.col("__used"), (1 - label) * p - pos_weight * label * (1 - p)).otherwise(0.0)
-    out = out.withColumns({"__delta": delta, "__t": 1 - F.col("__a") * F.col("__a"), "__pair": F.col("__dt").isNotNull()})
-    q = F.coalesce(F.col("__delta") * model.gain / F.col("__whole"), F.lit(0.0))
-    owed = {"__q": F.sum(q).over(ahead), "__qa": F.sum(F.coalesce(q * F.col("attended"), F.lit(0.0))).over(ahead)}
-    out = out.withColumns(owed)
+    w = Window.partitionBy(entity).orderBy("__start")
+    hours = model.hours
+    out = _risks(rows, model).withColumn("__er", F.col("__e") * F.col("risk"))
+    step = lambda c: F.when(F.col("__joined"), F.col(c) - F.lag(c).over(w))
+    past = {f"{c}{i}": F.coalesce(F.lag(c, i).over(w), F.lit(0.0)) for c in ("__e", "__er") for i in range(1, hours)}
+    out = out.withColumns({"__dt": step("risk")} | {f"__d_{f}": step(f"__r_{f}") for f in model.terms} | past)
+
+    def upto(i: int, j: int) -> Column:
+        return F.least(F.col(f"__s{i}"), F.lit(hours - j)) if i else F.lit(0)
+
+    def share(i: int, j: int) -> Column:
+        """Hours of the i-th run before in the window that ends at the run's j-th hour."""
+        return upto(i, j) - upto(i - 1, j) if i else F.lit(j)
+
+    whole = {f"__whole{j}": j * F.col("__e") + _sum([share(i, j) * F.col(f"__e{i}") for i in range(1, hours)]) for j in range(1, hours)}
+    out = out.withColumns(whole)
+    out = out.withColumns({f"__at{j}": (j * F.col("__er") + _sum([share(i, j) * F.col(f"__er{i}") for i in range(1, hours)])) / F.col(f"__whole{j}") for j in range(1, hours)})
+    cols = {}
+    for j in range(1, hours):
+        z, label = model.base + model.gain * F.col(f"__at{j}"), F.col(f"__y{j}")
+        used = label.isNotNull() & (upto(hours - 1, j) == hours - j)
+        cols[f"__loss{j}"] = F.when(used, _log_loss(z, label, 1 - label, pos_weight))
+        cols[f"__delta{j}"] = F.when(used, _slope(z, label, 1 - label, pos_weight)).otherwise(0.0)
+    z, inner = model.base + model.gain * F.col("risk"), (F.col("__positives"), F.col("__negatives"))
+    out = out.withColumns(cols | {"__loss": _log_loss(z, *inner, pos_weight), "__delta": _slope(z, *inner, pos_weight)})
+    q = {j: F.col(f"__delta{j}") * model.gain / F.col(f"__whole{j}") for j in range(1, hours)}
+    owed = {f"__q{i}": _sum([share(i, j) * q[j] for j in q]) for i in range(hours)}
+    owed |= {f"__qa{i}": _sum([share(i, j) * q[j] * F.col(f"__at{j}") for j in q]) for i in range(hours)}
+    out = out.withColumns(owed | {"__t": 1 - F.col("__a") * F.col("__a"), "__pair": F.col("__dt").isNotNull()})
+    out = out.withColumns({c: _sum([F.col(f"{c}0"), *[F.coalesce(F.lead(f"{c}{i}", i).over(w), F.lit(0.0)) for i in range(1, hours)]]) for c in ("__q", "__qa")})
     # Consistency: what a pair's steps owe, to its later hour and, with the other sign, to its earlier one.
     falls = F.greatest(-F.col("__dt"), F.lit(0.0))
     rise = {f: F.greatest(F.col(f"__d_{f}"), F.lit(0.0)) for f in model.terms}
@@ -246,7 +316,7 @@ def gradient(rows: DataFrame, model: RuleModel, start: RuleModel, y: str = "y",
     # Prediction is a mean over windows, consistency one over pairs: both counts are known only with the sums, so each
     # derivative has a sum of either.
     attended = F.col("__e") * ((1 + model.scale * F.col("__t") * F.col("risk")) * F.col("__q") - model.scale * F.col("__t") * F.col("__qa"))
-    out = out.withColumn("__rho", attended)
+    out = out.withColumn("__rho", attended + F.col("__delta") * model.gain)
     sums: list[tuple[Column, Column]] = []
 
     def take(f: str | None, by: Column) -> None:
@@ -285,10 +355,14 @@ def gradient(rows: DataFrame, model: RuleModel, start: RuleModel, y: str = "y",
     # Scale and shift act by the exponentials alone; an hour's share of them is as above, without the risk's own.
     tilt = F.col("__e") * F.col("__t") * (F.col("risk") * F.col("__q") - F.col("__qa"))
     none = F.sum(F.lit(0.0))
-    sums += [(F.sum(tilt * F.col("risk")), none), (F.sum(tilt), none), (F.sum("__delta"), none), (F.sum(F.when(F.col("__used"), F.col("__delta") * F.col("attended"))), none)]
-    counts = [F.count("__loss"), F.count("__dt"), F.sum("__loss"), F.sum(F.when(F.col("__pair"), _sum([_drop(f) for f in model.terms]) / k))]
+    sums += [(F.sum(tilt * F.col("risk")), none), (F.sum(tilt), none), (F.sum(_sum([F.col("__delta"), *[F.col(f"__delta{j}") for j in q]])), none)]
+    sums += [(F.sum(_sum([F.col("__delta") * F.col("risk"), *[F.col(f"__delta{j}") * F.col(f"__at{j}") for j in q]])), none)]
+    windows = _sum([F.col("__positives") + F.col("__negatives"), *[F.col(f"__loss{j}").isNotNull().cast("double") for j in q]])
+    lost = _sum([F.col("__loss"), *[F.coalesce(F.col(f"__loss{j}"), F.lit(0.0)) for j in q]])
+    pairs = F.sum(F.col("__length") - 1 + F.col("__pair").cast("long"))
+    counts = [F.sum(windows), pairs, F.sum(lost), F.sum(F.when(F.col("__pair"), _sum([_drop(f) for f in model.terms]) / k))]
     got = out.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)], *[c.alias(f"s{i}_{j}") for i, two in enumerate(sums) for j, c in enumerate(two)]).first()
-    n, m = max(got["c0"], 1), max(got["c1"], 1)
+    n, m = max(got["c0"] or 0, 1), max(got["c1"] or 0, 1)
     values = np.array([(got[f"s{i}_0"] or 0.0) / n + weights.consistency * (got[f"s{i}_1"] or 0.0) / m for i in range(len(sums))])
     p = penalties(model, start)
     total = (got["c2"] or 0.0) / n + weights.consistency * (got["c3"] or 0.0) / m + sum(getattr(weights, name) * v for name, v in p.items())
@@ -296,24 +370,28 @@ def gradient(rows: DataFrame, model: RuleModel, start: RuleModel, y: str = "y",
 
 
 def fit_rules(rows: DataFrame, start: RuleModel, steps: int = 10, rate: float = 0.05, pos_weight: float | None = None, weights: Weights | None = None, **columns: str) -> tuple[RuleModel, list[float]]:
-    """The model after so many steps of Adam, each one aggregate, and the total loss before each step and after the last.
+    """The model after so many steps of Adam, each one aggregate over the panel's runs, and the total loss before each step
+    and after the last.
 
     Centres move in units of their term's width. ``pos_weight`` defaults to negatives by positives.
     """
-    y = columns.get("y", "y")
-    rows = settled(rows)
+    entity = columns.get("entity", "user_id")
+    of = settled(runs(rows, list(start.terms), start.hours, **columns))
     if pos_weight is None:
-        pos, n = rows.agg(F.sum(F.col(y).cast("double")), F.count(y)).first()
-        pos_weight = (n - pos) / pos if pos else 1.0
+        first = [F.col(f"__y{j}") for j in range(1, start.hours)]
+        sums = lambda c, own: F.sum(_sum([F.col(c), *[F.coalesce(x, F.lit(0.0)) for x in own]]))
+        pos, neg = of.agg(sums("__positives", first), sums("__negatives", [1 - x for x in first])).first()
+        pos_weight = neg / pos if pos else 1.0
+    at = lambda model: _of_runs(of, model, start, entity, pos_weight, weights or Weights())
     model, seen = start, []
     unit = np.array([u for ts in start.terms.values() for t in ts for u in (t.sigma, 1.0, 1.0)] + [1.0] * (len(start.cross) + 4))
     first, second = np.zeros_like(unit), np.zeros_like(unit)
     for step in range(1, steps + 1):
-        total, g = gradient(rows, model, start, pos_weight=pos_weight, weights=weights, **columns)
+        total, g = at(model)
         seen.append(total)
         g = g * unit
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         model = model.moved(model.vector() - move * unit)
-    seen.append(losses(rows, model, start, pos_weight=pos_weight, weights=weights, **columns).first()["total"])
+    seen.append(at(model)[0])
     return model, seen

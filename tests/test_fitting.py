@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.operators import fitting as L
 from chronopanel.operators.rules import Term
@@ -73,6 +75,41 @@ def test_losses_and_gradients(spark):
         assert g[i] == pytest.approx(numeric, abs=2e-6), i
 
 
+def held(seed, entities=8):
+    """Hours whose features are carried forward, in runs of one to twenty, with gaps, one feature alone changing, and few hours."""
+    rng = random.Random(seed)
+    out = []
+    for u in range(entities):
+        h, v, e = 0, 1.0, 2.0
+        for _ in range(rng.choice([1, 2, 4, 9, 14])):
+            v, e = (rng.choice([v, rng.uniform(0, 8)]), rng.uniform(0, 6))
+            for k in range(rng.choice([1, 1, 2, 3, 5, 6, 7, 20])):
+                h += 3 if k and rng.random() < 0.05 else 1
+                out.append((u, h, v, e, rng.choice([0, 1, int(v > 4), None])))
+    return out
+
+
+@pytest.mark.parametrize("hours", [1, 2, 6])
+def test_steps_go_over_runs_of_equal_hours(spark, hours):
+    rows, w, now = held(hours), L.Weights(0.7, 0.05, 0.3, 0.4), replace(NOW, hours=hours)
+    df = spark.createDataFrame(rows, "user_id long, hr long, v double, e double, y long").repartition(3)
+    of = L.runs(df, ["v", "e"], hours)
+    assert of.count() < len(rows) / 2 and of.agg(F.sum("__length")).first()[0] == len(rows)
+    total, g = L.gradient(df, now, START, pos_weight=1.7, weights=w)
+    assert total == pytest.approx(brute(rows, now, START, 1.7, w)["total"])
+    v, step = now.vector(), 1e-6
+    for i in range(len(v)):
+        up, down = v.copy(), v.copy()
+        up[i] += step
+        down[i] -= step
+        numeric = (brute(rows, now.moved(up), START, 1.7, w)["total"] - brute(rows, now.moved(down), START, 1.7, w)["total"]) / (2 * step)
+        assert g[i] == pytest.approx(numeric, abs=2e-6), i
+    pos, n = sum(r[4] or 0 for r in rows), sum(r[4] is not None for r in rows)
+    model, seen = L.fit_rules(df, now, steps=1)
+    for at, total in ((now, seen[0]), (model, seen[1])):
+        assert total == pytest.approx(brute(rows, at, now, (n - pos) / pos, L.Weights())["total"])
+
+
 def test_penalties():
     p = L.penalties(START.moved(START.vector() + 1), START)
     assert p["nonnegative"] == 0 and p["sparsity"] == pytest.approx((1.2 + 2.1) / 2 + (1.1 + 0.7 + 1.9) / 3 + (2.2 + 0.9) / 2)
