@@ -276,3 +276,11 @@ def hash_unit(*parts: Column) -> Column:
 def rounded(df, digits: int = 6):
     """Round every double column: sums in another order differ in their last bits."""
     return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def below(borders: Column, value: Column, most: int) -> Column:
+    """How many of an ascending array's entries, at most ``most``, are less than the value: found by halving. Null for a null
+    value."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    step = lambda n, k: n + F.when(F.get(borders, n + k - 1) < value, k).otherwise(0)
+    return F.when(value.isNotNull(), F.aggregate(halves, F.lit(0), step))

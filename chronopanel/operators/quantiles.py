@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronopanel.functions.exprs import below
+
 #: Rows that are ordered in one task, borders of a bracket that is bracketed again, and how far on either side of a quantile
 #: its first borders lie.
 LIMIT, BORDERS, MARGIN = 100_000, 24, 0.001
@@ -98,8 +100,9 @@ def _placed(x: DataFrame, big: DataFrame, probs: list[float], limit: int) -> Dat
     while True:
         # Approximate quantiles differ from run to run: both the counts and the rows in brackets must see the same borders.
         borders = settled(rows.groupBy("__k", "__g").agg(F.array_distinct(F.percentile_approx("__v", F.array(*[F.lit(p) for p in places]), 10_000)).alias("b")))
-        number = F.size(F.filter("b", lambda b: b < F.col("__v"))) * 2 + F.array_contains("b", F.col("__v")).cast("int")
-        rows = _met(rows, borders, ["__k", "__g"]).select("__k", "__g", "__v", "__w", number.alias("i"))
+        less = _met(rows, borders, ["__k", "__g"]).withColumn("less", below(F.col("b"), F.col("__v"), len(places)))
+        number = F.col("less") * 2 + F.coalesce(F.get("b", F.col("less")) == F.col("__v"), F.lit(False)).cast("int")
+        rows = less.select("__k", "__g", "__v", "__w", number.alias("i"))
         counts = rows.groupBy("__k", "__g", "i").agg(F.sum("__w").alias("c"), F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
         before = Window.partitionBy("__k", "__g").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # a few brackets
         counts = counts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronopanel.functions.exprs import hash_unit, sigmoid
+from chronopanel.functions.exprs import below, hash_unit, sigmoid
 from chronopanel.operators.quantiles import quantiles, settled
 
 #: Bins of a feature besides that of nulls, and digits to which gains are compared.
@@ -104,8 +104,15 @@ def cuts_of(rows: DataFrame, features: list[str], bins: int = BINS) -> list[list
 
 def binned(rows: DataFrame, features: list[str], cuts: list[list[float]], *keep: str | Column) -> DataFrame:
     """The rows' bins as small integers: 0 for null, else 1 and one for each cut below the value; settled."""
-    one = lambda f, c: F.when(F.col(f).isNull(), 0).otherwise(1 + (F.size(F.filter(F.array(*map(F.lit, c)), lambda x: x < F.col(f))) if c else F.lit(0))).cast("smallint")
-    return settled(rows.select(*keep, F.array(*[one(f, c) for f, c in zip(features, cuts, strict=True)]).alias("bins")))
+    return settled(_bins(rows, features, cuts, *keep))
+
+
+def _bins(rows: DataFrame, features: list[str], cuts: list[list[float]], *keep: str | Column) -> DataFrame:
+    return rows.select(*keep, F.array(*[_binned(F.col(f), c).cast("smallint") for f, c in zip(features, cuts, strict=True)]).alias("bins"))
+
+
+def _binned(x: Column, cuts: list[float]) -> Column:
+    return F.when(x.isNull(), 0).otherwise(1 + (below(F.array(*map(F.lit, cuts)), x, len(cuts)) if cuts else F.lit(0)))
 
 
 def histograms(rows: DataFrame) -> DataFrame:
@@ -308,8 +315,7 @@ class Additive:
     tables: list[tuple[tuple[int, ...], dict[tuple[int, ...], float]]]
 
     def _bin(self, i: int) -> Column:
-        x, c = F.col(self.features[i].rstrip("'")), self.cuts[i]
-        return F.when(x.isNull(), 0).otherwise(1 + (F.size(F.filter(F.array(*map(F.lit, c)), lambda z: z < x)) if c else F.lit(0)))
+        return _binned(F.col(self.features[i].rstrip("'")), self.cuts[i])
 
     def terms(self) -> dict[str, Column]:
         """Each term's part of the score, by name: a lookup of the row's bins in the term's table. Don't alias one to the name

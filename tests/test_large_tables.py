@@ -118,3 +118,16 @@ def test_a_forest_draws_once(spark, monkeypatch):
     monkeypatch.setattr(M, "grow", lambda b, cuts, depth, members, **k: (seen.append(str(members)), grow(b, cuts, depth, members, **k))[1])
     rows = spark.range(60).select("id", F.pmod("id", F.lit(7)).alias("x"), F.pmod("id", F.lit(2)).alias("y"))
     assert len(M.forest(rows, "id", "y", ["x"], n_trees=2, depth=1).trees) == 2 and "md5" not in seen[0]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 31, 125])
+def test_bins_are_found_by_halving(spark, n):
+    """As by a look at every border, on ties, nulls, infinities and NaN; no row is compared with all of them."""
+    cuts = [k / 4 for k in range(n)]
+    values = [None, float("-inf"), float("inf"), float("nan"), -1.0, *[k / 8 for k in range(2 * n + 3)]]
+    x = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = x.select("x", M.Additive(["x"], [cuts], 0.0, [])._bin(0).alias("bin"))
+    every = lambda v: 0 if v is None else 1 + (n if v != v else sum(c < v for c in cuts))
+    assert [r["bin"] for r in rows.collect()] == [every(v) for v in values]
+    assert "filter(" not in plan(rows)
+    assert [r["bins"][0] for r in M.binned(x, ["x"], [cuts]).collect()] == [every(v) for v in values]
