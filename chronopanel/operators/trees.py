@@ -345,15 +345,17 @@ def looked(values: dict[tuple[int, ...], float], bins: list[Column], sizes: list
 
 def additive(rows: DataFrame, y: str, features: list[str], pairs: list[tuple[str, str]] | None = None, rounds: int = 10, rate: float = 0.5, penalty: float = 1.0, bins: int = 16) -> Additive:
     """Cyclic boosting of the log loss: in every round each feature's table takes a damped Newton step in each of its bins,
-    one after the other, then each pair's, on what the single features leave. A step is one aggregate by bin; tables are
+    one after the other, then each pair's, on what the single features leave. Rows with equal bins and outcome are one from
+    the start, with their number: a step is one aggregate by bin over these, which bins bound, whatever the rows. Tables are
     centred, so that the base holds the mean. Pairs use a quarter of the bins' borders."""
     rows = rows.where(F.col(y).isNotNull())
     cuts = cuts_of(rows, features, bins)
     coarse = [c[1::4] or c[:1] for c in cuts]
     names = features + [f"{f}'" for f in features]
     both = cuts + coarse
-    b = binned(rows.select(*features, y, *[F.col(f).alias(f"{f}'") for f in features]), names, both, F.col(y).cast("double").alias("y"))
-    share = b.agg(F.avg("y")).first()[0]
+    b = _bins(rows.select(*features, y, *[F.col(f).alias(f"{f}'") for f in features]), names, both, F.col(y).cast("double").alias("y"))
+    b = settled(b.groupBy("bins", "y").agg(F.count("*").cast("double").alias("n")))
+    share = b.agg(F.sum(F.col("y") * F.col("n")) / F.sum("n")).first()[0]
     k = len(features)
     sets: list[tuple[int, ...]] = [(i,) for i in range(k)]
     sets += [tuple(k + features.index(f) for f in pair) for pair in pairs or []]
@@ -369,8 +371,8 @@ def additive(rows: DataFrame, y: str, features: list[str], pairs: list[tuple[str
                     if values:
                         score = score + looked(values, at(other), [len(both[i]) + 2 for i in other])
                 p = sigmoid(score)
-                cells = b.select(F.array(*at(which)).alias("c"), (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h")).groupBy("c")
-                found = cells.agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).collect()  # a row a bin
+                cells = b.select(F.array(*at(which)).alias("c"), ((F.col("y") - p) * F.col("n")).alias("g"), (p * (1 - p) * F.col("n")).alias("h"), "n").groupBy("c")
+                found = cells.agg(*[F.sum(c).alias(c) for c in "ghn"]).collect()  # a row a bin
                 values = {tuple(r["c"]): tables[which].get(tuple(r["c"]), 0.0) + rate * r["g"] / (r["h"] + penalty) for r in found}
                 n = sum(r["n"] for r in found)
                 mean = sum(values[tuple(r["c"])] * r["n"] for r in found) / n

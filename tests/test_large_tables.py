@@ -131,3 +131,11 @@ def test_bins_are_found_by_halving(spark, n):
     assert [r["bin"] for r in rows.collect()] == [every(v) for v in values]
     assert "filter(" not in plan(rows)
     assert [r["bins"][0] for r in M.binned(x, ["x"], [cuts]).collect()] == [every(v) for v in values]
+
+
+def test_additive_steps_go_over_bins_not_rows(spark, monkeypatch):
+    made, settled = [], M.settled
+    monkeypatch.setattr(M, "settled", lambda df: (made.append(settled(df)), made[-1])[1])
+    rows = spark.range(4000).select(F.pmod(F.col("id") * 37, F.lit(1009)).alias("x"), (F.pmod(F.col("id") * 37, F.lit(1009)) > 400).cast("long").alias("y"))
+    M.additive(rows, "y", ["x"], rounds=1, bins=8)
+    assert made[-1].count() <= 2 * 9 and made[-1].agg(F.sum("n")).first()[0] == 4000
